@@ -303,12 +303,24 @@ def round_trip(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     return df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def encoded(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
-    """``df`` with the ids of each text in a column of its own (array of int; it replaces one of that name)."""
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def tokenized(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``df`` with token_ids of each text, n_tokens, and decoded (what the ids decode to); columns of these
+    names are replaced. A null text has no ids."""
+
+    @F.pandas_udf("token_ids array<int>, n_tokens long, decoded string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(tokenizer)
         for texts in batches:
-            yield pd.Series([np.frombuffer(p, "<u4").astype(np.int32) for p in bpe.batches(texts)], dtype=object)
+            ids = [np.frombuffer(p, "<u4") for p in bpe.batches(texts)]
+            yield pd.DataFrame(
+                {
+                    "token_ids": pd.Series([i.astype(np.int32) for i in ids], dtype=object),
+                    "n_tokens": [len(i) for i in ids],
+                    "decoded": [bpe.decode(i).decode() for i in ids],
+                }
+            )
 
-    return df.withColumn(ids, run(F.col(text)))
+    out = df.withColumn("bpe_out", run(F.col(text)))
+    for name in ("token_ids", "n_tokens", "decoded"):
+        out = out.withColumn(name, F.col("bpe_out").getField(name))
+    return out.drop("bpe_out")

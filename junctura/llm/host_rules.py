@@ -135,14 +135,13 @@ def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str =
 
 
 def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``df`` that the rules keep, all columns as they were. Verdicts are worked out beside
-    the row, so neither repeated ids nor null ids matter; only the verdict on hosts is joined."""
+    """The rows of ``df`` that the rules keep, all columns as they were. Rows are written with their
+    verdicts, so neither repeated nor null ids matter, and no text is shuffled or counted twice."""
     names = df.columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    packed = df.select(F.col(text).alias("text"), F.col(host).alias("host"), row)
+    packed = df.select(F.col(text).alias("text"), F.col(host).alias("host"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     judged = with_base(document_counts(packed, "row", "text", "host"))
-    bad = host_verdicts(host_rates(shared.written(judged.select("host", "failed"), "failed")))
-    bad = bad.filter("host_rejected").select(F.col("host").alias("bad_host"))
+    judged = shared.written(judged.select(F.col("doc_id").alias("row"), "host", "base_failed", "failed"), "judged")
+    bad = host_verdicts(host_rates(judged)).filter("host_rejected").select(F.col("host").alias("bad_host"))
     good = judged.filter(~F.col("base_failed"))
     good = good.join(bad, good["host"].eqNullSafe(bad["bad_host"]), "left_anti")
-    return good.select(*[F.col("doc_id").getField(c).alias(c) for c in names])
+    return good.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -1,3 +1,123 @@
-"""DuckDB SQL with the same rows as the queries that SQL can express."""
+"""DuckDB SQL with the same rows as the queries that SQL can express, written apart from the operators."""
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+OP2 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+win AS (
+  SELECT k, i, array_to_string(w[i:i + 7], ' ') AS s
+  FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 6, 1))) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS following
+          FROM (SELECT k, i, count(*) OVER (PARTITION BY k, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT k, sum(least(8, coalesce(following - i, 8))) AS n FROM twice GROUP BY k),
+c AS (
+  SELECT d.k, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN rep USING (k)),
+j AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR 100 * n_symbols > 10 * word_chars
+           OR 100 * n_dup_lines > 30 * n_lines AS failed
+  FROM c),
+h AS (SELECT source, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS bad FROM j GROUP BY source),
+m AS (SELECT sum(bad) / sum(n) AS mean, count(*) AS hosts, sum(n) AS total FROM h),
+v AS (SELECT any_value(mean) AS mean, sum(n * (bad / n - mean) * (bad / n - mean)) / any_value(total) AS spread,
+             any_value(hosts) / any_value(total) AS per FROM h, m),
+p AS (SELECT mean, greatest(2.0, least(1e6, CASE WHEN spread - mean * (1 - mean) * per > 0
+        THEN (mean * (1 - mean) - spread) / (spread - mean * (1 - mean) * per) ELSE 1e6 END)) AS weight FROM v),
+r AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
+"""
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+             CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM d GROUP BY source),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source NULLS LAST) AS place FROM s),
+l AS (SELECT o.*, (SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER before, 0) AS words_left,
+             (SELECT sum(weight) FROM s) - coalesce(sum(weight) OVER before, 0) AS weight_left
+      FROM o WINDOW before AS (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 3 * source_size * weight_left <= words_left * weight AS is_full FROM l),
+first_open AS (SELECT words_left, weight_left FROM f WHERE NOT is_full ORDER BY place LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE)
+        ELSE CAST((SELECT words_left FROM first_open) AS DOUBLE) * weight / CAST((SELECT weight_left FROM first_open) AS DOUBLE) END AS target
+      FROM f),
+b AS (SELECT doc_id, d.source, size, source_size, target,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CAST(floor(target) AS BIGINT) AS budget,
+             CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // greatest(source_size, 1) ELSE 0 END AS epochs FROM b)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + least(size, greatest(0, budget - epochs * source_size - before)) AS BIGINT) AS taken
+FROM e
+"""
+
+OP8 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS at FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.at),
+least_of AS (SELECT doc_id, min(at) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(c, d.doc_id) AS BIGINT) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}'))"
+
+
+#: The rules by falling length.
+_RULES = [("www.example.com", "en/", "allow"), ("example.com", "en/", "block"), ("net", "es/", "block"), ("net", "fr/", "block"), ("com", "", "allow")]
+_RULE = " ".join(f"WHEN {_fits(h, p)} THEN '{h}/{p}'" for h, p, _ in _RULES)
+_VERDICT = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)
+
+
+def _level(k: int) -> str:
+    above = ", ".join(f"t{i}" for i in range(1, k))
+    by = "host" + (", " + above if above else "")
+    same = "".join(f" AND l{k - 1}.t{i} IS NOT DISTINCT FROM w{k}.t{i}" for i in range(1, k))
+    return f"""
+w{k} AS (SELECT {by} FROM l{k - 1} GROUP BY {by} HAVING count(DISTINCT g{k}) > 50),
+l{k} AS (SELECT l{k - 1}.*, CASE WHEN w{k}.host IS NOT NULL AND g{k} IS NOT NULL THEN '*' ELSE g{k} END AS t{k}
+       FROM l{k - 1} LEFT JOIN w{k} ON l{k - 1}.host = w{k}.host{same})"""
+
+
+OP10 = rf"""
+WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^(?:.*?)://([^/?#]*)([^?#]*)', 1) AS h,
+                  regexp_extract(coalesce(url, ''), '(?s)^(?:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+v AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+r AS (SELECT *, CASE {_RULE} END AS rule, CASE {_VERDICT} END AS said, regexp_replace(path, '[0-9]+', '<n>', 'g') AS general FROM v),
+x AS (SELECT *, CASE WHEN general <> '' THEN string_split(substr(general, 2), '/') END AS seg FROM r),
+l0 AS (SELECT *, seg[1] AS g1, seg[2] AS g2, seg[3] AS g3, CASE WHEN len(seg) > 3 THEN '**' END AS deep FROM x),{_level(1)},{_level(2)},{_level(3)},
+c AS (SELECT *, CASE WHEN t1 IS NULL THEN '' ELSE '/' || concat_ws('/', t1, t2, t3, deep) END AS template FROM l3),
+br AS (SELECT host, t1, t2, t3, deep, sum(CASE WHEN said = 'block' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN said = 'allow' THEN 1 ELSE 0 END) AS a
+       FROM c GROUP BY ALL),
+po AS (SELECT *, sum(b) OVER sib AS pb, sum(a) OVER sib AS pa FROM br WINDOW sib AS (PARTITION BY host, t1 IS NULL, t2, t3, deep)),
+al AS (SELECT *, b + a > 0 AND pow(b / greatest(b + a, 1) - pb / greatest(pb + pa, 1), 2) * (b + a)
+         <= 1.96 * 1.96 * (pb / greatest(pb + pa, 1)) * (1 - pb / greatest(pb + pa, 1)) AS alike FROM po),
+me AS (SELECT *, CASE WHEN alike THEN sum(b) FILTER (alike) OVER sib ELSE b END AS mb, CASE WHEN alike THEN sum(a) FILTER (alike) OVER sib ELSE a END AS ma
+       FROM al WINDOW sib AS (PARTITION BY host, t1 IS NULL, t2, t3, deep))
+SELECT page_id, c.host, path, rule, coalesce(said, CASE WHEN (mb + 1) / (mb + ma + 2) >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM c JOIN me ON c.host = me.host AND c.t1 IS NOT DISTINCT FROM me.t1 AND c.t2 IS NOT DISTINCT FROM me.t2 AND c.t3 IS NOT DISTINCT FROM me.t3
+  AND c.deep IS NOT DISTINCT FROM me.deep
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2,
+    "op3_mixing": OP3,
+    "op8_ngram_jaccard_join": OP8,
+    "op10_url_filters": OP10,
+}

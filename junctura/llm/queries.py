@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, fingerprints, host_rules, id_files, language, mixing, quality, shared, url_templates
+from . import attribution, bpe, fingerprints, host_rules, id_files, language, mixing, near_join, quality, shared, url_templates
 from .oracles import ORACLES  # noqa: F401
 
 END_ID = 2
@@ -53,6 +53,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(shared.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.components(shared.documents(spark, sf_dir))
+
+
 def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(shared.documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), END_ID)
 
@@ -65,6 +69,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_mixing, op4_language_id, op5_fingerprints, op6_token_counts, op7_bpe,
-        op9_id_files, op10_url_filters,
+        op8_ngram_jaccard_join, op9_id_files, op10_url_filters,
     )
 }
