@@ -1 +1 @@
-
+"""Writers."""

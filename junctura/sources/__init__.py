@@ -1 +1 @@
-
+"""Readers for caller files, reads, dimension tables and the driver's tables."""
