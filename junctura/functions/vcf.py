@@ -28,7 +28,7 @@ def format_map(keys: Column, values: Column) -> Column:
     k, v = F.split(F.coalesce(keys, F.lit("")), ":"), F.split(F.coalesce(values, F.lit("")), ":")
     n = F.least(F.size(k), F.size(v))
     pairs = F.arrays_zip(F.slice(k, F.lit(1), n).alias("key"), F.slice(v, F.lit(1), n).alias("value"))
-    entries = F.transform(pairs, lambda p: F.struct(p["0"].alias("key"), p["1"].alias("value")))
+    entries = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
     once = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(n, F.lit(1))), lambda x: x["key"] == e["key"]))
     return F.map_from_entries(once)
 

@@ -35,7 +35,7 @@ def pair_key(a: Column, b: Column) -> Column:
 
 def known_pairs(partners: DataFrame) -> DataFrame:
     """x, y, kp_source: of repeated pairs the first in file order."""
-    source = F.trim(F.lit(":"), F.concat_ws(":", "source", "disease"))
+    source = F.trim(F.concat_ws(":", "source", "disease"), F.lit(":"))
     key = pair_key(F.col("partner_a"), F.col("partner_b"))
     return partners.withColumn("key", key).groupBy("key.x", "key.y").agg(F.min_by(source, F.col("ord")).alias("kp_source"))
 

@@ -60,6 +60,12 @@ def final(spark: SparkSession, sf: str) -> DataFrame:
     return qc.checked(qc_input(spark, sf), adapters.view(spark, sf, "artefacts"))
 
 
+def held(df: DataFrame) -> DataFrame:
+    """For queries that read the calls several times: kept in memory or on the executors' disks, and worked
+    out again where an executor is lost."""
+    return df.persist()
+
+
 def _passed(spark: SparkSession, sf: str, n: int) -> DataFrame:
     """After the first ``n`` passes."""
     steps = qc.passes(adapters.view(spark, sf, "artefacts"))[:n]
@@ -199,7 +205,7 @@ def cohort_recurrence(spark, sf):
 
 @query
 def recurrence_top(spark, sf):
-    return reports.recurrence_top(final(spark, sf))
+    return reports.recurrence_top(held(final(spark, sf)))
 
 
 @query
@@ -209,7 +215,7 @@ def per_sample_summary(spark, sf):
 
 @query
 def kpis(spark, sf):
-    return reports.kpis(final(spark, sf))
+    return reports.kpis(held(final(spark, sf)))
 
 
 @query
@@ -219,12 +225,12 @@ def caller_tier_pivot(spark, sf):
 
 @query
 def qc_histograms(spark, sf):
-    return reports.histograms(final(spark, sf))
+    return reports.histograms(held(final(spark, sf)))
 
 
 @query
 def evidence_hist(spark, sf):
-    return reports.evidence_histogram(final(spark, sf))
+    return reports.evidence_histogram(held(final(spark, sf)))
 
 
 @query
@@ -254,7 +260,7 @@ def best_per_sample(spark, sf):
 
 @query
 def caller_jaccard(spark, sf):
-    return reports.caller_jaccard(final(spark, sf)).withColumn("jaccard", F.round("jaccard", 6))
+    return reports.caller_jaccard(held(final(spark, sf))).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query
@@ -266,32 +272,32 @@ def replicate_overlap(spark, sf):
 
 @query
 def pr_sweep(spark, sf):
-    out = final(spark, sf)
+    out = held(final(spark, sf))
     known = out.filter("first_seq % 3 = 0").select(*reports.cell_key(500, True))
     return reports.precision_recall(out, known).select("threshold", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
 @query
 def truth_per_sample(spark, sf):
-    return truth.scored(final(spark, sf), adapters.view(spark, sf, "truth")).drop("tp_detected", "tp_lookup")
+    return truth.scored(held(final(spark, sf)), adapters.view(spark, sf, "truth")).drop("tp_detected", "tp_lookup")
 
 
 @query
 def truth_score(spark, sf):
-    out = truth.summary(truth.scored(final(spark, sf), adapters.view(spark, sf, "truth")))
+    out = truth.summary(truth.scored(held(final(spark, sf)), adapters.view(spark, sf, "truth")))
     return out.select("tp", "fn", "fp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query
 def truth_relaxed(spark, sf):
-    out = truth.scored(final(spark, sf), adapters.view(spark, sf, "truth"), relax=True, driver_only=True, scanned_only=False, receptors=None)
+    out = truth.scored(held(final(spark, sf)), adapters.view(spark, sf, "truth"), relax=True, driver_only=True, scanned_only=False, receptors=None)
     return out.select("sample", "tp", "fn", "fp", "exempt")
 
 
 @query
 def truth_junction_split(spark, sf):
     seen = adapters.view(spark, sf, "junctions").filter("sr_junction >= 2 or pe_junction >= 2")
-    return truth.scored(final(spark, sf), adapters.view(spark, sf, "truth"), seen, fp=("T1",)).select("sample", "tp", "fp", "tp_detected", "tp_lookup")
+    return truth.scored(held(final(spark, sf)), adapters.view(spark, sf, "truth"), seen, fp=("T1",)).select("sample", "tp", "fp", "tp_detected", "tp_lookup")
 
 
 @query
