@@ -24,21 +24,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(least.select(F.col("to").alias("a"), "b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour at most, and that one none: the edges are stars."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("low")), F.struct(F.col("b").alias("node"), F.lit(1).alias("low")))).alias("e"))
+    by = ends.groupBy("e.node").agg(F.sum("e.low").alias("lows"), F.count("*").alias("n"))
+    return by.filter("lows > 1 or (lows = 1 and n > 1)").isEmpty()
+
+
 def connected(edges: DataFrame, write: Writer, drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """node, root: every node of ``edges`` (columns a, b) with the least node that it can reach.
 
-    Alternates large-star and small-star steps until nothing changes; the number of rounds grows with
+    Alternates large-star and small-star steps until the edges are stars; the number of rounds grows with
     the logarithm of the graph's size. No node's neighbours are ever gathered: the steps are minima, added
     up where the edges lie, and joins that Spark splits at hot nodes. Each round is written by ``write``,
     so a lost executor costs the tasks it ran.
     """
     edges = edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, seen = write(edges), None
-    while True:
-        mark = edges.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if tuple(mark) == seen or not mark["n"]:
-            break
-        seen = tuple(mark)
+    edges = write(edges)
+    while not _settled(edges):
         before, edges = edges, write(_small_star(_large_star(edges)))
         if drop:
             drop(before)
