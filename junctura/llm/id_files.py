@@ -40,6 +40,9 @@ BATCH_CHARS = 1 << 20
 #: ASCII marks after which a word's tokens don't depend on the word; separators that
 #: Python's split() takes for white space and Unicode doesn't.
 MARKS = ".,!?;"
+#: Fixed value: words of letters that normalisation leaves single letters; each is one pre-token.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+WORDS_AT_ONCE = 2000
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
@@ -55,7 +58,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = max(vocab.values()) + 1
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -66,7 +72,7 @@ class ChunkEncoder:
                 made[c] = known
                 continue
             word = c.rstrip(MARKS)
-            if word and word != c and word.isalpha():
+            if word != c and PLAIN.fullmatch(word):
                 cut[c] = (word, c[len(word) :])
                 new.update(cut[c])
             else:
@@ -75,6 +81,10 @@ class ChunkEncoder:
             if (known := self.kept.get(c) or self.older.get(c)) is not None:
                 made[c] = known
         rest = [c for c in new if c not in made]
+        plain = [c for c in rest if PLAIN.fullmatch(c)]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            made.update(self._plain(plain[at : at + WORDS_AT_ONCE]))
+        rest = [c for c in rest if c not in made]
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             made[c] = np.array(e.ids, "<u4").tobytes()
         made.update((c, made[a] + made[b]) for c, (a, b) in cut.items())
@@ -83,6 +93,16 @@ class ChunkEncoder:
         self.kept.update((k, v) for k, v in made.items() if len(k) <= 64)
         return made
 
+    def _plain(self, words: list[str]) -> dict[str, bytes]:
+        """Words of letters, encoded as one text and parted at the tokens that end a word; none if those
+        aren't as many as the words."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return {}
+        packed, ends = ids.tobytes(), ends.tolist()
+        return {w: packed[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
     def _all(self, texts: list[str]) -> list[bytes]:
         cuts = [CHUNKS.findall(t) if any(x in t for x in NOT_WHITE) else t.split() for t in texts]
         new = {c for chunks in cuts for c in chunks if c not in self.kept}
