@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ from . import shared
 
 WORDS = 4
 PERCENT = 85
-LIST = 48
-GROUP = 256
-BLOCK = 128
+LIST = 16
+GROUP = 512
+BLOCK = 256
 ROUNDS = 2
 BUCKET_BITS = 22
 #: A shingle is frequent if its bucket is met this often in one task.
@@ -110,7 +111,7 @@ def t_of(n: np.ndarray) -> np.ndarray:
 
 def k_of(n: np.ndarray) -> np.ndarray:
     """How many short lists partners must share. Never falls as n grows."""
-    return 1 + n // 20
+    return 1 + n * 3 // 20
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -182,7 +183,7 @@ def postings(df: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
 
 def merged_lists(rows: DataFrame) -> DataFrame:
     """Short lists, merged: kind 0 with (a, b, na, nb, ha, hb) for two nodes of a list, kind 1 with (a =
-    token, b = node) for each node of a list that is longer than ``LIST``."""
+    token, b = node, na, ha) for each node of a list that is longer than ``LIST``."""
     names = ["kind", "a", "b", "na", "nb", "ha", "hb"]
 
     def pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def merged_lists(rows: DataFrame) -> DataFrame:
             if m > LIST:
                 pick = (at[:, None] + np.arange(m)).ravel()
                 zero = np.zeros(len(pick), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, token[pick], node[pick], zero, zero, zero, zero)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, token[pick], node[pick], n[pick], zero, hot[pick], zero)], names)
                 continue
             i, j = np.triu_indices(m, 1)
             i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
@@ -209,7 +210,13 @@ def merged_lists(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            now = [np.concatenate([k, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in zip(kept, batch.columns, strict=True)]
+            hot = batch.filter(batch.column(4))
+            if hot.num_rows:  # frequent shingles' lists are long without being gathered
+                zero = np.zeros(hot.num_rows, np.int64)
+                token, node, n, h = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in hot.columns[:4])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, token, node, n, zero, h, zero)], names)
+                batch = batch.filter(pc.invert(batch.column(4)))
+            now = [np.concatenate([k, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in zip(kept, batch.columns[:4], strict=True)]
             new = np.ones(len(now[0]), bool)  # copies in other tasks have given the same postings
             new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
             now = [x[new] for x in now]
@@ -225,8 +232,9 @@ def merged_lists(rows: DataFrame) -> DataFrame:
         if len(kept[0]):
             yield from pairs(*kept)
 
-    by_token = rows.repartition("token").sortWithinPartitions("token", "node").select("token", "node", "n", "hot")
-    return by_token.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    place = F.when(F.col("is_hot"), F.xxhash64("token", "node")).otherwise(F.col("token"))
+    by_token = rows.withColumn("place", place).repartition("place").sortWithinPartitions("is_hot", "token", "node")
+    return by_token.select("token", "node", "n", "hot", "is_hot").mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 class Group:
@@ -363,18 +371,19 @@ def _large_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
 def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
     """a, b: enough links between nodes to join every component. df: doc_id, text; docs: doc_id, n, node."""
     rows = postings(df, seed, frequent)
-    needs = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20)
-    # Frequent shingles give no pairs; a node whose short lists hold too few of them to reach k by
-    # those alone is found by the others.
-    rows = shared.written(merged_lists(rows.filter(~F.col("is_hot"))).union(
-        rows.filter(F.col("is_hot") & (F.col("hot") >= needs)).select(
-            F.lit(1).cast("long").alias("kind"), F.col("token").alias("a"), F.col("node").alias("b"), *[F.lit(0).cast("long").alias(x) for x in ("na", "nb", "ha", "hb")]
-        )
-    ), "lists")
-    least_k = F.least(1 + F.floor(F.col("na") / 20), 1 + F.floor(F.col("nb") / 20))
-    times = rows.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"), *[F.max(x).alias(x) for x in ("na", "nb", "ha", "hb")])
-    pairs = times.filter(F.col("times") >= F.greatest(F.lit(1), least_k - F.least("ha", "hb"))).select("a", "b")
-    ties = rows.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"))
+    rows = shared.written(merged_lists(rows), "lists")
+    # A long list gives no pairs. A pair that both have enough long lists for to share k of them is found
+    # by those; else the short lists hold the rest of the k.
+    ties = rows.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n")).distinct()
+    n_long = shared.written(ties.groupBy("node").agg(F.count("*").alias("long"), F.max("n").alias("n")), "long")
+    k = lambda n: 1 + F.floor(n * 3 / 20)
+    pairs = rows.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    for side in "ab":
+        pairs = pairs.join(n_long.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
+    both_long = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
+    pairs = pairs.filter(F.col("times") >= F.greatest(F.lit(1), k(F.least("na", "nb")) - both_long)).select("a", "b")
+    able = n_long.filter(F.col("long") >= k(F.ceil(F.col("n") * PERCENT / 100))).select("node")
+    ties = ties.join(able, "node", "left_semi")
     first = ties.groupBy("token").agg(F.min("node").alias("a"))
     ties = ties.join(first, "token").select("a", F.col("node").alias("b")).filter("a != b").distinct()
     groups = connected(pairs.union(ties), lambda d: shared.written(d, "groups"), shared.discard)

@@ -68,8 +68,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-reach AS (SELECT a AS doc_id, a AS at FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.at),
-least_of AS (SELECT doc_id, min(at) AS c FROM reach GROUP BY doc_id)
+reach AS (SELECT a AS doc_id, a AS seen FROM edge UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.seen),
+least_of AS (SELECT doc_id, min(seen) AS c FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(c, d.doc_id) AS BIGINT) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)
 """
