@@ -330,7 +330,7 @@ def ring_angles(spark, sf):
 
 @query
 def read_filter_weight(spark, sf):
-    out = reads.usable(reads.in_windows(adapters.view(spark, sf, "reads"), adapters.view(spark, sf, "windows"), rows=500), 10)
+    out = reads.usable(reads.in_windows(adapters.view(spark, sf, "reads"), adapters.view(spark, sf, "windows")), 10)
     return out.select("gene", "read_id", F.round(reads.mapq_weight(F.col("mapq")), 6).alias("weight"))
 
 

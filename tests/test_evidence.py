@@ -160,3 +160,24 @@ def test_truth(spark):
 def test_lineage(spark):
     rows = spark.createDataFrame([("PMBL",), (" dlbcl ",), ("T-cell NHL",), ("",), (None,)], "c string")
     assert [r["x"] for r in rows.select(reports.lineage(F.col("c")).alias("x")).collect()] == ["B", "B", "T", "any", "any"]
+
+
+def test_every_read_of_a_window_is_weighed(spark, tmp_path):
+    from junctura.plans import catalogue
+
+    # user 0: one contig that one window covers; every read overlaps it, and is paired and mapped unless its number says otherwise
+    spark.range(1, 1201).select(F.col("id").alias("event_id"), F.lit(0).cast("long").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, "AFRICA")], "r_regionkey long, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = {r["read_id"] for r in catalogue.QUERIES["read_filter_weight"](spark, str(tmp_path)).collect() if r["gene"] == "L1"}
+    start = lambda i: 1_000_000 + i * 7 % 3000
+    near = [i for i in range(1, 1201) if start(i) < 1_001_800]
+    assert len(near) > 500
+    assert got == {i for i in near if i % 17 and i % 19 and i % 23 and i * 13 % 61 >= 10}
+
+
+def test_reads_of_a_window_are_capped_in_order(spark):
+    rows = spark.createDataFrame([(i, "1", 10 * i, 10 * i + 5) for i in range(9, 0, -1)], "read_id long, contig string, ref_start long, ref_end long")
+    windows = spark.createDataFrame([("A", "1", 0, 1000), ("B", "1", 0, 20)], "gene string, chrom string, start long, stop long")
+    got = sorted((r["gene"], r["read_id"]) for r in reads.in_windows(rows, windows, rows=3).collect())
+    assert got == [("A", 1), ("A", 2), ("A", 3), ("B", 1)]
+    assert reads.in_windows(rows, windows).count() == 10 and reads.ROWS_A_LOCUS == 5_000_000
