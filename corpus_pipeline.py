@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from junctura.llm import bpe, host_rules, mixing, near_join, quality, shared
 from junctura.llm.queries import may_learn, tokenizer_path
 
+#: The stage's near copies: word shingles of five, similarity 0.8 or more. The contract's four and 85 bind op8's query only.
+WORDS = 5
+PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_rules.keep(docs)
@@ -22,7 +26,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_join.keep(docs)
+    return near_join.keep(docs, words=WORDS, percent=PERCENT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

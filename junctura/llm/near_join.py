@@ -1,13 +1,13 @@
 """Similarity join of documents on word shingles, by T-occurrence search.
 
-A document is the set of its distinct shingles of ``WORDS`` words. Two documents link when their Jaccard
-similarity reaches ``PERCENT``; the result gives each document its set's size and the least doc_id that
-it can reach by links. The search is exact; only the components of the links are kept, not all links.
+A document is the set of its distinct shingles of ``words`` words. Two documents link when their Jaccard
+similarity reaches ``percent``; both are parameters (``WORDS`` and ``PERCENT``, if not given). The result
+gives each document its set's size and the least doc_id that it can reach by links. The search is exact; only the components of the links are kept, not all links.
 
 1. One pass over the texts gives each set's size and 64-bit name (a second hash tells if two sets ever
    share a name; then the search begins anew with another seed) and the shingles that are frequent in
    the pass's tasks. Documents with one set are one node from here on.
-2. A set of n shingles must share at least T = ``PERCENT`` of n with a partner. As in DivideSkip, its
+2. A set of n shingles must share at least T = ``percent`` of n with a partner. As in DivideSkip, its
    L longest inverted lists are set aside; a partner occurs at least T - L times in the rest. "Longest" is
    an order of all shingles: frequent ones last, else by hash. With n - L = n - T + k short lists, partners
    share at least k = ``k_of(n)`` of them. Short lists are merged by shuffling on the shingle; pairs
@@ -21,7 +21,7 @@ it can reach by links. The search is exact; only the components of the links are
 4. Components of the links, by star steps.
 
 Defined cases: a null text or one without words has no shingles and is its own component; fewer than
-``WORDS`` words are one shingle; rows with equal text are one node; rows with one id but different texts
+``words`` words are one shingle; rows with equal text are one node; rows with one id but different texts
 are different nodes of that id; a null doc_id is never a component's name unless there is no other; an
 empty table gives an empty one; further columns are not read.
 """
@@ -34,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
@@ -104,14 +104,24 @@ class Shingler:
         return tuple(int(x) for x in _mixed(np.array([a, b], np.uint64)).view(np.int64))
 
 
-def t_of(n: np.ndarray) -> np.ndarray:
+def t_of(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The least overlap of a set of n shingles with any partner."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def k_of(n: np.ndarray) -> np.ndarray:
-    """How many short lists partners must share. Never falls as n grows."""
-    return 1 + n * 3 // 20
+def k_of(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """How many short lists partners must share: 1 + n - T, and T at most. Never falls as n grows."""
+    return np.minimum(1 + n - t_of(n, percent), t_of(n, percent))
+
+
+def t_column(n: Column, percent: int) -> Column:
+    """``t_of`` as a Column."""
+    return F.ceil(n * percent / 100)
+
+
+def k_column(n: Column, percent: int) -> Column:
+    """``k_of`` as a Column."""
+    return F.least(1 + n - t_column(n, percent), t_column(n, percent))
 
 
 def _bucket(shingles: np.ndarray) -> np.ndarray:
@@ -122,11 +132,11 @@ def _columns(**values: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values.values()], list(values))
 
 
-def names(df: DataFrame, seed: int) -> DataFrame:
+def names(df: DataFrame, seed: int, words: int) -> DataFrame:
     """kind 0: row of a document (doc_id, n, node, other); kind 1: a frequent bucket (node) and its count (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(seed)
+        own = Shingler(seed, words)
         met = np.zeros(1 << BUCKET_BITS, np.int32)
         for batch in batches:
             n, node, other = [], [], []
@@ -146,11 +156,11 @@ def names(df: DataFrame, seed: int) -> DataFrame:
     return df.mapInArrow(run, "kind long, doc_id long, n long, node long, other long")
 
 
-def postings(df: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
+def postings(df: DataFrame, seed: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """token, node, n, hot (how many of the node's short lists are of frequent shingles), is_hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(seed)
+        own = Shingler(seed, words)
         weight = np.zeros(1 << BUCKET_BITS, np.int64)
         weight[frequent[:, 0]] = frequent[:, 1]
         done: set[int] = set()
@@ -165,7 +175,7 @@ def postings(df: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
                 if len(done) < 500_000:  # spares repeated postings of copies; the rest are merged later
                     done.add(node)
                 w = weight[_bucket(s)]
-                take = int(n - t_of(n) + k_of(n))
+                take = int(n - t_of(n, percent) + k_of(n, percent))
                 pick = np.lexsort((s, w))[:take] if w.any() else slice(0, take)
                 tokens, w = s[pick].view(np.int64), w[pick]
                 parts.append((tokens, w > 0))
@@ -181,7 +191,7 @@ def postings(df: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
     return df.select("text").mapInArrow(run, "token long, node long, n int, hot int, is_hot boolean")
 
 
-def merged_lists(rows: DataFrame) -> DataFrame:
+def merged_lists(rows: DataFrame, percent: int) -> DataFrame:
     """Short lists, merged: kind 0 with (a, b, na, nb, ha, hb) for two nodes of a list, kind 1 with (a =
     token, b = node, na, ha) for each node of a list that is longer than ``LIST``."""
     names = ["kind", "a", "b", "na", "nb", "ha", "hb"]
@@ -200,7 +210,7 @@ def merged_lists(rows: DataFrame) -> DataFrame:
                 continue
             i, j = np.triu_indices(m, 1)
             i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            fit = 100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j])
+            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[fit], j[fit]
             swap = node[i] > node[j]
             i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -240,7 +250,8 @@ def merged_lists(rows: DataFrame) -> DataFrame:
 class Group:
     """The sets that are compared with each other: inverted lists, and what is linked so far."""
 
-    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray) -> None:
+    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray], label: np.ndarray, percent: int = PERCENT) -> None:
+        self.percent = percent
         order = np.argsort(nodes)
         self.nodes, sets = nodes[order], [sets[i] for i in order]
         self.size = np.array([len(s) for s in sets])
@@ -265,7 +276,7 @@ class Group:
     def candidates(self, x: int) -> tuple[np.ndarray, np.ndarray]:
         """(later sets that reach the required overlap with set x, the overlaps), by DivideSkip."""
         lists = self.tokens[self.first[x] : self.first[x + 1]]
-        n, t = len(lists), int(t_of(self.size[x]))
+        n, t = len(lists), int(t_of(self.size[x], self.percent))
         lists = lists[np.argsort(self.list_size[lists], kind="stable")]
         # L by the paper's rule, T / (mu log M + 1): fewer lists to probe the longer they are.
         aside = min(t - 1, int(t / (0.05 * np.log2(self.list_size[lists[-1]] + 1) + 1)))
@@ -276,14 +287,14 @@ class Group:
         count = np.bincount(self.posting[flat] % self.m, minlength=self.m)
         found = np.flatnonzero(count >= t - aside)
         found = found[found > x]
-        fit = 100 * np.minimum(self.size[found], self.size[x]) >= PERCENT * np.maximum(self.size[found], self.size[x])
+        fit = 100 * np.minimum(self.size[found], self.size[x]) >= self.percent * np.maximum(self.size[found], self.size[x])
         found = found[fit]
         if not len(found):
             return found, found
         probe = long.astype(np.int64)[None, :] * self.m + found[:, None]
         at = np.minimum(np.searchsorted(self.posting, probe), len(self.posting) - 1)
         both = count[found] + (self.posting[at] == probe).sum(1)
-        good = 100 * both >= PERCENT * (self.size[found] + self.size[x] - both)
+        good = 100 * both >= self.percent * (self.size[found] + self.size[x] - both)
         return found[good], both[good]
 
     def links(self) -> list[tuple[int, int]]:
@@ -299,7 +310,7 @@ class Group:
         return out
 
 
-def unit_links(rows: DataFrame) -> DataFrame:
+def unit_links(rows: DataFrame, percent: int) -> DataFrame:
     """a, b: links within each unit of ``rows`` (unit, node, label, shingles); nodes with one label are
     linked already. Units are bounded, so each fits a task."""
 
@@ -310,15 +321,15 @@ def unit_links(rows: DataFrame) -> DataFrame:
         out = []
         if len(set(label.tolist())) > 1:
             sets = [np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in one]
-            out = Group(nodes[one], sets, label).links()
+            out = Group(nodes[one], sets, label, percent).links()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return rows.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
-def shingle_sets(df: DataFrame, seed: int) -> DataFrame:
+def shingle_sets(df: DataFrame, seed: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(seed)
+        own = Shingler(seed, words)
         for batch in batches:
             node, sets = [], []
             for t in batch.column(0):
@@ -336,7 +347,7 @@ def _linked(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(roots.withColumnRenamed("root", "reached"), "node", "left").select("node", "group", F.coalesce("reached", "node").alias("label"))
 
 
-def _large_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _large_groups(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links in groups of more than ``GROUP`` nodes (nodes: node, group, size)."""
     state = shared.written(nodes.select("node", "group", F.col("node").alias("label"), "size"), "large")
     if state.isEmpty():
@@ -346,7 +357,7 @@ def _large_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     for step in range(ROUNDS):
         deal = F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("size") / BLOCK))
         unit = F.xxhash64("group", deal, F.lit(step))
-        found = shared.written(unit_links(state.select("node", "label", unit.alias("unit")).join(sets, "node")), "links")
+        found = shared.written(unit_links(state.select("node", "label", unit.alias("unit")).join(sets, "node"), percent), "links")
         links = found if links is None else links.union(found)
         state = shared.written(_linked(links, state).join(size, "node"), "large")
     # Blocks hold nodes of one component where that fills a block, else of several.
@@ -365,24 +376,23 @@ def _large_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     unit = F.xxhash64("group", "block", "block2")
     both = shared.written(both.select(unit.alias("unit"), "group", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block")), "units")
     rows = placed.select("node", "label", "group", "block").join(both, ["group", "block"]).join(sets, "node")
-    return links.union(shared.written(unit_links(rows.select("unit", "node", "label", "shingles")), "links"))
+    return links.union(shared.written(unit_links(rows.select("unit", "node", "label", "shingles"), percent), "links"))
 
 
-def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray) -> DataFrame:
+def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """a, b: enough links between nodes to join every component. df: doc_id, text; docs: doc_id, n, node."""
-    rows = postings(df, seed, frequent)
-    rows = shared.written(merged_lists(rows), "lists")
+    rows = postings(df, seed, frequent, words, percent)
+    rows = shared.written(merged_lists(rows, percent), "lists")
     # A long list gives no pairs. A pair that both have enough long lists for to share k of them is found
     # by those; else the short lists hold the rest of the k.
     ties = rows.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n")).distinct()
     n_long = shared.written(ties.groupBy("node").agg(F.count("*").alias("long"), F.max("n").alias("n")), "long")
-    k = lambda n: 1 + F.floor(n * 3 / 20)
     pairs = rows.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     for side in "ab":
         pairs = pairs.join(n_long.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
     both_long = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
-    pairs = pairs.filter(F.col("times") >= F.greatest(F.lit(1), k(F.least("na", "nb")) - both_long)).select("a", "b")
-    able = n_long.filter(F.col("long") >= k(F.ceil(F.col("n") * PERCENT / 100))).select("node")
+    pairs = pairs.filter(F.col("times") >= F.greatest(F.lit(1), k_column(F.least("na", "nb"), percent) - both_long)).select("a", "b")
+    able = n_long.filter(F.col("long") >= k_column(t_column(F.col("n"), percent), percent)).select("node")
     ties = ties.join(able, "node", "left_semi")
     first = ties.groupBy("token").agg(F.min("node").alias("a"))
     ties = ties.join(first, "token").select("a", F.col("node").alias("b")).filter("a != b").distinct()
@@ -391,18 +401,18 @@ def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray)
     nodes = shared.written(groups.join(sizes, "root").select("node", F.col("root").alias("group"), "size"), "nodes")
     one = docs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.select("node"), "node", "left_semi").select("doc_id")
     texts = df.join(one, "doc_id", "left_semi")
-    sets = shared.written(shingle_sets(texts, seed).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = shared.written(shingle_sets(texts, seed, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     small = nodes.filter(F.col("size") <= GROUP).select("node", F.col("node").alias("label"), F.col("group").alias("unit"))
-    links = shared.written(unit_links(small.join(sets, "node")), "links")
-    return links.union(_large_groups(nodes.filter(F.col("size") > GROUP), sets))
+    links = shared.written(unit_links(small.join(sets, "node"), percent), "links")
+    return links.union(_large_groups(nodes.filter(F.col("size") > GROUP), sets, percent))
 
 
-def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
     """(doc_id, n, node of each row; node, root, least of each node with shingles: its component and the
     least doc_id of its rows; the seed). df: doc_id, text."""
     seed = 0
     while True:
-        found = shared.written(names(df, seed), "names")
+        found = shared.written(names(df, seed, words), "names")
         docs = found.filter("kind = 0").select("doc_id", "n", "node", "other")
         nodes = docs.filter("n > 0").groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"), F.min("n").alias("n1"), F.max("n").alias("n2"))
         if nodes.filter("low != high or n1 != n2").isEmpty():
@@ -410,28 +420,28 @@ def _classes(df: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         seed += 1
     frequent = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).toPandas().to_numpy(np.int64).reshape(-1, 2)  # 2**BUCKET_BITS rows at most
     known = docs.filter("n > 0")
-    links = node_links(df, known, seed, frequent)
+    links = node_links(df, known, seed, frequent, words, percent)
     roots = connected(links, lambda d: shared.written(d, "components"), shared.discard)
     least = known.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     return docs.select("doc_id", "n", "node"), named, seed
 
 
-def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, one row for each row of ``df``."""
-    docs, named, _ = _classes(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    docs, named, _ = _classes(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words, percent)
     component = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(component, "root").select("node", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return docs.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` that stay when one of each component does (the one with the least id), all columns
     as they were; rows without shingles stay. Where ids are missing or repeat, rows are told apart by the
     names of their sets, worked out once more, so that of equal rows one stays."""
     columns = df.columns
-    docs, named, seed = _classes(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    docs, named, seed = _classes(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), words, percent)
     first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("first")).select("first.least", "first.node")
     empty = docs.filter("n = 0")
     repeats = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1 or doc_id is null")
@@ -441,7 +451,7 @@ def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
     @F.pandas_udf("long")
     def node_of(texts: pd.Series) -> pd.Series:
-        own = Shingler(seed)
+        own = Shingler(seed, words)
         found = [own.shingles(t or "") for t in texts]
         return pd.Series([own.name(s)[0] if len(s) else None for s in found], dtype="Int64")
 

@@ -248,6 +248,54 @@ def test_near_copies_are_those_of_brute_force(spark, docs, monkeypatch):
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()], key=str) == brute(rows)
 
 
+def groups_of(rows, words, percent):
+    """(places, shingles) of each group of near copies among ``rows`` (id, text), by brute force."""
+    sets = []
+    for _, text in rows:
+        w = text.split()
+        sets.append(frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))))
+    near = [[100 * len(x & y) >= percent * len(x | y) for y in sets] for x in sets]
+    root = list(range(len(sets)))
+    for _ in rows:
+        root = [min(root[b] for b in range(len(sets)) if near[a][b]) for a in range(len(sets))]
+    return root, [len(s) for s in sets]
+
+
+def test_the_pipelines_near_copies_have_five_words_and_80_percent(spark, monkeypatch):
+    import corpus_pipeline
+
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = [(1, word("a", 60)), (2, word("a", 60) + word("b", 12)), (3, word("c", 60)), (4, word("c", 60) + word("d", 15))]  # 56 of 68 (0.82), 56 of 71 (0.79)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.ngram_jaccard_join(spark, df, "").collect()) == [1, 3, 4]
+    assert sorted(r["doc_id"] for r in near_join.keep(df).collect()) == [1, 2, 3, 4]
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(70):
+        text = word("w", 80)
+        for k in rng.integers(0, 80, rng.integers(0, 5)):
+            text[k] = f"x{rng.integers(0, 50)}"
+        rows.append((i, " ".join(text[: 80 - rng.integers(0, 12)])))
+    for name, value in (("LIST", 4), ("GROUP", 8), ("BLOCK", 4), ("FREQUENT", 30)):
+        monkeypatch.setattr(near_join, name, value)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root, size = groups_of(rows, 5, 80)
+    assert root != groups_of(rows, 4, 85)[0] and len(set(root)) > 1
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near_join.components(df, words=5, percent=80).collect()}
+    assert got == {i: (root[i], size[i]) for i in range(70)}
+
+
+def test_the_lists_to_share_follow_from_the_percent(spark):
+    n = np.arange(1, 500)
+    df = spark.createDataFrame([(int(x),) for x in n], "n long")
+    for percent in (50, 80, 85, 99, 100):
+        t, k = near_join.t_of(n, percent), near_join.k_of(n, percent)
+        got = df.select(near_join.t_column(F.col("n"), percent).alias("t"), near_join.k_column(F.col("n"), percent).alias("k")).toPandas()
+        assert got["t"].tolist() == t.tolist() and got["k"].tolist() == k.tolist()
+        assert (k >= 1).all() and (k <= t).all() and (np.diff(k) >= 0).all()
+    assert (near_join.k_of(n) == 1 + n * 3 // 20).all()
+
+
 def test_one_of_each_group_stays(docs):
     kept = near_join.keep(docs.filter("doc_id is null or doc_id <> 8"))
     assert kept.columns == docs.columns
