@@ -400,7 +400,8 @@ def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray,
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     nodes = shared.written(groups.join(sizes, "root").select("node", F.col("root").alias("group"), "size"), "nodes")
     one = docs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.select("node"), "node", "left_semi").select("doc_id")
-    texts = df.join(one, "doc_id", "left_semi")
+    # A node whose rows all lack an id has no least one: all texts without an id are read, and their sets told by node.
+    texts = df.join(one, "doc_id", "left_semi").union(df.filter("doc_id is null"))
     sets = shared.written(shingle_sets(texts, seed, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     small = nodes.filter(F.col("size") <= GROUP).select("node", F.col("node").alias("label"), F.col("group").alias("unit"))
     links = shared.written(unit_links(small.join(sets, "node"), percent), "links")

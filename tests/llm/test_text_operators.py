@@ -296,6 +296,17 @@ def test_the_lists_to_share_follow_from_the_percent(spark):
     assert (near_join.k_of(n) == 1 + n * 3 // 20).all()
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    a, b = word("a", 60), word("b", 60)
+    texts = [(5, a), (None, [*a, "more"]), (None, b), (None, [*b, "more"]), (None, word("c", 30)), (9, word("d", 30))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_join.components(df).collect()), key=str)
+    assert got == brute([(i, " ".join(w)) for i, w in texts])
+    kept = [r["text"].split()[0] for r in near_join.keep(df).collect()]
+    assert sorted(kept) == ["a0", "b0", "c0", "d0"]
+
+
 def test_one_of_each_group_stays(docs):
     kept = near_join.keep(docs.filter("doc_id is null or doc_id <> 8"))
     assert kept.columns == docs.columns
