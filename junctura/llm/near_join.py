@@ -5,20 +5,23 @@ similarity reaches ``percent``; both are parameters (``WORDS`` and ``PERCENT``,
 gives each document its set's size and the least doc_id that it can reach by links. The search is exact; only the components of the links are kept, not all links.
 
 1. One pass over the texts gives each set's size and 64-bit name (a second hash tells if two sets ever
-   share a name; then the search begins anew with another seed) and the shingles that are frequent in
-   the pass's tasks. Documents with one set are one node from here on.
+   share a name; then the search begins anew with another seed) and the ``FREQUENT`` shingles that the
+   tasks met most often. Documents with one set are one node from here on.
 2. A set of n shingles must share at least T = ``percent`` of n with a partner. As in DivideSkip, its
    L longest inverted lists are set aside; a partner occurs at least T - L times in the rest. "Longest" is
    an order of all shingles: frequent ones last, else by hash. With n - L = n - T + k short lists, partners
-   share at least k = ``k_of(n)`` of them. Short lists are merged by shuffling on the shingle; pairs
-   that occur often enough remain. A list that is longer than ``LIST`` gives no pairs: its nodes are tied
-   to one of them.
-3. Pairs and ties make groups of nodes; only within groups are whole sets compared. In a group, for each
-   set, short lists are merged, candidates below T - L drop out, the others are probed in the long
-   lists by binary search, and those that reach the required overlap link. What is linked already isn't
-   compared again. A group of more than ``GROUP`` nodes is dealt into blocks: blocks by themselves first,
-   dealt anew a few times, then every two blocks that aren't of one component.
-4. Components of the links, by star steps.
+   share at least k = ``k_of(n)`` of them. Short lists are merged by shuffling on the shingle (frequent
+   ones, which are known to be shared, are dealt out by node as well); a list of one node goes.
+3. A node goes that has fewer shared lists than the k of its smallest possible partner. Among the others
+   lists are counted exactly, and the same bound is used once more in the order of those counts: of a
+   node's c shared lists, partners must meet in one of the c - k + 1 shortest. The nodes of each such list
+   are tied to its least node; a list of more than ``LIST`` nodes is dealt into parts that are tied first.
+4. Ties make groups of nodes; only within groups are whole sets compared. In a group, for each set,
+   short lists are merged, candidates below T - L drop out, the others are probed in the long lists by
+   binary search, and those that reach the required overlap link. What is linked already isn't compared
+   again. A group of more than ``GROUP`` nodes is dealt into blocks: blocks by themselves first, dealt anew
+   a few times, then every two blocks that aren't of one component.
+5. Components of the links, by star steps.
 
 Defined cases: a null text or one without words has no shingles and is its own component; fewer than
 ``words`` words are one shingle; rows with equal text are one node; rows with one id but different texts
@@ -33,8 +36,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
@@ -42,13 +45,17 @@ from . import shared
 
 WORDS = 4
 PERCENT = 85
-LIST = 16
+#: Nodes of a list that are tied at once.
+LIST = 4096
 GROUP = 512
 BLOCK = 256
 ROUNDS = 2
-BUCKET_BITS = 22
-#: A shingle is frequent if its bucket is met this often in one task.
-FREQUENT = 8
+#: Nodes that a task remembers, so as not to count or give out copies again.
+REMEMBERED = 500_000
+#: How many of the most frequent shingles are ordered last; this many at most reach the driver from a task.
+FREQUENT = 20_000
+#: Shingles that a task gathers before it counts them.
+COUNTED_AT_ONCE = 1 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -124,127 +131,150 @@ def k_column(n: Column, percent: int) -> Column:
     return F.least(1 + n - t_column(n, percent), t_column(n, percent))
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def prefix_of(n: int, percent: int) -> int:
+    """How many lists of a set of n shingles are not set aside."""
+    return int(n - t_of(n, percent) + k_of(n, percent)) if n else 0
 
 
-def _columns(**values: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values.values()], list(values))
+class Frequent:
+    """The ``FREQUENT`` shingles met most often, in bounded memory: those counted so far and the next
+    ``COUNTED_AT_ONCE`` are counted together, and the most frequent stay."""
 
+    def __init__(self) -> None:
+        self.tokens, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n = 0
 
-def names(df: DataFrame, seed: int, words: int) -> DataFrame:
-    """kind 0: row of a document (doc_id, n, node, other); kind 1: a frequent bucket (node) and its count (n)."""
+    def add(self, tokens: np.ndarray) -> None:
+        self.waiting.append(tokens)
+        self.n += len(tokens)
+        if self.n >= COUNTED_AT_ONCE:
+            self.fold()
+
+    def fold(self) -> None:
+        tokens, counts = np.unique(np.concatenate([*self.waiting, np.zeros(0, np.uint64)]), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1]
+        self.tokens, at = np.unique(np.concatenate([self.tokens, tokens]), return_inverse=True)
+        self.counts = np.bincount(at, np.concatenate([self.counts, counts]), len(self.tokens)).astype(np.int64)
+        if len(self.tokens) > FREQUENT:
+            most = np.argpartition(self.counts, -FREQUENT)[-FREQUENT:]
+            self.tokens, self.counts = self.tokens[most], self.counts[most]
+        self.waiting, self.n = [], 0
+
+
+def names(df: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
+    """kind 0: row of a document (doc_id, n, node, other); kind 1: a frequent shingle (node) and its count (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Shingler(seed, words)
-        met = np.zeros(1 << BUCKET_BITS, np.int32)
+        own, often = Shingler(seed, words), Frequent()
+        done: set[int] = set()
         for batch in batches:
             n, node, other = [], [], []
             for t in batch.column(1):
                 s = own.shingles(t.as_py() or "")
-                met[_bucket(s)] += 1
                 a, b = own.name(s)
+                if a not in done:  # copies count once, as far as they are remembered
+                    often.add(s[: prefix_of(len(s), percent)])
+                    if len(done) < REMEMBERED:
+                        done.add(a)
                 n.append(len(s))
                 node.append(a)
                 other.append(b)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(n), pa.int64()), batch.column(0), *(pa.array(v, pa.int64()) for v in (n, node, other))], ["kind", "doc_id", "n", "node", "other"]
             )
-        often = np.flatnonzero(met >= FREQUENT)
-        yield _columns(kind=[1] * len(often), doc_id=[None] * len(often), n=met[often].tolist(), node=often.tolist(), other=[0] * len(often))
+        often.fold()
+        m = len(often.tokens)
+        values = (np.ones(m, np.int64), np.zeros(m, np.int64), often.counts, often.tokens.view(np.int64), np.zeros(m, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], ["kind", "doc_id", "n", "node", "other"])
 
     return df.mapInArrow(run, "kind long, doc_id long, n long, node long, other long")
 
 
 def postings(df: DataFrame, seed: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """token, node, n, hot (how many of the node's short lists are of frequent shingles), is_hot."""
+    """token, node, n, often: the short lists of each node, and whether a list is of a frequent shingle.
+    frequent: such shingles, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(seed, words)
-        weight = np.zeros(1 << BUCKET_BITS, np.int64)
-        weight[frequent[:, 0]] = frequent[:, 1]
+        place = np.argsort(frequent)
+        known = frequent[place]
         done: set[int] = set()
         for batch in batches:
             parts, sizes = [], []
             for t in batch.column(0):
                 s = own.shingles(t.as_py() or "")
-                n = len(s)
-                node = own.name(s)[0]
+                n, node = len(s), own.name(s)[0]
                 if not n or node in done:
                     continue
-                if len(done) < 500_000:  # spares repeated postings of copies; the rest are merged later
+                if len(done) < REMEMBERED:  # spares repeated postings of copies; the rest are merged later
                     done.add(node)
-                w = weight[_bucket(s)]
-                take = int(n - t_of(n, percent) + k_of(n, percent))
-                pick = np.lexsort((s, w))[:take] if w.any() else slice(0, take)
-                tokens, w = s[pick].view(np.int64), w[pick]
-                parts.append((tokens, w > 0))
-                sizes.append((node, n, int((w > 0).sum()), len(tokens)))
+                take = prefix_of(n, percent)
+                often = np.zeros(take, bool)
+                tokens = s[:take]
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    rank = np.where(known[at] == s, place[at] + 1, 0)
+                    if rank.any():
+                        pick = np.argsort(rank, kind="stable")[:take]
+                        tokens, often = s[pick], rank[pick] > 0
+                parts.append((tokens.view(np.int64), often))
+                sizes.append((node, n, take))
             if parts:
-                node, n, hot, times = (np.array(c, np.int64) for c in zip(*sizes, strict=True))
-                is_hot = np.concatenate([p[1] for p in parts])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([p[0] for p in parts])), pa.array(np.repeat(node, times)), pa.array(np.repeat(n, times).astype(np.int32)), pa.array(np.repeat(hot, times).astype(np.int32)), pa.array(is_hot)],
-                    ["token", "node", "n", "hot", "is_hot"],
-                )
-
-    return df.select("text").mapInArrow(run, "token long, node long, n int, hot int, is_hot boolean")
-
-
-def merged_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """Short lists, merged: kind 0 with (a, b, na, nb, ha, hb) for two nodes of a list, kind 1 with (a =
-    token, b = node, na, ha) for each node of a list that is longer than ``LIST``."""
-    names = ["kind", "a", "b", "na", "nb", "ha", "hb"]
-
-    def pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.concatenate([first, [len(token)]]))
-        for m in np.unique(size):
-            if m < 2:
-                continue
-            at = first[size == m]
-            if m > LIST:
-                pick = (at[:, None] + np.arange(m)).ravel()
-                zero = np.zeros(len(pick), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, token[pick], node[pick], n[pick], zero, hot[pick], zero)], names)
-                continue
-            i, j = np.triu_indices(m, 1)
-            i, j = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-            fit = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[fit], j[fit]
-            swap = node[i] > node[j]
-            i, j = np.where(swap, j, i), np.where(swap, i, j)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.zeros(len(i), np.int64), node[i], node[j], n[i], n[j], hot[i], hot[j])], names)
+                node, n, times = (np.array(c, np.int64) for c in zip(*sizes, strict=True))
+                columns = [np.concatenate([p[0] for p in parts]), np.repeat(node, times), np.repeat(n, times).astype(np.int32), np.concatenate([p[1] for p in parts])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "often"])
+
+    return df.select("text").mapInArrow(run, "token long, node long, n int, often boolean")
+
+
+def shared_lists(rows: DataFrame) -> DataFrame:
+    """token, node, n: each node of each list of several nodes, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 3  # the last row so far
+        given = np.zeros(0, bool)  # whether it has been given out
         for batch in batches:
-            hot = batch.filter(batch.column(4))
-            if hot.num_rows:  # frequent shingles' lists are long without being gathered
-                zero = np.zeros(hot.num_rows, np.int64)
-                token, node, n, h = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in hot.columns[:4])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero + 1, token, node, n, zero, h, zero)], names)
-                batch = batch.filter(pc.invert(batch.column(4)))
-            now = [np.concatenate([k, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for k, c in zip(kept, batch.columns[:4], strict=True)]
-            new = np.ones(len(now[0]), bool)  # copies in other tasks have given the same postings
-            new[1:] = (now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])
-            now = [x[new] for x in now]
-            # All but the last list are whole. Of a last list that is too long already, its last LIST + 1
-            # nodes are kept back, so that what follows is known to be long too.
-            cut = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
-            yield from pairs(*(x[:cut] for x in now)) if cut else ()
-            if len(now[0]) - cut > 4 * LIST:
-                early = slice(cut, len(now[0]) - LIST - 1)
-                yield from pairs(*(x[early] for x in now))
-                cut = len(now[0]) - LIST - 1
-            kept = [x[cut:] for x in now]
-        if len(kept[0]):
-            yield from pairs(*kept)
-
-    place = F.when(F.col("is_hot"), F.xxhash64("token", "node")).otherwise(F.col("token"))
-    by_token = rows.withColumn("place", place).repartition("place").sortWithinPartitions("is_hot", "token", "node")
-    return by_token.select("token", "node", "n", "hot", "is_hot").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+            if not batch.num_rows:
+                continue
+            token, node, n = (np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns[:3], strict=True))
+            sure = np.concatenate([given, batch.column(3).to_numpy(zero_copy_only=False)])
+            done = np.zeros(len(token), bool)
+            done[: len(given)] = given
+            new = np.ones(len(token), bool)  # copies in other tasks have given the same postings
+            new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+            token, node, n, sure, done = (x[new] for x in (token, node, n, sure, done))
+            same = token[1:] == token[:-1]
+            give = sure.copy()
+            give[1:] |= same
+            give[:-1] |= same
+            out = give & ~done
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, node, n)], ["token", "node", "n"])
+            held, given = [x[-1:] for x in (token, node, n)], give[-1:]
+
+    place = F.when(F.col("often"), F.xxhash64("token", "node")).otherwise(F.col("token"))
+    by_token = rows.withColumn("place", place).repartition("place").sortWithinPartitions("often", "token", "node")
+    return by_token.select("token", "node", "n", "often").mapInArrow(run, "token long, node long, n long")
+
+
+def ties(lists: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges that join all nodes which may be partners. lists: token, node, n of shared lists, read twice."""
+    least_k = k_column(t_column(F.col("n"), percent), percent)  # of the smallest possible partner
+    able = lists.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_k).select("node")
+    live = shared.written(lists.join(able, "node", "left_semi"), "live")
+    sizes = live.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
+    by_node = W.partitionBy("node")
+    few = live.join(sizes, "token").select(
+        "token", "node", "n", "m", F.row_number().over(by_node.orderBy("m", "token")).alias("place"), F.count("*").over(by_node).alias("c")
+    )
+    few = few.filter(F.col("place") <= F.col("c") - least_k + 1)
+    few = shared.written(few.select("token", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / LIST)).alias("part")), "few")
+    heads = few.groupBy("token", "part").agg(F.min("node").alias("a"))
+    first = heads.groupBy("token").agg(F.min("a").alias("first"))
+    edges = few.join(heads, ["token", "part"]).select("a", F.col("node").alias("b"))
+    edges = edges.union(heads.join(first, "token").select(F.col("first").alias("a"), F.col("a").alias("b")))
+    return edges.filter("a != b").distinct()
 
 
 class Group:
@@ -381,22 +411,8 @@ def _large_groups(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
     """a, b: enough links between nodes to join every component. df: doc_id, text; docs: doc_id, n, node."""
-    rows = postings(df, seed, frequent, words, percent)
-    rows = shared.written(merged_lists(rows, percent), "lists")
-    # A long list gives no pairs. A pair that both have enough long lists for to share k of them is found
-    # by those; else the short lists hold the rest of the k.
-    ties = rows.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("node"), F.col("na").alias("n")).distinct()
-    n_long = shared.written(ties.groupBy("node").agg(F.count("*").alias("long"), F.max("n").alias("n")), "long")
-    pairs = rows.filter("kind = 0").groupBy("a", "b").agg(F.count("*").alias("times"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    for side in "ab":
-        pairs = pairs.join(n_long.select(F.col("node").alias(side), F.col("long").alias(f"long_{side}")), side, "left")
-    both_long = F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0)))
-    pairs = pairs.filter(F.col("times") >= F.greatest(F.lit(1), k_column(F.least("na", "nb"), percent) - both_long)).select("a", "b")
-    able = n_long.filter(F.col("long") >= k_column(t_column(F.col("n"), percent), percent)).select("node")
-    ties = ties.join(able, "node", "left_semi")
-    first = ties.groupBy("token").agg(F.min("node").alias("a"))
-    ties = ties.join(first, "token").select("a", F.col("node").alias("b")).filter("a != b").distinct()
-    groups = connected(pairs.union(ties), lambda d: shared.written(d, "groups"), shared.discard)
+    lists = shared.written(shared_lists(postings(df, seed, frequent, words, percent)), "lists")
+    groups = connected(ties(lists, percent), lambda d: shared.written(d, "groups"), shared.discard)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     nodes = shared.written(groups.join(sizes, "root").select("node", F.col("root").alias("group"), "size"), "nodes")
     one = docs.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes.select("node"), "node", "left_semi").select("doc_id")
@@ -413,13 +429,14 @@ def _classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     least doc_id of its rows; the seed). df: doc_id, text."""
     seed = 0
     while True:
-        found = shared.written(names(df, seed, words), "names")
+        found = shared.written(names(df, seed, words, percent), "names")
         docs = found.filter("kind = 0").select("doc_id", "n", "node", "other")
         nodes = docs.filter("n > 0").groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high"), F.min("n").alias("n1"), F.max("n").alias("n2"))
         if nodes.filter("low != high or n1 != n2").isEmpty():
             break
         seed += 1
-    frequent = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).toPandas().to_numpy(np.int64).reshape(-1, 2)  # 2**BUCKET_BITS rows at most
+    often = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
+    frequent = np.ascontiguousarray(often["node"].to_numpy(np.int64)[::-1]).view(np.uint64)
     known = docs.filter("n > 0")
     links = node_links(df, known, seed, frequent, words, percent)
     roots = connected(links, lambda d: shared.written(d, "components"), shared.discard)
