@@ -40,9 +40,11 @@ BATCH_CHARS = 1 << 20
 #: ASCII marks after which a word's tokens don't depend on the word; separators that
 #: Python's split() takes for white space and Unicode doesn't.
 MARKS = ".,!?;"
-#: Fixed value: words of letters that normalisation leaves single letters; each is one pre-token.
+#: Fixed value: words of letters that normalisation leaves single letters, but lower-cases; each is one pre-token.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 WORDS_AT_ONCE = 2000
+#: Longer chunks aren't remembered.
+LONGEST_KEPT = 64
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
@@ -66,37 +68,35 @@ class ChunkEncoder:
         self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        cut, new, made = {}, set(), {}
+        """Ids of chunks that aren't in ``kept``; remembers those that aren't long."""
+        older, kept = self.older, self.kept
+        made, cut, odd = {}, [], []
         for c in chunks:
-            if (known := self.older.get(c)) is not None:
+            if (known := older.get(c)) is not None:
                 made[c] = known
-                continue
-            word = c.rstrip(MARKS)
-            if word != c and PLAIN.fullmatch(word):
-                cut[c] = (word, c[len(word) :])
-                new.update(cut[c])
+            elif PLAIN.fullmatch(word := c.rstrip(MARKS)):
+                cut.append((c, word.lower(), c[len(word) :]))
             else:
-                new.add(c)
-        for c in new:
-            if (known := self.kept.get(c) or self.older.get(c)) is not None:
-                made[c] = known
-        rest = [c for c in new if c not in made]
-        plain = [c for c in rest if PLAIN.fullmatch(c)]
-        for at in range(0, len(plain), WORDS_AT_ONCE):
-            made.update(self._plain(plain[at : at + WORDS_AT_ONCE]))
-        rest = [c for c in rest if c not in made]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+                odd.append(c)
+        new = {word for _, word, _ in cut}
+        words = {w: known for w in new if (known := kept.get(w) or older.get(w) or made.get(w)) is not None}
+        rest = [w for w in new if w not in words]
+        for at in range(0, len(rest), WORDS_AT_ONCE):
+            words.update(self._plain(rest[at : at + WORDS_AT_ONCE]))
+        odd += {tail for _, _, tail in cut if tail and tail not in kept and tail not in made}
+        odd += [w for w in rest if w not in words]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             made[c] = np.array(e.ids, "<u4").tobytes()
-        made.update((c, made[a] + made[b]) for c, (a, b) in cut.items())
-        if len(self.kept) + len(made) > CHUNKS_KEPT:
-            self.kept, self.older = {}, self.kept
-        self.kept.update((k, v) for k, v in made.items() if len(k) <= 64)
+        words.update((w, made[w]) for w in rest if w not in words)
+        for c, word, tail in cut:
+            made[c] = words[word] + (kept.get(tail) or made[tail]) if tail else words[word]
+        kept.update(made if max(map(len, made), default=0) <= LONGEST_KEPT else {k: v for k, v in made.items() if len(k) <= LONGEST_KEPT})
         return made
 
     def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters, encoded as one text and parted at the tokens that end a word; none if those
         aren't as many as the words."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
         if len(ends) != len(words):
             return {}
@@ -104,15 +104,18 @@ class ChunkEncoder:
         return {w: packed[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
     def _all(self, texts: list[str]) -> list[bytes]:
+        if len(self.kept) > CHUNKS_KEPT:
+            self.kept, self.older = {}, self.kept
         cuts = [CHUNKS.findall(t) if any(x in t for x in NOT_WHITE) else t.split() for t in texts]
-        new = {c for chunks in cuts for c in chunks if c not in self.kept}
-        more = self._learn(new) if new else {}
-        kept = self.kept
-        try:
-            return [b"".join([kept[c] for c in chunks]) for chunks in cuts]
-        except KeyError:  # chunks too long to keep, or what is remembered has just been renewed
-            known = [more, kept, self.older]
-            return [b"".join([next(k[c] for k in known if c in k) for c in chunks]) for chunks in cuts]
+        new = set().union(*cuts)
+        new.difference_update(self.kept.keys())
+        made, known, out = self._learn(new) if new else {}, self.kept, []
+        for chunks in cuts:
+            try:
+                out.append(b"".join([known[c] for c in chunks]))
+            except KeyError:  # chunks too long to keep
+                out.append(b"".join([known[c] if c in known else made[c] for c in chunks]))
+        return out
 
     def batches(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         some, chars = [], 0
