@@ -21,7 +21,6 @@ from hashlib import sha256
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -305,22 +304,31 @@ def round_trip(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
 
 def tokenized(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     """``df`` with token_ids of each text, n_tokens, and decoded (what the ids decode to); columns of these
-    names are replaced. A null text has no ids."""
+    names are replaced (names are told apart as Spark does, without case). A null text has no ids. Rows
+    leave Python a few megabytes at a time, so memory doesn't grow with the length of texts but for one."""
 
-    @F.pandas_udf("token_ids array<int>, n_tokens long, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("token_ids array<int>, n_tokens long, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = load(tokenizer)
-        for texts in batches:
-            ids = [np.frombuffer(p, "<u4") for p in bpe.batches(texts)]
-            yield pd.DataFrame(
-                {
-                    "token_ids": pd.Series([i.astype(np.int32) for i in ids], dtype=object),
-                    "n_tokens": [len(i) for i in ids],
-                    "decoded": [bpe.decode(i).decode() for i in ids],
-                }
-            )
 
-    out = df.withColumn("bpe_out", run(F.col(text)))
-    for name in ("token_ids", "n_tokens", "decoded"):
-        out = out.withColumn(name, F.col("bpe_out").getField(name))
-    return out.drop("bpe_out")
+        def packed_rows(ids: list[bytes]) -> pa.Array:
+            size = np.array([len(i) // 4 for i in ids], np.int64)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            decoded = pa.array([bpe.decode(np.frombuffer(i, "<u4")) for i in ids], pa.binary()).cast(pa.string())
+            return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, values), pa.array(size), decoded], ["token_ids", "n_tokens", "decoded"])
+
+        for texts in batches:
+            some, held = [], 0
+            for ids in bpe.batches(t.as_py() for t in texts):
+                some.append(ids)
+                held += len(ids)
+                if held >= BATCH_CHARS:
+                    yield packed_rows(some)
+                    some, held = [], 0
+            yield packed_rows(some)
+
+    made = ("token_ids", "n_tokens", "decoded")
+    names = [c for c in df.columns if c.lower() not in made]
+    out = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), run(F.col(text)).alias("made"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], *[F.col("made").getField(c).alias(c) for c in made])
