@@ -2,15 +2,15 @@
 
 Quality rules and the quality classifier drop documents, the n-gram Jaccard join keeps one document of
 each group, the mix drops or repeats documents by their source's target, and the last stage adds token
-ids and what they decode to. Counted as part of the text operators (junctura.llm).
+ids and what they decode to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from junctura.llm import bpe, host_rules, mixing, near_join, quality, shared
-from junctura.llm.queries import may_learn, tokenizer_path
+from . import bpe, host_rules, mixing, near_join, quality, shared
+from .queries import may_learn, tokenizer_path
 
 #: The stage's near copies: word shingles of five, similarity 0.8 or more. The contract's four and 85 bind op8's query only.
 WORDS = 5
