@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Writer = Callable[[DataFrame], DataFrame]
+EDGES_A_TASK = 200_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,12 +38,13 @@ def connected(edges: DataFrame, write: Writer, drop: Callable[[DataFrame], None]
     Alternates large-star and small-star steps until the edges are stars; the number of rounds grows with
     the logarithm of the graph's size. No node's neighbours are ever gathered: the steps are minima, added
     up where the edges lie, and joins that Spark splits at hot nodes. Each round is written by ``write``,
-    so a lost executor costs the tasks it ran.
+    so a lost executor costs the tasks it ran. Steps end in as many tasks as the edges need.
     """
     edges = edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = write(edges)
-    while not _settled(edges):
-        before, edges = edges, write(_small_star(_large_star(edges)))
+    tasks = -(-edges.count() // EDGES_A_TASK)
+    while tasks and not _settled(edges):
+        before, edges = edges, write(_small_star(_large_star(edges)).coalesce(tasks))
         if drop:
             drop(before)
     roots = edges.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("root"))
