@@ -12,16 +12,17 @@ gives each document its set's size and the least doc_id that it can reach by lin
    an order of all shingles: frequent ones last, else by hash. With n - L = n - T + k short lists, partners
    share at least k = ``k_of(n)`` of them. Short lists are merged by shuffling on the shingle (frequent
    ones, which are known to be shared, are dealt out by node as well); a list of one node goes.
-3. A node goes that has fewer shared lists than the k of its smallest possible partner. Among the others
-   lists are counted exactly, and the same bound is used once more in the order of those counts: of a
-   node's c shared lists, partners must meet in one of the c - k + 1 shortest. The nodes of each such list
-   are tied to its least node; a list of more than ``LIST`` nodes is dealt into parts that are tied first.
+3. The same bound is used once more, in the order of the lists' exact lengths: of the c shared lists of a
+   node, it must meet a partner in one of the c - k + 1 shortest, with the k of its smallest possible
+   partner (a node with fewer than k goes). The nodes of each such list are tied to its least node; a list
+   of more than ``LIST`` nodes is dealt into parts that are tied first.
 4. Ties make groups of nodes; only within groups are whole sets compared. In a group, for each set,
    short lists are merged, candidates below T - L drop out, the others are probed in the long lists by
    binary search, and those that reach the required overlap link. What is linked already isn't compared
-   again. A group of more than ``GROUP`` nodes is dealt into blocks: blocks by themselves first, dealt anew
-   a few times, then every two blocks that aren't of one component.
-5. Components of the links, by star steps.
+   again. A group of more than ``GROUP`` nodes is dealt into blocks: blocks by themselves first, then a few
+   times one node for each component so far, in blocks dealt anew, then every two blocks that aren't of
+   one component.
+5. Components: within a unit by union-find; what remains between blocks by star steps.
 
 Defined cases: a null text or one without words has no shingles and is its own component; fewer than
 ``words`` words are one shingle; rows with equal text are one node; rows with one id but different texts
@@ -45,11 +46,12 @@ from . import shared
 
 WORDS = 4
 PERCENT = 85
-#: Nodes of a list that are tied at once.
-LIST = 4096
+#: Nodes of a list that are tied at once. Lists of more than ``LONG`` times as many aren't measured, but all long.
+LIST = 1024
+LONG = 64
 GROUP = 512
 BLOCK = 256
-ROUNDS = 2
+ROUNDS = 3
 #: Nodes that a task remembers, so as not to count or give out copies again.
 REMEMBERED = 500_000
 #: How many of the most frequent shingles are ordered last; this many at most reach the driver from a task.
@@ -229,47 +231,58 @@ def postings(df: DataFrame, seed: int, frequent: np.ndarray, words: int, percent
 
 
 def shared_lists(rows: DataFrame) -> DataFrame:
-    """token, node, n: each node of each list of several nodes, once."""
+    """token, node, n, m: each node of each list of several nodes, once, and the list's length (0: long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3  # the last row so far
-        given = np.zeros(0, bool)  # whether it has been given out
+        held = [np.zeros(0, np.int64)] * 3  # the last list so far; of a long one its last row, which has been given
+        is_long = False
+
+        def given(token: np.ndarray, node: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(token):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, node, n, m)], ["token", "node", "n", "m"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             token, node, n = (np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, batch.columns[:3], strict=True))
-            sure = np.concatenate([given, batch.column(3).to_numpy(zero_copy_only=False)])
-            done = np.zeros(len(token), bool)
-            done[: len(given)] = given
+            often = np.concatenate([np.zeros(len(held[0]), bool), batch.column(3).to_numpy(zero_copy_only=False)])
             new = np.ones(len(token), bool)  # copies in other tasks have given the same postings
             new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
-            token, node, n, sure, done = (x[new] for x in (token, node, n, sure, done))
-            same = token[1:] == token[:-1]
-            give = sure.copy()
-            give[1:] |= same
-            give[:-1] |= same
-            out = give & ~done
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, node, n)], ["token", "node", "n"])
-            held, given = [x[-1:] for x in (token, node, n)], give[-1:]
+            token, node, n, often = (x[new] for x in (token, node, n, often))
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            size = np.diff(np.concatenate([first, [len(token)]]))
+            m = np.repeat(size, size)
+            m[often] = 0
+            out = m != 1
+            if is_long:
+                m[: size[0]] = 0
+                out[: size[0]] = True
+                out[0] = False
+            last = first[-1]
+            is_long = bool(m[last] == 0 or size[-1] > LONG * LIST)
+            if is_long:
+                m[last:] = 0
+                held = [x[-1:] for x in (token, node, n)]
+            else:
+                out[last:] = False
+                held = [x[last:] for x in (token, node, n)]
+            yield from given(*(x[out] for x in (token, node, n, m)))
+        if not is_long and len(held[0]) > 1:
+            yield from given(*held, np.full(len(held[0]), len(held[0])))
 
     place = F.when(F.col("often"), F.xxhash64("token", "node")).otherwise(F.col("token"))
     by_token = rows.withColumn("place", place).repartition("place").sortWithinPartitions("often", "token", "node")
-    return by_token.select("token", "node", "n", "often").mapInArrow(run, "token long, node long, n long")
+    return by_token.select("token", "node", "n", "often").mapInArrow(run, "token long, node long, n long, m long")
 
 
 def ties(lists: DataFrame, percent: int) -> DataFrame:
-    """a, b: edges that join all nodes which may be partners. lists: token, node, n of shared lists, read twice."""
+    """a, b: edges that join all nodes which may be partners. lists: token, node, n, m of shared lists."""
     least_k = k_column(t_column(F.col("n"), percent), percent)  # of the smallest possible partner
-    able = lists.groupBy("node").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_k).select("node")
-    live = shared.written(lists.join(able, "node", "left_semi"), "live")
-    sizes = live.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1")
     by_node = W.partitionBy("node")
-    few = live.join(sizes, "token").select(
-        "token", "node", "n", "m", F.row_number().over(by_node.orderBy("m", "token")).alias("place"), F.count("*").over(by_node).alias("c")
-    )
-    few = few.filter(F.col("place") <= F.col("c") - least_k + 1)
-    few = shared.written(few.select("token", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / LIST)).alias("part")), "few")
+    order = by_node.orderBy(F.col("m") == 0, "m", "token")
+    few = lists.withColumn("place", F.row_number().over(order)).withColumn("c", F.count("*").over(by_node)).filter(F.col("place") <= F.col("c") - least_k + 1)
+    parts = F.when(F.col("m") == 0, LONG).otherwise(F.ceil(F.col("m") / LIST))
+    few = shared.written(few.select("token", "node", F.pmod(F.xxhash64("node"), parts).alias("part")), "few")
     heads = few.groupBy("token", "part").agg(F.min("node").alias("a"))
     first = heads.groupBy("token").agg(F.min("a").alias("first"))
     edges = few.join(heads, ["token", "part"]).select("a", F.col("node").alias("b"))
@@ -328,7 +341,7 @@ class Group:
         return found[good], both[good]
 
     def links(self) -> list[tuple[int, int]]:
-        """Links that join what was apart."""
+        """Places of sets whose links join what was apart."""
         out = []
         for x in range(self.m):
             if self.size[x]:
@@ -336,27 +349,44 @@ class Group:
                     a, b = self.root(x), self.root(y)
                     if a != b:
                         self.parent[max(a, b)] = min(a, b)
-                        out.append((int(self.nodes[x]), int(self.nodes[y])))
+                        out.append((x, y))
         return out
 
 
+def _group(table: pa.Table, percent: int) -> tuple[Group | None, np.ndarray, np.ndarray]:
+    """The sets of a unit (None if all have one label), its nodes, rising, and their labels."""
+    nodes, one = np.unique(table["node"].to_numpy(), return_index=True)
+    label = table["label"].to_numpy()[one]
+    if len(set(label.tolist())) < 2:
+        return None, nodes, label
+    return Group(nodes, [np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in one], label, percent), nodes, label
+
+
 def unit_links(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: links within each unit of ``rows`` (unit, node, label, shingles); nodes with one label are
-    linked already. Units are bounded, so each fits a task."""
+    """a, b: links between labels within each unit of ``rows`` (unit, node, label, shingles); nodes with one
+    label are linked already. Units are bounded, so each fits a task."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        nodes = table["node"].to_numpy()
-        _, one = np.unique(nodes, return_index=True)
-        label = table["label"].to_numpy()[one]
-        out = []
-        if len(set(label.tolist())) > 1:
-            sets = [np.frombuffer(table["shingles"][int(i)].as_py(), np.uint64) for i in one]
-            out = Group(nodes[one], sets, label, percent).links()
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+        group, _, label = _group(table, percent)
+        found = np.array(group.links() if group else [], np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(label[found[:, 0]], pa.int64()), "b": pa.array(label[found[:, 1]], pa.int64())})
 
     return rows.groupBy("unit").applyInArrow(run, "a long, b long")
 
 
+def unit_roots(rows: DataFrame, percent: int) -> DataFrame:
+    """node, root: the least node of its component, where every node is in one unit only (labels: nodes)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        group, nodes, _ = _group(table, percent)
+        if group:
+            group.links()
+        root = nodes[[group.root(i) for i in range(len(nodes))]] if group else nodes
+        return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(root, pa.int64())})
+
+    return rows.groupBy("unit").applyInArrow(run, "node long, root long")
+
+
 def shingle_sets(df: DataFrame, seed: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(seed, words)
@@ -371,27 +401,22 @@ def shingle_sets(df: DataFrame, seed: int, words: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def _linked(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, group, label: the component of each node so far."""
-    roots = connected(links, lambda d: shared.written(d, "round"), shared.discard)
-    return nodes.join(roots.withColumnRenamed("root", "reached"), "node", "left").select("node", "group", F.coalesce("reached", "node").alias("label"))
-
-
 def _large_groups(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links in groups of more than ``GROUP`` nodes (nodes: node, group, size)."""
-    state = shared.written(nodes.select("node", "group", F.col("node").alias("label"), "size"), "large")
+    """node, root of groups of more than ``GROUP`` nodes (nodes: node, group)."""
+    state = shared.written(nodes.select("node", "group", F.col("node").alias("label")), "large")
     if state.isEmpty():
-        return state.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-    size = state.select("node", "size")
-    links = None
+        return state.select("node", F.col("label").alias("root"))
     for step in range(ROUNDS):
+        # One node stands for each component so far; each of these is in one block.
+        heads = state.filter("node = label").select("node", "group")
+        size = heads.groupBy("group").agg(F.count("*").alias("size"))
         deal = F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("size") / BLOCK))
         unit = F.xxhash64("group", deal, F.lit(step))
-        found = shared.written(unit_links(state.select("node", "label", unit.alias("unit")).join(sets, "node"), percent), "links")
-        links = found if links is None else links.union(found)
-        state = shared.written(_linked(links, state).join(size, "node"), "large")
+        units = heads.join(size, "group").select("node", F.col("node").alias("label"), unit.alias("unit"))
+        roots = unit_roots(units.join(sets, "node"), percent).select(F.col("node").alias("label"), "root")
+        state = shared.written(state.join(roots, "label").select("node", "group", F.col("root").alias("label")), "large")
     # Blocks hold nodes of one component where that fills a block, else of several.
-    parts = state.groupBy("group", "label").agg(F.count("*").alias("members"), F.max("size").alias("size"))
+    parts = state.groupBy("group", "label").agg(F.count("*").alias("members"))
     parts = parts.withColumn("own", F.col("members") >= BLOCK)
     rest = parts.filter(~F.col("own")).groupBy("group").agg(F.sum("members").alias("loose"))
     parts = parts.join(rest, "group", "left").select(
@@ -406,12 +431,14 @@ def _large_groups(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     unit = F.xxhash64("group", "block", "block2")
     both = shared.written(both.select(unit.alias("unit"), "group", F.explode(F.array_distinct(F.array("block", "block2"))).alias("block")), "units")
     rows = placed.select("node", "label", "group", "block").join(both, ["group", "block"]).join(sets, "node")
-    return links.union(shared.written(unit_links(rows.select("unit", "node", "label", "shingles"), percent), "links"))
+    links = unit_links(rows.select("unit", "node", "label", "shingles"), percent)
+    roots = connected(links, lambda d: shared.written(d, "round"), shared.discard).select(F.col("node").alias("label"), "root")
+    return state.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
 
 
-def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """a, b: enough links between nodes to join every component. df: doc_id, text; docs: doc_id, n, node."""
-    lists = shared.written(shared_lists(postings(df, seed, frequent, words, percent)), "lists")
+def node_roots(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
+    """node, root: the components of all nodes that may have partners. df: doc_id, text; docs: doc_id, n, node."""
+    lists = shared_lists(postings(df, seed, frequent, words, percent))
     groups = connected(ties(lists, percent), lambda d: shared.written(d, "groups"), shared.discard)
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     nodes = shared.written(groups.join(sizes, "root").select("node", F.col("root").alias("group"), "size"), "nodes")
@@ -420,8 +447,7 @@ def node_links(df: DataFrame, docs: DataFrame, seed: int, frequent: np.ndarray,
     texts = df.join(one, "doc_id", "left_semi").union(df.filter("doc_id is null"))
     sets = shared.written(shingle_sets(texts, seed, words).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     small = nodes.filter(F.col("size") <= GROUP).select("node", F.col("node").alias("label"), F.col("group").alias("unit"))
-    links = shared.written(unit_links(small.join(sets, "node"), percent), "links")
-    return links.union(_large_groups(nodes.filter(F.col("size") > GROUP), sets, percent))
+    return shared.written(unit_roots(small.join(sets, "node"), percent).union(_large_groups(nodes.filter(F.col("size") > GROUP), sets, percent)), "roots")
 
 
 def _classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
@@ -438,8 +464,7 @@ def _classes(df: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     often = found.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     frequent = np.ascontiguousarray(often["node"].to_numpy(np.int64)[::-1]).view(np.uint64)
     known = docs.filter("n > 0")
-    links = node_links(df, known, seed, frequent, words, percent)
-    roots = connected(links, lambda d: shared.written(d, "components"), shared.discard)
+    roots = node_roots(df, known, seed, frequent, words, percent)
     least = known.groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     return docs.select("doc_id", "n", "node"), named, seed
