@@ -37,15 +37,15 @@ from . import shared
 MAGIC = 0x31_42_56_53_44_49_4B_54
 CHUNKS_KEPT = 250_000
 BATCH_CHARS = 1 << 20
-#: ASCII marks after which a word's tokens don't depend on the word; separators that
-#: Python's split() takes for white space and Unicode doesn't.
-MARKS = ".,!?;"
+#: Separators that Python's split() takes for white space and Unicode doesn't.
+NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: Fixed value: words of letters that normalisation leaves single letters, but lower-cases; each is one pre-token.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Between such a letter and a mark before white space: the mark is a pre-token of its own.
+BEFORE_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;](?:[\t-\r \x85\xa0]|\\Z))")
 WORDS_AT_ONCE = 2000
 #: Longer chunks aren't remembered.
 LONGEST_KEPT = 64
-NOT_WHITE = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
 
@@ -67,30 +67,18 @@ class ChunkEncoder:
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of chunks that aren't in ``kept``; remembers those that aren't long."""
-        older, kept = self.older, self.kept
-        made, cut, odd = {}, [], []
-        for c in chunks:
-            if (known := older.get(c)) is not None:
-                made[c] = known
-            elif PLAIN.fullmatch(word := c.rstrip(MARKS)):
-                cut.append((c, word.lower(), c[len(word) :]))
-            else:
-                odd.append(c)
-        new = {word for _, word, _ in cut}
-        words = {w: known for w in new if (known := kept.get(w) or older.get(w) or made.get(w)) is not None}
-        rest = [w for w in new if w not in words]
-        for at in range(0, len(rest), WORDS_AT_ONCE):
-            words.update(self._plain(rest[at : at + WORDS_AT_ONCE]))
-        odd += {tail for _, _, tail in cut if tail and tail not in kept and tail not in made}
-        odd += [w for w in rest if w not in words]
-        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+        older = self.older
+        made = {c: older[c] for c in chunks if c in older}
+        rest = chunks.difference(made)
+        plain = [c for c in rest if PLAIN.fullmatch(c)]
+        for at in range(0, len(plain), WORDS_AT_ONCE):
+            made.update(self._plain(plain[at : at + WORDS_AT_ONCE]))
+        rest = list(rest.difference(made))
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             made[c] = np.array(e.ids, "<u4").tobytes()
-        words.update((w, made[w]) for w in rest if w not in words)
-        for c, word, tail in cut:
-            made[c] = words[word] + (kept.get(tail) or made[tail]) if tail else words[word]
-        kept.update(made if max(map(len, made), default=0) <= LONGEST_KEPT else {k: v for k, v in made.items() if len(k) <= LONGEST_KEPT})
+        self.kept.update(made if max(map(len, made), default=0) <= LONGEST_KEPT else {k: v for k, v in made.items() if len(k) <= LONGEST_KEPT})
         return made
 
     def _plain(self, words: list[str]) -> dict[str, bytes]:
@@ -103,10 +91,20 @@ class ChunkEncoder:
         packed, ends = ids.tobytes(), ends.tolist()
         return {w: packed[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
+    def _chunks(self, text: str) -> list[str]:
+        text = BEFORE_MARK.sub(" ", text)
+        if any(x in text for x in NOT_WHITE):
+            return CHUNKS.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return text.lower().split()  # here as the tokenizer lower-cases: letter by letter
+
     def _all(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > CHUNKS_KEPT:
             self.kept, self.older = {}, self.kept
-        cuts = [CHUNKS.findall(t) if any(x in t for x in NOT_WHITE) else t.split() for t in texts]
+        cuts = [self._chunks(t) for t in texts]
         new = set().union(*cuts)
         new.difference_update(self.kept.keys())
         made, known, out = self._learn(new) if new else {}, self.kept, []
