@@ -1,14 +1,16 @@
 """Language identification with string kernels.
 
-A text is lower-cased and its ``ALPHABET - 1`` most frequent characters (of the training texts) are told
-apart; all others are one symbol. The blended-spectrum presence kernel of two texts is the number of
-n-grams of one to ``ORDER`` symbols that both contain, divided by the root of the product of the numbers
-that each contains. Landmarks (training texts) give the Nyström features k(x, landmarks) K^(-1/2); on
-those, one ridge regression for each language against the rest is solved in closed form. Scoring is two
-matrix products for a batch of texts. The whole of every text counts.
+Texts are lower-cased. The blended-spectrum presence kernel of two texts is the number of n-grams of one to
+``ORDER`` code points that both contain, divided by the root of the product of the numbers that each
+contains; n-grams are told apart by hashes of ``BITS`` bits, so no alphabet is preferred and memory doesn't
+grow with the number of scripts. Landmarks (training texts) give the Nyström features
+k(x, landmarks) K^(-1/2); on those, one ridge regression for each language against the rest is solved in
+closed form: its normal equations are added up where the training texts lie. Scoring is two matrix products
+for a batch of texts. The whole of every text counts.
 
 The classifier is fitted on a bounded sample: for each language the ``PER_LANGUAGE`` documents of at most
-``TRAINING_CHARS`` characters with the least hash of their id.
+``TRAINING_CHARS`` characters with the least hash of their id; ``LANDMARKS`` of these, the languages by
+turns, are landmarks. Only ids, the landmarks' texts and sums reach the driver.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; equal scores give the first
 language by name; without training rows every text is ``und``; repeated rows are judged alike; an empty
@@ -17,7 +19,6 @@ table gives an empty one; of further columns none is read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,37 +29,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ORDER = 3
-ALPHABET = 64
+BITS = 16
 PER_LANGUAGE = 200
 TRAINING_CHARS = 20_000
 LANDMARKS = 256
 RIDGE = 1e-3
 BATCH = 128
-_BITS = 6
-_PLACES = [sum(1 << _BITS * n for n in range(1, k + 1)) for k in range(ORDER + 1)]
+#: Training rows of a task that adds up normal equations.
+ROWS_A_TASK = 500
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class Kernel:
-    """Turns texts into presence of n-grams over an alphabet."""
+    """Presence of n-grams; ``at`` are those that ``texts`` contain."""
 
     def __init__(self, texts: list[str]) -> None:
-        seen = Counter(ch for t in texts for ch in t.lower())
-        letters = [ch for ch, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 1]]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        self.symbol[[ord(ch) for ch in letters]] = np.arange(1, len(letters) + 1)
-        self.seen = np.zeros(_PLACES[ORDER], np.uint8)
+        self.seen = np.zeros(1 << BITS, np.uint8)
+        self.at = np.unique(np.concatenate([np.zeros(0, np.int64), *[self.presence(t)[0] for t in texts]]))
 
     def grams(self, text: str) -> np.ndarray:
-        """The code of every n-gram of the text, repeats included."""
-        s = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")].astype(np.int32)
-        out, code = [s], s
-        for n in range(1, ORDER):
-            code = code[:-1] << _BITS | s[n:]
-            out.append(code + _PLACES[n])
-        return np.concatenate(out)
+        """The hash of every n-gram of the text, repeats included."""
+        s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        out, code = [], s
+        for n in range(ORDER):
+            if n:
+                code = code[:-1] * _ODD[0] + s[n:]
+            mixed = (code ^ (code >> np.uint64(29))) * _ODD[1]
+            out.append(mixed >> np.uint64(64 - BITS))
+        return np.concatenate(out).astype(np.int64)
 
     def presence(self, text: str, at: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-        """(presence of the n-grams ``at``, or the codes of all that are present; how many are present)."""
+        """(presence of the n-grams ``at``, or the hashes of all that are present; how many are present)."""
         codes = self.grams(text)
         self.seen[codes] = 1
         n = int(np.count_nonzero(self.seen))
@@ -67,39 +68,63 @@ class Kernel:
         return found, n
 
 
-class Model:
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> None:
-        self.languages = sorted(set(langs))
+class Landmarks:
+    """Nyström features of texts, from the texts that are landmarks."""
+
+    def __init__(self, texts: list[str]) -> None:
         self.kernel = Kernel(texts)
-        own = [self.kernel.presence(t) for t in texts]
-        by_language = {x: [i for i, y in enumerate(langs) if y == x] for x in self.languages}
-        turns = [i for group in zip(*[v + [None] * (len(texts) - len(v)) for v in by_language.values()], strict=True) for i in group if i is not None]
-        marks = turns[:landmarks]
-        self.at = np.unique(np.concatenate([own[i][0] for i in marks]))
-        place = np.full(_PLACES[ORDER], -1)
-        place[self.at] = np.arange(len(self.at))
-        self.marks = np.zeros((len(self.at), len(marks)), np.float32)
-        for j, i in enumerate(marks):
-            self.marks[place[own[i][0]], j] = 1
-        self.mark_norm = np.sqrt(np.array([own[i][1] for i in marks], np.float32))
-        among = self.marks.T @ self.marks / self.mark_norm[:, None] / self.mark_norm[None, :]
+        self.marks, self.mark_norm = self.rows(texts)
+        among = self.marks @ self.marks.T / self.mark_norm[:, None] / self.mark_norm[None, :]
         value, vector = np.linalg.eigh(among.astype(float))
         kept = value > 1e-6 * value.max()
-        root = vector[:, kept] / np.sqrt(value[kept])
-        features = self._kernel(texts) @ root
-        features = np.hstack([features, np.ones((len(texts), 1))])
-        wanted = np.array([[1.0 if y == x else -1.0 for x in self.languages] for y in langs])
-        left = features.T @ features + RIDGE * len(texts) * np.eye(features.shape[1])
-        weights = np.linalg.solve(left, features.T @ wanted)
-        self.weights, self.bias = (root @ weights[:-1]).astype(np.float32), weights[-1].astype(np.float32)
+        self.root = vector[:, kept] / np.sqrt(value[kept])
 
-    def _kernel(self, texts: list[str]) -> np.ndarray:
-        rows = np.zeros((len(texts), len(self.at)), np.float32)
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.zeros((len(texts), len(self.kernel.at)), np.float32)
         norm = np.ones(len(texts), np.float32)
         for i, t in enumerate(texts):
-            rows[i], n = self.kernel.presence(t, self.at)
+            rows[i], n = self.kernel.presence(t, self.kernel.at)
             norm[i] = np.sqrt(max(n, 1))
-        return rows @ self.marks / self.mark_norm[None, :] / norm[:, None]
+        return rows, norm
+
+    def similar(self, texts: list[str]) -> np.ndarray:
+        rows, norm = self.rows(texts)
+        return rows @ self.marks.T / self.mark_norm[None, :] / norm[:, None]
+
+    def sums(self, texts: list[str], langs: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The normal equations of these texts: features' products with each other and with +1 or -1 for each language."""
+        size = self.root.shape[1] + 1
+        left, right = np.zeros((size, size)), np.zeros((size, len(languages)))
+        for at in range(0, len(texts), BATCH):
+            some = texts[at : at + BATCH]
+            features = np.hstack([self.similar(some) @ self.root, np.ones((len(some), 1))])
+            wanted = np.array([[1.0 if y == x else -1.0 for x in languages] for y in langs[at : at + BATCH]])
+            left += features.T @ features
+            right += features.T @ wanted
+        return left, right
+
+
+class Model:
+    def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> None:
+        """Fitted on texts at hand, of which the first ones are landmarks."""
+        marks = Landmarks(texts[:landmarks])
+        languages = sorted(set(langs))
+        self._solve(marks, languages, len(texts), *marks.sums(texts, langs, languages))
+
+    @classmethod
+    def of(cls, marks: Landmarks, languages: list[str], n: int, left: np.ndarray, right: np.ndarray) -> Model:
+        """Fitted on the normal equations of n texts."""
+        out = cls.__new__(cls)
+        out._solve(marks, languages, n, left, right)
+        return out
+
+    def _solve(self, marks: Landmarks, languages: list[str], n: int, left: np.ndarray, right: np.ndarray) -> None:
+        weights = np.linalg.solve(left + RIDGE * n * np.eye(len(left)), right)
+        self.marks, self.languages = marks, languages
+        self.weights, self.bias = (marks.root @ weights[:-1]).astype(np.float32), weights[-1].astype(np.float32)
+
+    def _kernel(self, texts: list[str]) -> np.ndarray:
+        return self.marks.similar(texts)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         value = self._kernel(texts) @ self.weights + self.bias
@@ -109,24 +134,42 @@ class Model:
         return [self.languages[i] for i in best], share.astype(float).tolist()
 
 
-def training_rows(df: DataFrame, may_learn, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """The sample: ids first, without texts, then the texts of those ids."""
+def fit(df: DataFrame, may_learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """The model of the sample, None without any: ids first, without texts, then the landmarks' texts, then the
+    sums over the sample's texts."""
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAINING_CHARS) & may_learn(F.col("doc_id")))
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= TRAINING_CHARS) & may_learn(F.col("doc_id")))
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE).select("doc_id", "lang").collect()
+    few = rows.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PER_LANGUAGE).collect()
     if not few:
-        return []
-    wanted = {(r["doc_id"], r["lang"]) for r in few}
-    found = rows.filter(F.col("doc_id").isin(sorted({i for i, _ in wanted if i is not None}))).select("doc_id", "lang", "text")
-    one = found.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
-    return sorted((r["text"], r["lang"]) for r in one if (r["doc_id"], r["lang"]) in wanted)
+        return None
+    few.sort(key=lambda r: (r["k"], r["lang"]))
+    languages = sorted({r["lang"] for r in few})
+    spark, kind = df.sparkSession, df.schema[doc_id].dataType.simpleString()
+
+    def texts_of(ids: list) -> DataFrame:
+        wanted = spark.createDataFrame([(r["doc_id"], r["lang"]) for r in ids], f"doc_id {kind}, lang string")
+        return rows.join(F.broadcast(wanted), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # PER_LANGUAGE ids a language
+
+    found = {(r["doc_id"], r["lang"]): r["text"] for r in texts_of(few[:LANDMARKS]).collect()}
+    marks = Landmarks([found[r["doc_id"], r["lang"]] for r in few[:LANDMARKS]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = marks.root.shape[1] + 1
+        n, left, right = 0, np.zeros((size, size)), np.zeros((size, len(languages)))
+        for batch in batches:
+            more = marks.sums(batch.column(1).to_pylist(), batch.column(0).to_pylist(), languages)
+            n, left, right = n + batch.num_rows, left + more[0], right + more[1]
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (left, right)]], ["n", "left", "right"])
+
+    sums = texts_of(few).select("lang", "text").coalesce(-(-len(few) // ROWS_A_TASK)).mapInArrow(run, "n long, left binary, right binary").collect()
+    total = [sum(np.frombuffer(r[c]) for r in sums) for c in ("left", "right")]
+    return Model.of(marks, languages, sum(r["n"] for r in sums), total[0].reshape(len(total[0]) // (marks.root.shape[1] + 1), -1), total[1].reshape(marks.root.shape[1] + 1, -1))
 
 
 def identify(df: DataFrame, may_learn, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, lang_pred, score; ``may_learn`` says of a doc_id whether its row may be learned from."""
-    sample = training_rows(df, may_learn, doc_id, text, lang)
-    model = Model(*map(list, zip(*sample, strict=True))) if sample else None
+    model = fit(df, may_learn, doc_id, text, lang)
     letter = regex.compile(r"\p{L}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
