@@ -2,7 +2,10 @@
 
 Each document gets counts from its whole text and a base verdict. Failures of the rules are then
 added up by host, the hosts' failure rates are shrunk towards an empirical beta prior, and the
-verdict on the host is joined back to its documents. Everything is DataFrame functions.
+verdict on the host is joined back to its documents. A host is rejected when its posterior leaves
+little doubt (``DOUBT_Z`` standard deviations) that its rate has more than ``ODDS`` times the odds of
+the prior's mean. Where hosts don't differ by more than chance, the prior is a point and none is
+rejected. Everything is DataFrame functions.
 
 Defined cases: a null text is an empty one (no words, so it fails the base rules); null hosts form
 one host of their own; repeated rows are judged each by itself; an empty table gives an empty one;
@@ -23,10 +26,12 @@ MAX_REPEAT_PERCENT = 30
 MAX_SYMBOL_PERCENT = 10
 #: A document fails a line rule when more than this share of its lines are copies of earlier ones.
 MAX_DUP_LINE_PERCENT = 30
-#: A host goes when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
-#: Bounds of the prior's weight in documents.
-PRIOR_WEIGHT = (2.0, 1e6)
+#: A host goes when its failures have more than this many times the odds of the prior's mean ...
+ODDS = 2.0
+#: ... by this many standard deviations of its posterior.
+DOUBT_Z = 1.96
+#: The prior weighs at least as much as one document, also where hosts fail wholly or not at all.
+LEAST_WEIGHT = 1.0
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -98,23 +103,27 @@ def host_rates(judged: DataFrame) -> DataFrame:
     return judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
 
 
-def beta_prior(rates: DataFrame) -> tuple[float, float]:
-    """Mean and weight (alpha + beta) of the prior, by moments over the hosts: one row reaches the driver."""
+def beta_prior(rates: DataFrame) -> tuple[float, float | None]:
+    """Mean and weight (alpha + beta) of the prior, by moments over the hosts; the weight is None where hosts
+    differ by no more than chance. One row reaches the driver."""
     total = rates.agg(F.sum("n").alias("n"), F.sum("n_failed").alias("bad"), F.count("*").alias("hosts")).first()
     if not total["n"]:
-        return 0.0, PRIOR_WEIGHT[1]
+        return 0.0, None
     mean = total["bad"] / total["n"]
     spread = rates.agg(F.sum(F.col("n") * F.pow(F.col("n_failed") / F.col("n") - F.lit(mean), 2)).alias("s")).first()["s"] / total["n"]
     extra = spread - mean * (1 - mean) * total["hosts"] / total["n"]  # what chance alone doesn't explain
-    weight = (mean * (1 - mean) - spread) / extra if extra > 0 else PRIOR_WEIGHT[1]
-    return mean, min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
+    return mean, max((mean * (1 - mean) - spread) / extra, LEAST_WEIGHT) if extra > 0 else None
 
 
 def host_verdicts(rates: DataFrame) -> DataFrame:
-    """Adds host_rate, shrunk, and host_rejected."""
+    """Adds host_rate (the posterior's mean) and host_rejected."""
     mean, weight = beta_prior(rates)
+    if weight is None:
+        return rates.withColumn("host_rate", F.lit(mean)).withColumn("host_rejected", F.lit(False))
     rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
-    return rates.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") > MAX_HOST_RATE)
+    doubt = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("n") + F.lit(weight + 1)))
+    limit = ODDS * mean / (1 - mean + ODDS * mean)
+    return rates.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") - DOUBT_Z * doubt > limit)
 
 
 def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:

@@ -29,9 +29,9 @@ h AS (SELECT source, count(*) AS n, sum(CASE WHEN failed THEN 1 ELSE 0 END) AS b
 m AS (SELECT sum(bad) / sum(n) AS mean, count(*) AS hosts, sum(n) AS total FROM h),
 v AS (SELECT any_value(mean) AS mean, sum(n * (bad / n - mean) * (bad / n - mean)) / any_value(total) AS spread,
              any_value(hosts) / any_value(total) AS per FROM h, m),
-p AS (SELECT mean, greatest(2.0, least(1e6, CASE WHEN spread - mean * (1 - mean) * per > 0
-        THEN (mean * (1 - mean) - spread) / (spread - mean * (1 - mean) * per) ELSE 1e6 END)) AS weight FROM v),
-r AS (SELECT source, (bad + mean * weight) / (n + weight) > 0.5 AS rejected FROM h, p)
+p AS (SELECT mean, spread - mean * (1 - mean) * per AS extra, greatest(1.0, (mean * (1 - mean) - spread) / (spread - mean * (1 - mean) * per)) AS weight FROM v),
+q AS (SELECT source, n, (bad + mean * weight) / (n + weight) AS rate, weight, mean, extra FROM h, p),
+r AS (SELECT source, extra > 0 AND rate - 1.96 * sqrt(rate * (1 - rate) / (n + weight + 1)) > 2 * mean / (1 + mean) AS rejected FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM j JOIN r ON j.source IS NOT DISTINCT FROM r.source
 """
