@@ -85,14 +85,7 @@ _RULE = " ".join(f"WHEN {_fits(h, p)} THEN '{h}/{p}'" for h, p, _ in _RULES)
 _VERDICT = " ".join(f"WHEN {_fits(h, p)} THEN '{v}'" for h, p, v in _RULES)
 
 
-def _level(k: int) -> str:
-    above = ", ".join(f"t{i}" for i in range(1, k))
-    by = "host" + (", " + above if above else "")
-    same = "".join(f" AND l{k - 1}.t{i} IS NOT DISTINCT FROM w{k}.t{i}" for i in range(1, k))
-    return f"""
-w{k} AS (SELECT {by} FROM l{k - 1} GROUP BY {by} HAVING count(DISTINCT g{k}) > 50),
-l{k} AS (SELECT l{k - 1}.*, CASE WHEN w{k}.host IS NOT NULL AND g{k} IS NOT NULL THEN '*' ELSE g{k} END AS t{k}
-       FROM l{k - 1} LEFT JOIN w{k} ON l{k - 1}.host = w{k}.host{same})"""
+_BY = "host, k, above, form"
 
 
 OP10 = rf"""
@@ -100,19 +93,37 @@ WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^(?:.*?)://([^
                   regexp_extract(coalesce(url, ''), '(?s)^(?:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 v AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
 r AS (SELECT *, CASE {_RULE} END AS rule, CASE {_VERDICT} END AS said, regexp_replace(path, '[0-9]+', '<n>', 'g') AS general FROM v),
-x AS (SELECT *, CASE WHEN general <> '' THEN string_split(substr(general, 2), '/') END AS seg FROM r),
-l0 AS (SELECT *, seg[1] AS g1, seg[2] AS g2, seg[3] AS g3, CASE WHEN len(seg) > 3 THEN '**' END AS deep FROM x),{_level(1)},{_level(2)},{_level(3)},
-c AS (SELECT *, CASE WHEN t1 IS NULL THEN '' ELSE '/' || concat_ws('/', t1, t2, t3, deep) END AS template FROM l3),
-br AS (SELECT host, t1, t2, t3, deep, sum(CASE WHEN said = 'block' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN said = 'allow' THEN 1 ELSE 0 END) AS a
-       FROM c GROUP BY ALL),
-po AS (SELECT *, sum(b) OVER sib AS pb, sum(a) OVER sib AS pa FROM br WINDOW sib AS (PARTITION BY host, t1 IS NULL, t2, t3, deep)),
-al AS (SELECT *, b + a > 0 AND pow(b / greatest(b + a, 1) - pb / greatest(pb + pa, 1), 2) * (b + a)
-         <= 1.96 * 1.96 * (pb / greatest(pb + pa, 1)) * (1 - pb / greatest(pb + pa, 1)) AS alike FROM po),
-me AS (SELECT *, CASE WHEN alike THEN sum(b) FILTER (alike) OVER sib ELSE b END AS mb, CASE WHEN alike THEN sum(a) FILTER (alike) OVER sib ELSE a END AS ma
-       FROM al WINDOW sib AS (PARTITION BY host, t1 IS NULL, t2, t3, deep))
-SELECT page_id, c.host, path, rule, coalesce(said, CASE WHEN (mb + 1) / (mb + ma + 2) >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template
-FROM c JOIN me ON c.host = me.host AND c.t1 IS NOT DISTINCT FROM me.t1 AND c.t2 IS NOT DISTINCT FROM me.t2 AND c.t3 IS NOT DISTINCT FROM me.t3
-  AND c.deep IS NOT DISTINCT FROM me.deep
+p AS (SELECT host, general, CASE WHEN general = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(substr(general, 2), '/') END AS s, count(*) AS n,
+             sum(CASE WHEN said = 'block' THEN 1 ELSE 0 END) AS b, sum(CASE WHEN said = 'allow' THEN 1 ELSE 0 END) AS a FROM r GROUP BY ALL),
+e AS (SELECT host, general, n, s, len(s) AS d, unnest(range(1, len(s) + 1)) AS k FROM p),
+g AS (SELECT host, d, k, s[k] AS value, sum(n) AS n FROM e GROUP BY ALL),
+wild AS (SELECT host, d, k, true AS is_wild FROM g GROUP BY host, d, k HAVING 2 * sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) > sum(n) + 2),
+x AS (SELECT host, general, list(CASE WHEN is_wild THEN '*' ELSE s[k] END ORDER BY k) AS t FROM e LEFT JOIN wild USING (host, d, k) GROUP BY host, general),
+own AS (SELECT host, general, coalesce(t, CAST([] AS VARCHAR[])) AS t, n, b, a FROM p LEFT JOIN x USING (host, general)),
+m AS (SELECT host, t, sum(n) AS n, sum(b) AS b, sum(a) AS a FROM own GROUP BY host, t),
+lv AS (SELECT *, len(t) AS d, unnest(range(1, len(t) + 1)) AS k FROM m),
+tree AS (SELECT host, t, k, n, b, a, array_to_string(t[1:k - 1], '/') AS above, t[k] AS value, concat(d - k, ':', array_to_string(t[k + 1:d], '/')) AS below,
+                concat(CASE WHEN t[k] = '*' THEN '*' WHEN contains(t[k], '<n>') THEN 'n' WHEN t[k] = '' THEN '' ELSE 'w' END, ':', regexp_extract(t[k], '\.[A-Za-z<>]*$')) AS form
+         FROM lv),
+sh AS (SELECT {_BY}, value, below, sum(n) AS n, sum(b) AS b, sum(a) AS a FROM tree GROUP BY ALL),
+br AS (SELECT {_BY}, value, sum(n) AS own_n, sum(b) AS own_b, sum(a) AS own_a FROM sh GROUP BY ALL),
+fa AS (SELECT {_BY}, sum(own_n) AS all_n, sum(own_b) AS all_b, sum(own_a) AS all_a, count(*) AS branches FROM br GROUP BY ALL),
+ki AS (SELECT {_BY}, below, sum(n) AS kind_n FROM sh GROUP BY ALL),
+fr AS (SELECT {_BY}, count(*) - 1 AS free FROM ki GROUP BY ALL),
+ch AS (SELECT {_BY}, value, sum(CAST(n AS DOUBLE) * n * all_n / (CAST(own_n AS DOUBLE) * kind_n)) - any_value(own_n) AS chi
+       FROM sh JOIN ki USING ({_BY}, below) JOIN br USING ({_BY}, value) JOIN fa USING ({_BY}) GROUP BY {_BY}, value),
+al AS (SELECT {_BY}, value FROM ch JOIN br USING ({_BY}, value) JOIN fa USING ({_BY}) JOIN fr USING ({_BY})
+       WHERE branches > 1
+         AND chi <= CASE WHEN free > 0 THEN free * pow(1 - 2.0 / (9 * free) + 3.09 * sqrt(2.0 / (9 * free)), 3) ELSE 0 END + 0.05 * own_n + 1e-9
+         AND (own_b + own_a = 0 OR pow(own_b / greatest(own_b + own_a, 1) - all_b / greatest(all_b + all_a, 1), 2) * (own_b + own_a)
+              <= 1.96 * 1.96 * (all_b / greatest(all_b + all_a, 1)) * (1 - all_b / greatest(all_b + all_a, 1)) + 1e-9)),
+me AS (SELECT *, true AS is_merged FROM al WHERE ({_BY}) IN (SELECT ({_BY}) FROM al GROUP BY {_BY} HAVING count(*) > 1)),
+na AS (SELECT host, t, list(CASE WHEN is_merged THEN concat('~', form) ELSE value END ORDER BY k) AS class FROM tree LEFT JOIN me USING ({_BY}, value) GROUP BY host, t),
+cl AS (SELECT host, t, coalesce(class, t) AS class, b, a FROM m LEFT JOIN na USING (host, t)),
+ju AS (SELECT host, class, (sum(b) + 1) / (sum(b) + sum(a) + 2) >= 0.8 AS rejected FROM cl GROUP BY host, class)
+SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN len(cl.class) = 0 THEN '' ELSE concat('/', array_to_string(cl.class, '/')) END AS template
+FROM r JOIN own ON r.host = own.host AND r.general = own.general JOIN cl ON own.host = cl.host AND own.t = cl.t JOIN ju ON ju.host = cl.host AND ju.class = cl.class
 """
 
 ORACLES: dict[str, str] = {

@@ -1,15 +1,19 @@
 """URL filter: explicit rules, and a tree of path templates for the URLs that no rule fits.
 
 The URLs that a rule fits are the labelled ones. Per host, runs of digits in a path segment become
-``<n>``, a tree position with more than ``MAX_LITERALS`` different values becomes ``*``, and what lies
-deeper than ``DEPTH`` segments is folded into ``**``. Branches that differ in their first segment
-only are merged when their share of blocked URLs doesn't differ from the pooled share by a two-sided
-test. A template is rejected when the smoothed share of blocked among its labelled URLs is at least
-``MIN_PURITY``; a template without labelled URLs has the share of the smoothing, one half, and stays.
+``<n>``, and a place in the tree (of URLs of one depth) where the chance that the next URL shows a
+segment not seen before is estimated at more than one half (share of segments seen once, smoothed)
+becomes ``*``. Then, at every level of the tree, sibling branches of one form (number, word, extension)
+are compared by what their URLs show below that level: a branch whose templates below fit those of
+all siblings together (chi-square, with a tolerance that grows with the branch, so that the size of the
+table doesn't decide) and whose share of blocked labels doesn't differ from theirs is alike, and the
+alike branches of a place are merged to one class, labelled or not. A class of templates is rejected
+when the smoothed share of blocked among its labelled URLs is at least ``MIN_PURITY``; a class without
+labelled URLs has the share of the smoothing, one half, and stays.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and is
-allowed; an empty table gives an empty one; repeated rows are judged alike; further columns of the
-input are neither read nor returned.
+allowed; an empty table gives an empty one; repeated rows are judged alike; any number of segments is
+used; further columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -20,8 +24,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 3
-MAX_LITERALS = 50
+from . import shared
+
+#: Added to the URLs of a place when the chance of an unseen segment is estimated.
+UNSEEN_SMOOTHING = 2
+#: Normal quantile of the test that compares what lies below sibling branches.
+FORM_Z = 3.09
+#: Squared relative deviation per URL that siblings may show at any size.
+TOLERANCE = 0.05
+#: Normal quantile of the test that compares their labels.
 MERGE_Z = 1.96
 MIN_PURITY = 0.8
 #: The rules of the query, as (verdict, host and path).
@@ -52,67 +63,89 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return found if found is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _levels() -> list[str]:
-    return [f"g{k}" for k in range(1, DEPTH + 1)]
-
-
 def shaped(df: DataFrame, page_id: str, url: str, rules: list[tuple[str, str]]) -> DataFrame:
     host, path = parts(F.col(url))
     df = df.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
     df = df.withColumn("hit", rule_for(F.col("host"), F.col("path"), rules))
-    general = F.regexp_replace("path", "[0-9]+", "<n>")
-    df = df.withColumn("general", general)
-    segments = F.split(F.expr("substring(general, 2)"), "/", -1)
-    levels = [F.when(F.col("general") != "", F.get(segments, F.lit(k - 1))).alias(f"g{k}") for k in range(1, DEPTH + 1)]
-    deeper = F.when((F.col("general") != "") & (F.size(segments) > DEPTH), F.lit("**"))
-    return df.select("*", *levels, deeper.alias("deep"))
-
-
-def _key(names: list[str]) -> Column:
-    """Text that is the same for the same levels only; nulls (no such level) are told from empty text."""
-    return F.concat_ws("/", *[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in names])
+    return df.withColumn("general", F.regexp_replace("path", "[0-9]+", "<n>"))
+
+
+def _segments(text: Column) -> Column:
+    return F.split(text, "/", -1)
+
+
+def general_paths(shapes: DataFrame) -> DataFrame:
+    """host, general, d (segments), tt (the template's segments), n, b, a: one row for each general path,
+    added up where the URLs are read."""
+    count = lambda verdict: F.sum(F.when(F.col("hit.verdict") == verdict, 1).otherwise(0))
+    paths = shapes.groupBy("host", "general").agg(F.count("*").alias("n"), count("block").alias("b"), count("allow").alias("a"))
+    segments = F.when(F.col("general") != "", _segments(F.expr("substring(general, 2)"))).otherwise(F.array().cast("array<string>"))
+    paths = paths.withColumn("s", segments).withColumn("d", F.size("s"))
+    places = paths.select("host", "d", "n", F.posexplode("s").alias("k", "g")).groupBy("host", "d", "k", "g").agg(F.sum("n").alias("n"))
+    places = places.groupBy("host", "d", "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"))
+    wild = places.filter(2 * F.col("once") > F.col("n") + UNSEEN_SMOOTHING).groupBy("host", "d").agg(F.collect_set("k").alias("wild"))
+    paths = paths.join(wild, ["host", "d"], "left")
+    own = F.transform("s", lambda x, k: F.when(F.array_contains("wild", k), "*").otherwise(x))
+    return paths.select("host", "general", "d", F.array_join(own, "/").alias("tt"), "n", "b", "a")
+
+
+def merged_branches(tree: DataFrame) -> DataFrame:
+    """place (host, k, above, form) and value of the branches that are merged. tree: host, d, tt, k, above,
+    form, value, below, n, b, a for each level of each template."""
+    place = ["host", "k", "above", "form"]
+    shown = tree.groupBy(*place, "value", "below").agg(*[F.sum(c).alias(c) for c in "nba"])
+    branch = shown.groupBy(*place, "value").agg(F.sum("n").alias("own_n"), F.sum("b").alias("own_b"), F.sum("a").alias("own_a"))
+    family = branch.groupBy(*place).agg(F.sum("own_n").alias("all_n"), F.sum("own_b").alias("all_b"), F.sum("own_a").alias("all_a"), F.count("*").alias("branches")).filter("branches > 1")
+    kinds = shown.groupBy(*place, "below").agg(F.sum("n").alias("kind_n"))
+    freedom = kinds.groupBy(*place).agg((F.count("*") - 1).alias("freedom"))
+    family = family.join(freedom, place)
+    rows = shown.join(kinds, [*place, "below"]).join(branch, [*place, "value"]).join(family, place)
+    part = F.col("n").cast("double") * F.col("n") * F.col("all_n") / (F.col("own_n").cast("double") * F.col("kind_n"))
+    one = [F.max(c).alias(c) for c in ("own_n", "own_b", "own_a", "all_b", "all_a", "freedom")]
+    rows = rows.groupBy(*place, "value").agg((F.sum(part) - F.max("own_n")).alias("chi"), *one)
+    free = F.greatest(F.col("freedom").cast("double"), F.lit(1.0))
+    quantile = F.when(F.col("freedom") > 0, free * F.pow(1 - 2 / (9 * free) + FORM_Z * F.sqrt(2 / (9 * free)), F.lit(3.0))).otherwise(0.0)
+    fits = F.col("chi") <= quantile + TOLERANCE * F.col("own_n") + 1e-9
+    n, every = F.col("own_b") + F.col("own_a"), F.col("all_b") + F.col("all_a")
+    share = F.col("all_b") / F.greatest(every, F.lit(1))
+    off = F.pow(F.col("own_b") / F.greatest(n, F.lit(1)) - share, F.lit(2.0)) * n
+    alike = rows.filter(fits & ((n == 0) | (off <= MERGE_Z**2 * share * (1 - share) + 1e-9))).select(*place, "value")
+    several = alike.groupBy(*place).agg(F.count("*").alias("merged")).filter("merged > 1")
+    return alike.join(several, place, "left_semi")
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """For each host and general path: its template, and whether that is rejected. What is shuffled is
-    counts by general path, added up where the URLs are read."""
-    blocked, allowed = F.col("hit.verdict") == "block", F.col("hit.verdict") == "allow"
-    tree = shapes.groupBy("host", *_levels(), "deep").agg(
-        F.sum(F.when(blocked, 1).otherwise(0)).alias("n_block"), F.sum(F.when(allowed, 1).otherwise(0)).alias("n_allow")
-    )
-    tree = tree.withColumn("key", _key([*_levels(), "deep"]))
-    for k in range(1, DEPTH + 1):
-        above = [f"t{i}" for i in range(1, k)]
-        tree = tree.withColumn("above", _key(above) if above else F.lit(""))
-        wide = tree.groupBy("host", "above").agg(F.countDistinct(f"g{k}").alias("kinds")).filter(F.col("kinds") > MAX_LITERALS)
-        tree = tree.join(wide, ["host", "above"], "left").withColumn(
-            f"t{k}", F.when(F.col(f"g{k}").isNotNull() & F.col("kinds").isNotNull(), F.lit("*")).otherwise(F.col(f"g{k}"))
-        ).drop("kinds", "above")
-    names = [f"t{k}" for k in range(1, DEPTH + 1)] + ["deep"]
-    text = F.concat_ws("/", *[F.col(c) for c in names])
-    tree = tree.withColumn("template", F.when(F.col("t1").isNotNull(), F.concat(F.lit("/"), text)).otherwise(F.lit("")))
-    rest = _key(names[1:])
-    tree = tree.withColumn("branch", _key(names)).withColumn("sibling", F.when(F.col("t1").isNotNull(), rest).otherwise(F.lit("")))
-    branch = tree.groupBy("host", "branch", "sibling").agg(F.sum("n_block").alias("b"), F.sum("n_allow").alias("a"))
-    pooled = branch.groupBy("host", "sibling").agg(F.sum("b").alias("pb"), F.sum("a").alias("pa"))
-    n, all_n = F.col("b") + F.col("a"), F.col("pb") + F.col("pa")
-    share = F.col("pb") / F.greatest(all_n, F.lit(1))
-    z_limit = F.lit(MERGE_Z**2) * share * (1 - share)
-    alike = (n > 0) & (F.pow(F.col("b") / F.greatest(n, F.lit(1)) - share, 2) * n <= z_limit)
-    branch = branch.join(pooled, ["host", "sibling"]).withColumn("alike", alike)
-    merged = branch.filter("alike").groupBy("host", "sibling").agg(F.sum("b").alias("mb"), F.sum("a").alias("ma"))
-    branch = branch.join(merged, ["host", "sibling"], "left")
-    b, a = F.when(F.col("alike"), F.col("mb")).otherwise(F.col("b")), F.when(F.col("alike"), F.col("ma")).otherwise(F.col("a"))
-    branch = branch.select("host", "branch", ((b + 1) / (b + a + 2) >= MIN_PURITY).alias("rejected"))
-    return tree.join(branch, ["host", "branch"]).select("host", "key", "template", "rejected")
+    """host, general, template, rejected: for each host and general path its class of templates, and whether
+    that is rejected. What is shuffled is counts by general path."""
+    paths = shared.written(general_paths(shapes), "paths")
+    own = paths.groupBy("host", "d", "tt").agg(*[F.sum(c).alias(c) for c in "nba"])
+    tree = own.filter("d > 0").withColumn("t", _segments(F.col("tt"))).select("*", F.posexplode("t").alias("k", "value"))
+    kind = F.when(F.col("value") == "*", "*").when(F.contains("value", F.lit("<n>")), "n").when(F.col("value") == "", "").otherwise("w")
+    tree = tree.select(
+        "host", "d", "tt", "k", "value", "n", "b", "a", F.array_join(F.slice("t", F.lit(1), F.col("k")), "/").alias("above"),
+        F.concat(kind, F.lit(":"), F.regexp_extract("value", r"\.[A-Za-z<>]*$", 0)).alias("form"),
+        F.concat((F.col("d") - F.col("k") - 1).cast("string"), F.lit(":"), F.array_join(F.slice("t", F.col("k") + 2, F.col("d")), "/")).alias("below"),
+    )
+    tree = shared.written(tree, "tree")
+    place = ["host", "k", "above", "form"]
+    merged = merged_branches(tree).withColumn("is_merged", F.lit(True))
+    name = F.when(F.col("is_merged"), F.concat(F.lit("~"), F.col("form"))).otherwise(F.col("value"))
+    named = tree.join(merged, [*place, "value"], "left").select("host", "d", "tt", F.struct("k", name.alias("name")).alias("part"))
+    named = named.groupBy("host", "d", "tt").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["name"]), "/").alias("class"))  # as many as the template has segments
+    own = shared.written(own.join(named, ["host", "d", "tt"], "left").withColumn("class", F.coalesce("class", "tt")), "classes")
+    share = (F.sum("b") + 1) / (F.sum("b") + F.sum("a") + 2)
+    judged = own.groupBy("host", "d", "class").agg((share >= MIN_PURITY).alias("rejected"))
+    judged = own.select("host", "d", "tt", "class").join(judged, ["host", "d", "class"])
+    template = F.when(F.col("d") > 0, F.concat(F.lit("/"), F.col("class"))).otherwise("")
+    return paths.select("host", "general", "d", "tt").join(judged, ["host", "d", "tt"]).select("host", "general", template.alias("template"), "rejected")
 
 
 def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """page_id, host, path, rule (null where none fits), verdict, template."""
-    shapes = shaped(df, page_id, url, RULES if rules is None else rules).withColumn("key", _key([*_levels(), "deep"]))
+    shapes = shaped(df, page_id, url, RULES if rules is None else rules)
     found = templates(shapes)
     method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return shapes.join(found, ["host", "key"], "left").select(
+    return shapes.join(found, ["host", "general"], "left").select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
         F.coalesce(F.col("hit.verdict"), method).alias("verdict"), "template",
     )
