@@ -9,7 +9,7 @@ documents whose running sum fits; the one at the cut gives the words that are le
 
 Defined cases: a null text has size 0; null sources form one source, last in order; sources of size
 0 have target 0; rows with equal ids are told apart by their size, and equal in both share a place in
-an order that doesn't change their sum; an empty table gives an empty one; further columns are not
+an order that doesn't change their sum (``take`` tells them apart by source and text); an empty table gives an empty one; further columns are not
 read. No random state: reruns agree.
 """
 
@@ -62,12 +62,12 @@ def sized(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), shared.n_words(F.col(text)).alias("size"))
 
 
-def mix(sizes: DataFrame) -> DataFrame:
+def mix(sizes: DataFrame, *kept: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, before: ``sizes`` has doc_id, source and size, and is
-    read twice (once for the sums by range), so it should be written."""
+    read twice (once for the sums by range), so it should be written. Columns ``kept`` are carried along."""
     goal = targets(sizes).withColumn("name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).drop("source")
     rows = sizes.select(
-        "doc_id", "size", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("name"), _key(F.col("doc_id")).alias("key")
+        "doc_id", "size", *kept, F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")).alias("name"), _key(F.col("doc_id")).alias("key")
     ).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     by_range = rows.groupBy("name", "range").agg(F.sum("size").alias("range_size"))
     earlier = W.partitionBy("name").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
@@ -84,7 +84,7 @@ def mix(sizes: DataFrame) -> DataFrame:
     part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before")))
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"),
-        "before", "epochs", part.cast("long").alias("part"),
+        "before", "epochs", part.cast("long").alias("part"), *kept,
     )
 
 
@@ -94,11 +94,15 @@ def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def take(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: the rows of ``df``, each as often as the mix repeats it. The document at the cut
-    is taken whole if at least half of it fits."""
+    is taken whole if at least half of it fits. Rows are found again by id, source and a hash of the text, so
+    those that are equal in all three are taken alike (as often as the one taken most)."""
     names = df.columns
-    taken = mixed(df, doc_id, text, source).select(
-        F.col("doc_id").alias("mix_id"), (F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)).alias("mix_times"),
-    )
-    taken = taken.groupBy("mix_id").agg(F.max("mix_times").alias("mix_times")).filter("mix_times > 0")
-    out = df.join(taken, df[doc_id].eqNullSafe(taken["mix_id"])).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))))
-    return out.select(*[df[f"`{c}`"] for c in names])
+    own = [F.col(doc_id).alias("mix_id"), F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("-")).alias("mix_source"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mix_text")]
+    sizes = df.select(F.col(source).alias("source"), shared.n_words(F.col(text)).alias("size"), *own).withColumn("doc_id", F.col("mix_id"))
+    taken = mix(shared.written(sizes, "sizes"), "mix_source", "mix_text")
+    times = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    taken = taken.groupBy(F.col("doc_id").alias("id2"), F.col("mix_source").alias("source2"), F.col("mix_text").alias("text2")).agg(F.max(times).alias("times")).filter("times > 0")
+    rows = df.select(*own, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    out = rows.join(taken, rows["mix_id"].eqNullSafe(taken["id2"]) & (rows["mix_source"] == taken["source2"]) & (rows["mix_text"] == taken["text2"]))
+    out = out.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names])
