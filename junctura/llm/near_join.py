@@ -252,16 +252,15 @@ def shared_lists(rows: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             size = np.diff(np.concatenate([first, [len(token)]]))
             m = np.repeat(size, size)
-            m[often] = 0
+            m[often | (m > LONG * LIST)] = 0
             out = m != 1
             if is_long:
                 m[: size[0]] = 0
                 out[: size[0]] = True
                 out[0] = False
             last = first[-1]
-            is_long = bool(m[last] == 0 or size[-1] > LONG * LIST)
+            is_long = bool(m[last] == 0)
             if is_long:
-                m[last:] = 0
                 held = [x[-1:] for x in (token, node, n)]
             else:
                 out[last:] = False
