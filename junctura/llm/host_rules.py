@@ -126,15 +126,22 @@ def host_verdicts(rates: DataFrame) -> DataFrame:
     return rates.withColumn("host_rate", rate).withColumn("host_rejected", F.col("host_rate") - DOUBT_Z * doubt > limit)
 
 
+def bad_hosts(judged: DataFrame) -> DataFrame:
+    """bad_host, host_rejected (true). Written, so that their size is known before they are joined and Spark
+    broadcasts them up to its threshold: documents needn't be moved for a few hosts."""
+    bad = host_verdicts(host_rates(judged)).filter("host_rejected")
+    return shared.written(bad.select(F.col("host").alias("bad_host"), "host_rejected"), "bad-hosts")
+
+
 def judge(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """doc_id, host, the counts, base_failed, host_rejected, kept.
 
     The counts are written once to the shared folder (a few numbers a document) and read for the
     rates and again for the result. Only rejected hosts are joined back; Spark broadcasts them if
-    their measured size allows and splits hot hosts otherwise.
+    their known size allows and splits hot hosts otherwise.
     """
     judged = shared.written(with_base(document_counts(df, doc_id, text, host)), "rules")
-    bad = host_verdicts(host_rates(judged)).filter("host_rejected").select(F.col("host").alias("bad_host"), "host_rejected")
+    bad = bad_hosts(judged)
     out = judged.join(bad, judged["host"].eqNullSafe(bad["bad_host"]), "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return out.select(
@@ -150,7 +157,7 @@ def keep(df: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str =
     packed = df.select(F.col(text).alias("text"), F.col(host).alias("host"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     judged = with_base(document_counts(packed, "row", "text", "host"))
     judged = shared.written(judged.select(F.col("doc_id").alias("row"), "host", "base_failed", "failed"), "judged")
-    bad = host_verdicts(host_rates(judged)).filter("host_rejected").select(F.col("host").alias("bad_host"))
+    bad = bad_hosts(judged)
     good = judged.filter(~F.col("base_failed"))
     good = good.join(bad, good["host"].eqNullSafe(bad["bad_host"]), "left_anti")
     return good.select(*[F.col("row").getField(c).alias(c) for c in names])
