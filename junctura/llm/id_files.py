@@ -36,13 +36,13 @@ from . import shared
 
 MAGIC = 0x31_42_56_53_44_49_4B_54
 CHUNKS_KEPT = 250_000
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 22
 #: Separators that Python's split() takes for white space and Unicode doesn't.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: Fixed value: words of letters that normalisation leaves single letters, but lower-cases; each is one pre-token.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Between such a letter and a mark before white space: the mark is a pre-token of its own.
-BEFORE_MARK = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,!?;](?:[\t-\r \x85\xa0]|\\Z))")
+#: A mark after such a letter and before white space: it is a pre-token of its own.
+LONE_MARK = re.compile("[.,!?;](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[\t-\r \x85\xa0]|\\Z)")
 WORDS_AT_ONCE = 2000
 #: Longer chunks aren't remembered.
 LONGEST_KEPT = 64
@@ -92,7 +92,7 @@ class ChunkEncoder:
         return {w: packed[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
 
     def _chunks(self, text: str) -> list[str]:
-        text = BEFORE_MARK.sub(" ", text)
+        text = LONE_MARK.sub(" \\g<0>", text)
         if any(x in text for x in NOT_WHITE):
             return CHUNKS.findall(text)
         try:
@@ -110,7 +110,7 @@ class ChunkEncoder:
         made, known, out = self._learn(new) if new else {}, self.kept, []
         for chunks in cuts:
             try:
-                out.append(b"".join([known[c] for c in chunks]))
+                out.append(b"".join(map(known.__getitem__, chunks)))
             except KeyError:  # chunks too long to keep
                 out.append(b"".join([known[c] if c in known else made[c] for c in chunks]))
         return out
