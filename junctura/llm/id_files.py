@@ -20,6 +20,7 @@ not read.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
 import zlib
@@ -36,7 +37,7 @@ from . import shared
 
 MAGIC = 0x31_42_56_53_44_49_4B_54
 CHUNKS_KEPT = 250_000
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 17
 #: Separators that Python's split() takes for white space and Unicode doesn't.
 NOT_WHITE = "\x1c\x1d\x1e\x1f"
 #: Fixed value: words of letters that normalisation leaves single letters, but lower-cases; each is one pre-token.
@@ -62,6 +63,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
+        self.kind = "<u2" if self.size <= 65536 else "<u4"  # of an id in what is remembered and given out
         self.ends_word = np.zeros(self.size, bool)
         self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {}
@@ -77,15 +79,15 @@ class ChunkEncoder:
             made.update(self._plain(plain[at : at + WORDS_AT_ONCE]))
         rest = list(rest.difference(made))
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            made[c] = np.array(e.ids, "<u4").tobytes()
+            made[c] = np.array(e.ids, self.kind).tobytes()
         self.kept.update(made if max(map(len, made), default=0) <= LONGEST_KEPT else {k: v for k, v in made.items() if len(k) <= LONGEST_KEPT})
         return made
 
     def _plain(self, words: list[str]) -> dict[str, bytes]:
         """Words of letters, encoded as one text and parted at the tokens that end a word; none if those
         aren't as many as the words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
         if len(ends) != len(words):
             return {}
         packed, ends = ids.tobytes(), ends.tolist()
@@ -104,16 +106,22 @@ class ChunkEncoder:
     def _all(self, texts: list[str]) -> list[bytes]:
         if len(self.kept) > CHUNKS_KEPT:
             self.kept, self.older = {}, self.kept
-        cuts = [self._chunks(t) for t in texts]
-        new = set().union(*cuts)
-        new.difference_update(self.kept.keys())
-        made, known, out = self._learn(new) if new else {}, self.kept, []
-        for chunks in cuts:
-            try:
-                out.append(b"".join(map(known.__getitem__, chunks)))
-            except KeyError:  # chunks too long to keep
-                out.append(b"".join([known[c] if c in known else made[c] for c in chunks]))
-        return out
+        known, found, new = self.kept.get, [], set()
+        for t in texts:
+            chunks = self._chunks(t)
+            ids = list(map(known, chunks))
+            missing, at = [], -1
+            with contextlib.suppress(ValueError):  # no more of them
+                while True:
+                    at = ids.index(None, at + 1)
+                    missing.append((at, chunks[at]))
+            new.update(c for _, c in missing)
+            found.append((ids, missing))
+        made = self._learn(new) if new else {}
+        for ids, missing in found:
+            for at, c in missing:
+                ids[at] = made[c]
+        return [b"".join(ids) for ids, _ in found]
 
     def batches(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         some, chars = [], 0
@@ -196,17 +204,17 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int, doc_id: str =
     def drafts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         ids, sizes, packed, number = [], [], [], None
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], own.kind).tobytes()
+        width = len(end)
         for batch in batches:
             if batch.num_rows:
                 number = batch.column(0)[0].as_py()
                 ids += batch.column(1).to_pylist()
                 for p in own.batches(t.as_py() for t in batch.column(2)):
-                    sizes.append(len(p) // 4 + 1)
-                    packed.append(np.frombuffer(p + end, "<u4").astype("<u4" if own.size > 65536 else "<u2").tobytes())
+                    sizes.append(len(p) // width + 1)
+                    packed += [p, end]
         if number is None:
             return
-        width = 4 if own.size > 65536 else 2
         joined = b"".join(packed)
         del packed
         count = np.bincount(np.frombuffer(joined, f"<u{width}"), minlength=1)

@@ -24,10 +24,13 @@ _serial = itertools.count()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode (tests), and an
+    error on a cluster, whose executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "at" not in _own_folder:
         _own_folder["at"] = tempfile.mkdtemp(prefix="junctura-")
         atexit.register(shutil.rmtree, _own_folder["at"], ignore_errors=True)
