@@ -58,6 +58,9 @@ REMEMBERED = 500_000
 FREQUENT = 20_000
 #: Shingles that a task gathers before it counts them.
 COUNTED_AT_ONCE = 1 << 20
+BLOCK_BYTES = 1 << 16
+#: Shingles that leave Python at once, about.
+GIVEN_AT_ONCE = 1 << 18
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -85,20 +88,34 @@ class Shingler:
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    def shingles(self, text: str) -> np.ndarray:
-        """The distinct shingles' hashes, rising."""
-        raw = np.frombuffer(text.encode().lower(), np.uint8)  # bytes are lower-cased in ASCII only
-        n = len(raw)
+    def _words(self, raw: np.ndarray) -> np.ndarray:
+        """The hash of each word of some bytes that begin and end between words; it doesn't depend on the place."""
         inside = ~self.space[raw]
         edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
         start, end = edge[0::2], edge[1::2]
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        if n >= len(self.up):
+        n = len(raw)
+        if n >= len(self.up):  # a word that is longer than a block
             self.up, self.down = self._powers(self.base, 2 * n), self._powers(self.inverse, 2 * n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(self.byte[raw] * self.up[:n], out=total[1:])
-        word = _mixed((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return _mixed((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+    def shingles(self, text: str) -> np.ndarray:
+        """The distinct shingles' hashes, rising. Long texts are hashed in blocks of whole words, so what is held
+        besides the text is eight bytes a word, a few times."""
+        raw = np.frombuffer(text.encode().lower(), np.uint8)  # bytes are lower-cased in ASCII only
+        parts, at = [], 0
+        while at < len(raw):
+            end, step = at + BLOCK_BYTES, 0
+            while end < len(raw) and not step:  # on to the next space
+                spaces = np.flatnonzero(self.space[raw[end : end + BLOCK_BYTES]])
+                step = len(spaces)
+                end += int(spaces[0]) if step else BLOCK_BYTES
+            parts.append(self._words(raw[at:end]))
+            at = end
+        word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        if not len(word):
+            return word
         k = min(self.words, len(word))
         out = np.zeros(len(word) - k + 1, np.uint64)
         for i in range(k):
@@ -202,8 +219,14 @@ def postings(df: DataFrame, seed: int, frequent: np.ndarray, words: int, percent
         place = np.argsort(frequent)
         known = frequent[place]
         done: set[int] = set()
+
+        def given(parts: list[tuple[np.ndarray, np.ndarray]], sizes: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            node, n, times = (np.array(c, np.int64) for c in zip(*sizes, strict=True))
+            columns = [np.concatenate([p[0] for p in parts]), np.repeat(node, times), np.repeat(n, times).astype(np.int32), np.concatenate([p[1] for p in parts])]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "often"])
+
         for batch in batches:
-            parts, sizes = [], []
+            parts, sizes, held = [], [], 0
             for t in batch.column(0):
                 s = own.shingles(t.as_py() or "")
                 n, node = len(s), own.name(s)[0]
@@ -220,12 +243,14 @@ def postings(df: DataFrame, seed: int, frequent: np.ndarray, words: int, percent
                     if rank.any():
                         pick = np.argsort(rank, kind="stable")[:take]
                         tokens, often = s[pick], rank[pick] > 0
-                parts.append((tokens.view(np.int64), often))
+                parts.append((tokens.view(np.int64).copy(), often))
                 sizes.append((node, n, take))
+                held += take
+                if held >= GIVEN_AT_ONCE:
+                    yield given(parts, sizes)
+                    parts, sizes, held = [], [], 0
             if parts:
-                node, n, times = (np.array(c, np.int64) for c in zip(*sizes, strict=True))
-                columns = [np.concatenate([p[0] for p in parts]), np.repeat(node, times), np.repeat(n, times).astype(np.int32), np.concatenate([p[1] for p in parts])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "node", "n", "often"])
+                yield given(parts, sizes)
 
     return df.select("text").mapInArrow(run, "token long, node long, n int, often boolean")
 
@@ -390,12 +415,15 @@ def shingle_sets(df: DataFrame, seed: int, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(seed, words)
         for batch in batches:
-            node, sets = [], []
-            for t in batch.column(0):
+            node, sets, held = [], [], 0
+            for k, t in enumerate(batch.column(0), 1):
                 s = own.shingles(t.as_py() or "")
                 node.append(own.name(s)[0])
                 sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                held += len(s)
+                if held >= GIVEN_AT_ONCE or k == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    node, sets, held = [], [], 0
 
     return df.select("text").mapInArrow(run, "node long, shingles binary")
 
