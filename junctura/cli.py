@@ -1,4 +1,4 @@
-"""Command line: parse, merge, annotate, qc, emit-vcf, benchmark, run."""
+"""Command line: parse, call, merge, annotate, qc, emit-vcf, benchmark, run."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotate, qc, truth
+from .operators import annotate, qc, reads, truth
 from .plans import pipeline
 from .sinks import vcf_out
 from .sources import callers, tables
@@ -51,13 +51,23 @@ def parser() -> argparse.ArgumentParser:
     p = verbs.add_parser("benchmark", parents=[table], allow_abbrev=False)
     p.add_argument("--truth", required=True)
     p.add_argument("--junctions")
+    p.add_argument("--accept", nargs="+", default=["T1", "T2"], help="tiers of calls that may be true positives")
+    p.add_argument("--fp-tiers", nargs="+", help="tiers of calls that may be false positives (as --accept)")
+    p.add_argument("--relax", action="store_true", help="receptor loci stand for each other")
+    p.add_argument("--driver-only", action="store_true", help="with --relax: a call of the driver alone counts")
+    p.add_argument("--ignore-hedges", action="store_true", help="calls with a doubtful receptor partner aren't false positives")
+    p.add_argument("--out", help="a table of samples, tab-separated")
+    p = verbs.add_parser("call", parents=[out], allow_abbrev=False)
+    p.add_argument("--reads", nargs="+", required=True, help="tables of aligned reads (Parquet)")
+    p.add_argument("--loci", required=True, help="windows that are scanned")
+    p.add_argument("--pad", type=int, default=0)
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
     """0 if it went well, 1 on empty input, 2 on missing files or wrong arguments."""
     args = parser().parse_args(argv)
-    given = [p for n in (*callers.CALLERS, "calls") for p in getattr(args, n, None) or []]
+    given = [p for n in (*callers.CALLERS, "calls", "reads") for p in getattr(args, n, None) or []]
     given += [p for n in ("loci", "partners", "artefacts", "truth", "junctions") if (p := getattr(args, n, None))]
     if missing := tables.require(*given):
         print(f"missing: {', '.join(missing)}", file=sys.stderr)
@@ -73,6 +83,11 @@ def main(argv: list[str] | None = None) -> int:
         done = pipeline.called(calls, args.eps) if args.verb == "merge" else pipeline.final(calls, *_dimensions(spark, args), eps=args.eps)
         vcf_out.write_tsv(done, args.out)
         return 0
+    if args.verb == "call":
+        windows = tables.loci(spark, args.loci)
+        calls = reads.as_calls(reads.scanned(spark.read.parquet(*args.reads), windows, pad=args.pad))
+        calls.write.option("header", True).csv(args.out, sep="\t")
+        return 0
     calls = tables.fusion_calls(spark, args.calls).withColumn("cluster_id", F.monotonically_increasing_id())
     if calls.isEmpty():
         return 1
@@ -80,7 +95,13 @@ def main(argv: list[str] | None = None) -> int:
         vcf_out.write_vcf(calls, args.out)
     elif args.verb == "benchmark":
         seen = tables.junction_support(spark, args.junctions) if args.junctions else None
-        print(json.dumps(truth.summary(truth.scored(calls, tables.truth(spark, args.truth), seen)).first().asDict()))
+        scored = truth.scored(
+            calls, tables.truth(spark, args.truth), seen, accept=tuple(args.accept), fp=tuple(args.fp_tiers) if args.fp_tiers else None, relax=args.relax or args.driver_only,
+            driver_only=args.driver_only, hedges_count=not args.ignore_hedges,
+        )
+        if args.out:
+            truth.table(scored).coalesce(1).write.option("header", True).csv(args.out, sep="\t")  # a row for each sample
+        print(json.dumps(truth.summary(scored).first().asDict()))
     else:
         loci, partners, artefacts = _dimensions(spark, args)
         calls = annotate.annotated(calls, loci, partners)

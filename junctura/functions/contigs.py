@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: contigs that aren't part of the primary assembly.
@@ -10,7 +10,7 @@ DECOY = r"(?i)(_decoy|_random|_alt|^chrUn|^Un_|KI270|GL000|JTFH|KN707|HLA-|EBV)"
 
 
 def strip_chr(chrom: Column) -> Column:
-    return F.regexp_replace(chrom, "^(?i)chr", "")
+    return F.when(F.lower(F.left(chrom, F.lit(3))) == "chr", chrom.substr(4, 1 << 30)).otherwise(chrom)
 
 
 def is_decoy(chrom: Column) -> Column:
@@ -35,6 +35,17 @@ def ordered(chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2:
     }
 
 
+def with_ends(df: DataFrame, chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2: Column, strand2: Column) -> DataFrame:
+    """``df`` with the six columns of ``ordered``. The ends are compared once a row: one column holds both in
+    their order, and the six are its fields."""
+    end = lambda c, p, s: F.struct(c.alias("chrom"), p.alias("pos"), s.alias("strand"))
+    one, two = end(chrom1, pos1, strand1), end(chrom2, pos2, strand2)
+    swap = F.struct(chrom_key(chrom1), pos1) > F.struct(chrom_key(chrom2), pos2)
+    both = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    df = df.withColumn("ordered_ends", F.when(swap, both(two, one)).otherwise(both(one, two)))
+    return df.withColumns({f"{c}_{s}": F.col(f"ordered_ends.{s}.{c}") for s in "ab" for c in ("chrom", "pos", "strand")}).drop("ordered_ends")
+
+
 def sort_rank(chrom: Column) -> Column:
     """Order of contigs in variant files: numbers, X, Y, M, then the rest by name."""
     bare = strip_chr(chrom)

@@ -11,16 +11,22 @@ BND = r"(?i)([ACGTN.]*)([\[\]])([^:\[\]]+):(\d+)([\[\]])([ACGTN.]*)"
 CT_STRANDS = {"3to5": ("+", "-"), "5to3": ("-", "+"), "3to3": ("+", "+"), "5to5": ("-", "-")}
 
 
+def _last_of_each(entries: Column) -> Column:
+    """A map of entries (key, value); of repeated keys the last counts. Later entries are searched only where
+    a key repeats."""
+    several = F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) < F.size(entries)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(F.when(several, last).otherwise(entries))
+
+
 def info_map(info: Column) -> Column:
-    """INFO as a map: flags are "1", empty parts are skipped, of repeated keys the last counts."""
-    parts = F.filter(F.split(F.coalesce(info, F.lit("")), ";"), lambda p: (p != "") & (p != "."))
+    """INFO as a map: flags are "1" (a lone dot, too), empty parts are skipped, of repeated keys the last counts."""
+    parts = F.filter(F.split(F.coalesce(info, F.lit("")), ";"), lambda p: p != "")
     entry = lambda p: F.struct(
         F.substring_index(p, "=", 1).alias("key"),
         F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(F.lit("1")).alias("value"),
     )
-    entries = F.transform(parts, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    return _last_of_each(F.transform(parts, entry))
 
 
 def format_map(keys: Column, values: Column) -> Column:
@@ -28,9 +34,7 @@ def format_map(keys: Column, values: Column) -> Column:
     k, v = F.split(F.coalesce(keys, F.lit("")), ":"), F.split(F.coalesce(values, F.lit("")), ":")
     n = F.least(F.size(k), F.size(v))
     pairs = F.arrays_zip(F.slice(k, F.lit(1), n).alias("key"), F.slice(v, F.lit(1), n).alias("value"))
-    entries = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
-    once = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(n, F.lit(1))), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(once)
+    return _last_of_each(F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"))))
 
 
 def to_int(x: Column) -> Column:
@@ -50,7 +54,7 @@ def element(text: Column, k: int) -> Column:
 def interval(text: Column) -> Column:
     """A confidence interval as struct(lo, hi); (0, 0) where it can't be read."""
     lo, hi = element(text, 1).try_cast("int"), element(text, 2).try_cast("int")
-    good = lo.isNotNull() & hi.isNotNull()
+    good = lo.isNotNull() & hi.isNotNull() & (F.size(F.split(text, ",")) == 2)
     return F.struct(F.when(good, lo).otherwise(0).alias("lo"), F.when(good, hi).otherwise(0).alias("hi"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contigs import is_decoy
-from .annotate import in_intervals
+from .annotate import with_hits
 from .cluster import appended
 
 #: Genes with physiological short-range breaks, antigen-receptor loci, event classes.
@@ -33,9 +33,7 @@ def _has(flag: str) -> Column:
 
 
 def artefact_mask(calls: DataFrame, intervals: DataFrame) -> DataFrame:
-    hit = in_intervals(calls, intervals).withColumn("masked", F.lit(True))
-    out = calls.join(hit, "cluster_id", "left")
-    return rewritten(out, F.coalesce("masked", F.lit(False)), "builtin_artefact_locus", F.lit("T3")).drop("masked")
+    return rewritten(with_hits(calls, intervals, "masked"), F.col("masked"), "builtin_artefact_locus", F.lit("T3")).drop("masked")
 
 
 def hot_cells(calls: DataFrame, window: int = 500, min_partners: int = 10, min_chroms: int = 3) -> DataFrame:
@@ -48,6 +46,7 @@ def hot_cells(calls: DataFrame, window: int = 500, min_partners: int = 10, min_c
 
 
 def recurrent(calls: DataFrame, window: int = 500, min_partners: int = 10, min_chroms: int = 3, lower: bool = False) -> DataFrame:
+    """Reads ``calls`` twice (for the hot cells, and to flag), so they should be written."""
     hot = hot_cells(calls, window, min_partners, min_chroms).withColumn("hot", F.lit(True))
     out = calls
     for s in "ab":

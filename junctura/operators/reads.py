@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.contigs import with_ends
+
 #: Bits of a read's flag.
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 4, 8, 16, 32, 256, 1024, 2048
 #: The adapter and its reverse complement; the share of G or C from which a sequence is noise.
@@ -14,6 +16,8 @@ HOMOPOLYMER = 0.70
 WINDOW = 500
 FULL_MAPQ = 30
 ROWS_A_LOCUS = 5_000_000
+#: Bases of a bin in which reads and windows meet.
+BIN = 10_000
 
 
 def bit(flag: Column, mask: int) -> Column:
@@ -88,7 +92,10 @@ def in_windows(reads: DataFrame, windows: DataFrame, pad: int = 0, rows: int = R
     """Reads that overlap each padded window, in order of read_id, ``rows`` of a window at most (counted
     before any filter); a read in two windows comes twice."""
     near = windows.select("gene", F.col("chrom").alias("contig"), (F.col("start") - pad).alias("w_start"), (F.col("stop") + pad).alias("w_stop"))
-    hits = reads.join(near, "contig").filter((F.col("ref_start") < F.col("w_stop")) & (F.col("ref_end") > F.col("w_start")))
+    bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN))).alias("bin")
+    # A read and a window that overlap meet in the bin where the later of them begins, and count there only.
+    hits = reads.select("*", bins("ref_start", "ref_end")).join(near.select("*", bins("w_start", "w_stop")), ["contig", "bin"])
+    hits = hits.filter((F.col("ref_start") < F.col("w_stop")) & (F.col("ref_end") > F.col("w_start")) & (F.col("bin") == F.floor(F.greatest("ref_start", "w_start") / BIN))).drop("bin")
     order = W.partitionBy("gene").orderBy("read_id")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).drop("place")
 
@@ -182,3 +189,26 @@ def library_stats(reads: DataFrame, sample_size: int = 100_000) -> DataFrame:
     apart = rows.filter(good).join(out.select("insert_median")).agg(p(F.abs(tlen - F.col("insert_median")), 0.5).alias("insert_mad"))  # one row
     out = out.join(apart)
     return out.withColumn("discordant_distance", F.when(F.col("insert_median") > 0, F.floor(F.col("insert_median") + 5 * F.col("insert_mad"))).otherwise(10_000).cast("long"))
+
+
+def as_calls(found: DataFrame) -> DataFrame:
+    """Clusters of reads (``scanned``) as breakpoint calls, which merge with the callers' calls: one call for
+    the split and the discordant cluster of one window, cell and strands."""
+    keys = ["sample", "gene", "chrom_a", "chrom_b", "cell_b", "strand_a", "strand_b"]
+    rows = found.withColumn("cell_b", F.floor(F.col("pos_b") / WINDOW))
+    first = F.col("kind") == "split"  # the split cluster names the places, where there is one
+    at = lambda c: F.coalesce(F.min(F.when(first, F.col(c))), F.min(c)).alias(c)
+    rows = rows.groupBy(*keys).agg(
+        at("pos_a"), at("pos_b"), *[F.max(c).alias(c) for c in ("split_reads", "discordant_pairs", "soft_clips", "mapq")], F.bool_or("precise").alias("precise")
+    )
+    ends = with_ends(
+        rows.withColumnsRenamed({f"{c}_{s}": f"{c}{k}" for k, s in ((1, "a"), (2, "b")) for c in ("chrom", "pos", "strand")}), *[F.col(f"{c}{k}") for k in (1, 2) for c in ("chrom", "pos", "strand")]
+    )
+    order = W.partitionBy("sample", "gene").orderBy("chrom1", "chrom2", "cell_b", "strand1", "strand2")
+    name = F.concat_ws("_", F.lit("reads"), "gene", F.row_number().over(order).cast("string"))
+    zero = F.lit(0).cast("long")
+    return ends.select(
+        "sample", F.lit("reads").alias("caller"), F.lit("BND").alias("sv_type"), *[f"{c}_{s}" for s in "ab" for c in ("chrom", "pos", "strand")], "split_reads", "discordant_pairs",
+        zero.alias("assembly_contigs"), "soft_clips", "mapq", F.lit(0.0).alias("vaf"), F.lit(0.0).alias("raw_qual"), F.lit(True).alias("filter_pass"), "precise", name.alias("record_id"),
+        F.monotonically_increasing_id().alias("call_seq"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SOMATIC = ("IG_driver_canonical", "driver_driver")
 REVIEW = ("IG_driver_novel", "driver_intergenic")
 RECOMBINED = ("IG_intra", "IG_IG")
+PHYSIOLOGICAL = ("IG_intra", "IG_IG", "driver_intra")
 #: Lineage by cohort label.
 B_CELL, T_CELL = ("PMBL", "DLBCL", "FL"), ("ATLL", "PTCL", "T-CELL NHL")
 
@@ -104,6 +105,47 @@ def physiological_top(calls: DataFrame, top: int = 15) -> DataFrame:
     return by.orderBy(F.desc("n"), "locus").limit(top)
 
 
+def by_weight(*first: str) -> list[Column]:
+    """Order of cards and lists: ``first``, tier, then split reads and pairs, most first, then as seen."""
+    return [*map(F.col, first), F.col("tier"), F.desc(F.col("split_reads") + F.col("discordant_pairs")), F.col("first_seq")]
+
+
+def novel_top(calls: DataFrame, top: int = 60) -> DataFrame:
+    """T1 and T2 calls of classes to be reviewed, by weight."""
+    return calls.filter(F.col("event_class").isin(*REVIEW) & _top()).orderBy(*by_weight()).limit(top)
+
+
+def between_receptors(calls: DataFrame, top: int = 200) -> DataFrame:
+    """The first calls, as seen, that join two receptor loci or lie within a driver."""
+    return calls.filter(F.col("event_class").isin(*PHYSIOLOGICAL) & (F.col("event_class") != "IG_intra")).orderBy("first_seq").limit(top)
+
+
+def receptor_counts(calls: DataFrame) -> DataFrame:
+    """gene, n of the calls within one receptor locus."""
+    return calls.filter("event_class = 'IG_intra'").groupBy(F.when(F.col("gene_a") != "", F.col("gene_a")).otherwise(F.col("gene_b")).alias("gene")).agg(F.count("*").alias("n"))
+
+
+def best_per_pair(calls: DataFrame) -> DataFrame:
+    """One call for each pair of genes, in whatever order they stand: the first by weight."""
+    x, y = F.least("gene_a", "gene_b"), F.greatest("gene_a", "gene_b")
+    best = F.min_by(F.struct("fusion_id", "tier"), F.struct("tier", -(F.col("split_reads") + F.col("discordant_pairs")), "first_seq"))
+    return calls.groupBy(x.alias("gene_1"), y.alias("gene_2")).agg(best.alias("best")).select("gene_1", "gene_2", "best.fusion_id", "best.tier")
+
+
+#: How far an arc's control point lies from the centre, as a share of the sum of its ends.
+ARC_PULL = 0.15
+
+
+def arc_points(arcs: DataFrame, radius: float = 1.0, points: int = 50) -> DataFrame:
+    """``arcs`` (theta_1, theta_2, in radians) with step, theta (degrees) and r of ``points + 1`` points of the
+    quadratic curve between both ends."""
+    end = lambda f, k: f(F.col(f"theta_{k}")) * radius
+    t = F.col("step") / points
+    curve = lambda f: (1 - t) * (1 - t) * end(f, 1) + 2 * (1 - t) * t * (end(f, 1) + end(f, 2)) * ARC_PULL + t * t * end(f, 2)
+    rows = arcs.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("x", curve(F.cos)).withColumn("y", curve(F.sin))
+    return rows.withColumn("theta", F.pmod(F.degrees(F.atan2("y", "x")), F.lit(360.0))).withColumn("r", F.hypot("x", "y")).drop("x", "y")
+
+
 def translocations(calls: DataFrame, classes: DataFrame) -> DataFrame:
     """Calls with the class of their pair of genes. classes: gene_1, gene_2, class, label."""
     key = classes.select(F.least("gene_1", "gene_2").alias("x"), F.greatest("gene_1", "gene_2").alias("y"), "class", "label").dropDuplicates(["x", "y"])

@@ -99,3 +99,12 @@ def scored(
 def summary(per_sample: DataFrame) -> DataFrame:
     sums = ["tp", "fn", "fp", "tp_detected", "tp_lookup", "disputed_rows", "exempt"]
     return ratios(per_sample.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums]))
+
+
+def table(per_sample: DataFrame) -> DataFrame:
+    """A row for each sample, by name, and one for all (sample ``ALL``), with ratios."""
+    every = summary(per_sample).withColumn("sample", F.lit("ALL")).withColumn("negative_control", F.lit(None).cast("boolean"))
+    own = ratios(per_sample)
+    names = ["sample", "negative_control", "tp", "fp", "fn", "tp_detected", "tp_lookup", "disputed_rows", "exempt", "precision", "recall", "f1"]
+    rows = own.select(F.lit(0).alias("last"), *names).union(every.select(F.lit(1).alias("last"), *names))
+    return rows.orderBy("last", "sample").drop("last")

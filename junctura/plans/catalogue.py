@@ -11,6 +11,7 @@ from ..functions import contigs, vcf
 from ..operators import annotate, cluster, qc, reads, reports, tiers, truth
 from ..sinks import vcf_out
 from ..sources import adapters, callers
+from ..sources.steps import written
 from .oracles import ORACLES as ORACLES
 
 QUERIES: dict = {}
@@ -27,8 +28,8 @@ def joined(c: str) -> Column:
 
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     raw = adapters.view(spark, sf, "raw_calls")
-    ends = contigs.ordered(*[F.col(f"{c}{i}") for i in (1, 2) for c in ("chrom", "pos", "strand")])
-    return raw.withColumns(ends).withColumn("record_id", F.concat(F.lit("r"), F.col("call_seq").cast("string"))).drop(*[f"{c}{i}" for i in (1, 2) for c in ("chrom", "pos", "strand")])
+    ends = contigs.with_ends(raw, *[F.col(f"{c}{i}") for i in (1, 2) for c in ("chrom", "pos", "strand")])
+    return ends.withColumn("record_id", F.concat(F.lit("r"), F.col("call_seq").cast("string"))).drop(*[f"{c}{i}" for i in (1, 2) for c in ("chrom", "pos", "strand")])
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,16 +45,17 @@ def annotated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def qc_input(spark: SparkSession, sf: str) -> DataFrame:
-    """Annotated calls, of which some are moved to a near position or to a decoy contig."""
+    """Annotated calls, of which some are moved to a near position or to a decoy contig; written, as the passes
+    read them twice."""
     s = F.col("first_seq")
     decoy, near = s % 11 == 0, (s % 11 != 0) & (s % 7 == 0)
     out = annotated(spark, sf)
-    return out.withColumns(
+    return written(out.withColumns(
         {
             "chrom_b": F.when(decoy, F.concat(F.lit("GL000"), (s % 9).cast("string"), F.lit(".1"))).when(near, F.col("chrom_a")).otherwise(F.col("chrom_b")),
             "pos_b": F.when(near, F.col("pos_a") + s % 400).otherwise(F.col("pos_b")),
         }
-    )
+    ), "annotated")
 
 
 def final(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,9 +63,8 @@ def final(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def held(df: DataFrame) -> DataFrame:
-    """For queries that read the calls several times: kept in memory or on the executors' disks, and worked
-    out again where an executor is lost."""
-    return df.persist()
+    """For queries that read the calls several times: written once and read again."""
+    return written(df, "calls")
 
 
 def _passed(spark: SparkSession, sf: str, n: int) -> DataFrame:
@@ -123,6 +124,11 @@ def gene_annotation(spark, sf):
     return annotated(spark, sf).select("cluster_id", "gene_a", "gene_b", "driver_locus")
 
 
+@query
+def region_annotation(spark, sf):
+    return annotated(spark, sf).select("cluster_id", "region_a", "region_b")
+
+
 @query
 def known_partner(spark, sf):
     return annotated(spark, sf).select("cluster_id", "known_partner", "known_partner_source")
@@ -243,6 +249,32 @@ def physio_top(spark, sf):
     return reports.physiological_top(final(spark, sf))
 
 
+@query
+def novel_top(spark, sf):
+    return reports.novel_top(final(spark, sf)).select("fusion_id", "tier", "event_class")
+
+
+@query
+def between_receptors(spark, sf):
+    return reports.between_receptors(final(spark, sf)).select("fusion_id", "gene_a", "gene_b")
+
+
+@query
+def receptor_counts(spark, sf):
+    return reports.receptor_counts(final(spark, sf))
+
+
+@query
+def best_per_pair(spark, sf):
+    return reports.best_per_pair(reports.translocations(final(spark, sf), _classes(spark, sf)))
+
+
+@query
+def arc_points(spark, sf):
+    arcs = adapters.view(spark, sf, "metadata").select("sample_id", F.length("cell_line").alias("n")).select("sample_id", (F.col("n") * 0.1).alias("theta_1"), (F.col("n") * 0.35 + 1).alias("theta_2"))
+    return reports.arc_points(arcs).select("sample_id", "step", F.round("theta", 6).alias("theta"), F.round("r", 6).alias("r"))
+
+
 def _classes(spark: SparkSession, sf: str) -> DataFrame:
     p = adapters.view(spark, sf, "partners").filter("source <> 'later'")
     return p.select(F.col("partner_a").alias("gene_1"), F.col("partner_b").alias("gene_2"), F.concat(F.lit("t_"), F.col("source")).alias("class"), F.col("disease").alias("label"))

@@ -66,6 +66,13 @@ hit_{side} AS (SELECT cluster_id, gene AS gene_{side}, role AS role_{side} FROM
   FROM called JOIN loci ON chrom = chrom_{side} AND pos_{side} BETWEEN start - 5000 AND stop + 5000) WHERE k = 1)"""
 
 
+def _region(side: str) -> str:
+    return f"""
+region_{side} AS (SELECT cluster_id, CASE WHEN pos_{side} BETWEEN start AND stop THEN 'exonic_or_intronic' WHEN pos_{side} < start THEN 'upstream' ELSE 'downstream' END AS region_{side}
+  FROM called JOIN loci ON chrom = chrom_{side} AND pos_{side} BETWEEN start - 5000 AND stop + 5000
+  QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY start, ord) = 1)"""
+
+
 ANNOTATED = (
     CALLED
     + f""",
@@ -300,6 +307,18 @@ ORACLES: dict[str, str] = {
     "evidence_summary": f"""WITH RECURSIVE {CLUSTERS} SELECT cluster_id, n_callers, n_evidence_types, split_reads, discordant_pairs, assembly_contigs, soft_clips, vaf, raw_qual_max, precise, any_pass
       FROM clu""",
     "gene_annotation": f"WITH RECURSIVE {ANNOTATED} SELECT cluster_id, gene_a, gene_b, driver_locus FROM annotated",
+    "region_annotation": f"""WITH RECURSIVE {ANNOTATED}, {_region("a")}, {_region("b")} SELECT cluster_id, coalesce(region_a, 'intergenic') AS region_a, coalesce(region_b, 'intergenic') AS region_b
+      FROM called LEFT JOIN region_a USING (cluster_id) LEFT JOIN region_b USING (cluster_id)""",
+    "novel_top": _fin(f"""SELECT fusion_id, tier, event_class FROM fin WHERE event_class IN ('IG_driver_novel', 'driver_intergenic') AND {_TOP}
+      ORDER BY tier, split_reads + discordant_pairs DESC, first_seq LIMIT 60"""),
+    "between_receptors": _fin("SELECT fusion_id, gene_a, gene_b FROM fin WHERE event_class IN ('IG_IG', 'driver_intra') ORDER BY first_seq LIMIT 200"),
+    "receptor_counts": _fin("SELECT CASE WHEN gene_a <> '' THEN gene_a ELSE gene_b END AS gene, count(*) AS n FROM fin WHERE event_class = 'IG_intra' GROUP BY 1"),
+    "best_per_pair": _fin(f""", {_CLS} SELECT least(gene_a, gene_b) AS gene_1, greatest(gene_a, gene_b) AS gene_2, fusion_id, tier FROM tr
+      QUALIFY row_number() OVER (PARTITION BY least(gene_a, gene_b), greatest(gene_a, gene_b) ORDER BY tier, split_reads + discordant_pairs DESC, first_seq) = 1"""),
+    "arc_points": f"""WITH a AS (SELECT sample_id, length(cell_line) * 0.1::DOUBLE AS t1, length(cell_line) * 0.35::DOUBLE + 1 AS t2, unnest(range(0, 51)) AS step FROM ({for_duckdb('metadata')})),
+      b AS (SELECT sample_id, CAST(step AS INT) AS step, cos(t1) AS x1, sin(t1) AS y1, cos(t2) AS x2, sin(t2) AS y2, step / 50.0::DOUBLE AS t FROM a),
+      c AS (SELECT sample_id, step, (1 - t) ** 2 * x1 + 2 * (1 - t) * t * (x1 + x2) * 0.15 + t ** 2 * x2 AS x, (1 - t) ** 2 * y1 + 2 * (1 - t) * t * (y1 + y2) * 0.15 + t ** 2 * y2 AS y FROM b)
+      SELECT sample_id, step, round(CASE WHEN atan2(y, x) < 0 THEN degrees(atan2(y, x)) + 360 ELSE degrees(atan2(y, x)) END, 6) AS theta, round(sqrt(x * x + y * y), 6) AS r FROM c""",
     "known_partner": f"WITH RECURSIVE {ANNOTATED} SELECT cluster_id, known_partner, known_partner_source FROM annotated",
     "qc_artefact": _one(_masked("out", "q0")),
     "qc_recurrent": _one(_recurrent("out", "q0", 3, 1, "CASE tier WHEN 'T1' THEN 'T2' WHEN 'T2' THEN 'T3' ELSE tier END")),

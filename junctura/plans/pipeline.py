@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from ..operators import annotate, cluster, qc, tiers
+from ..sources.steps import written
 
 EPS = cluster.EPS
 
@@ -18,4 +19,5 @@ def called(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples:
 
 
 def final(calls: DataFrame, loci: DataFrame, partners: DataFrame, artefacts: DataFrame, eps: int = EPS) -> DataFrame:
-    return qc.checked(annotate.annotated(called(calls, eps), loci, partners), artefacts, qc.RECEPTOR_LOCI)
+    """Annotated calls are written once, as the rewrite passes read them twice."""
+    return qc.checked(written(annotate.annotated(called(calls, eps), loci, partners), "annotated"), artefacts, qc.RECEPTOR_LOCI)

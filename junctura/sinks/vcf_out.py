@@ -81,8 +81,25 @@ def body(rows: DataFrame) -> DataFrame:
     return in_file_order(rows).select(F.concat_ws("\t", *[F.col(n).cast("string") for n in names]).alias("value"))
 
 
+#: INFO keys with number and type, and what they say; symbolic alleles.
+INFO_KEYS = {
+    "SVTYPE": ("1", "String", "Type of event"), "MATEID": ("1", "String", "Record of the mate"), "END": ("1", "Integer", "End of the event"),
+    "SVLEN": ("1", "Integer", "Length of the event"), "IMPRECISE": ("0", "Flag", "Ends are not exact"), "FF_TIER": ("1", "String", "Tier"),
+    "FF_EVENT_CLASS": ("1", "String", "Class of the event"), "FF_GENE_A": ("1", "String", "Gene at this end"), "FF_GENE_B": ("1", "String", "Gene at the other end"),
+    "FF_DRIVER_LOCUS": ("1", "String", "Driver and receptor loci at the ends"), "FF_KNOWN_PARTNER": ("1", "Integer", "1 if the pair of genes is known"),
+    "FF_KP_SOURCE": ("1", "String", "Source of the known pair"), "FF_IN_FRAME": ("1", "Integer", "1 if the fusion is in frame"), "FF_N_CALLERS": ("1", "Integer", "Callers that support it"),
+    "FF_CALLERS": ("1", "String", "Names of those callers"), "FF_N_EV_TYPES": ("1", "Integer", "Kinds of evidence"), "FF_SR": ("1", "Integer", "Split reads"),
+    "FF_PE": ("1", "Integer", "Discordant pairs"), "FF_ASM": ("1", "Integer", "Assembled contigs"), "FF_SC": ("1", "Integer", "Soft-clipped reads"),
+    "FF_VAF": ("1", "Float", "Share of the variant"), "FF_PRECISE": ("1", "Integer", "1 if the ends are exact"), "FF_ANY_PASS": ("1", "Integer", "1 if a caller passed it"),
+    "FF_QC_FLAGS": ("1", "String", "Flags of the rewrite passes"), "FF_FUSION_ID": ("1", "String", "Id of the call"),
+}
+ALLELES = {"DEL": "Deletion", "DUP": "Duplication", "INV": "Inversion", "INS": "Insertion", "BND": "Breakend"}
+
+
 def header(sample: str, contigs: list[str]) -> list[str]:
     lines = ["##fileformat=VCFv4.3", *(f"##contig=<ID={c}>" for c in contigs)]
+    lines += [f'##INFO=<ID={k},Number={n},Type={t},Description="{d}">' for k, (n, t, d) in INFO_KEYS.items()]
+    lines += [f'##ALT=<ID={k},Description="{d}">' for k, d in ALLELES.items()]
     lines += ['##FILTER=<ID=PASS,Description="All filters passed">', '##FILTER=<ID=LowQual,Description="One caller, which did not pass it">', '##FILTER=<ID=T3,Description="Lowest tier">']
     lines += ['##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', '##FORMAT=<ID=SR,Number=1,Type=Integer,Description="Split reads">']
     lines += ['##FORMAT=<ID=PE,Number=1,Type=Integer,Description="Discordant pairs">', '##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Depth by allele">']
@@ -131,5 +148,10 @@ def write_tsv(calls: DataFrame, folder: str) -> None:
     rows.select(*[_written(n, k).alias(n) for n, k in COLUMNS.items()]).write.option("header", True).option("quote", "").csv(folder, sep="\t", emptyValue="")
 
 
+def write_json(calls: DataFrame, folder: str) -> None:
+    """One object a line."""
+    to_json(calls).write.text(folder)
+
+
 def to_json(calls: DataFrame) -> DataFrame:
     return complete(calls).select(F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}).alias("value"))

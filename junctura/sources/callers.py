@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 
 from ..functions import contigs, vcf
 
+#: Lines of a file, in bits of call_seq; the bits above number the files.
+LINE_BITS = 38
 CALLERS = ("manta", "gridss", "delly", "svaba", "tiddit", "factera")
 
 
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file, line_no, line of text files (gzip by suffix). A file is read by one task, as gzip is; line
-    numbers rise in the order of the file."""
-    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return rows.withColumn("line_no", F.col("line_no").cast("long"))
+    """file, line_no, line of text files (gzip by suffix). Files are read in blocks, as Spark splits them; the
+    blocks' numbers of lines are counted first, so line numbers rise without gaps in the order of the file."""
+    rows = spark.read.text(paths, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
+    )
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))  # a row for each block
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("place") + F.col("shift")).alias("line_no"), "line")
 
 
 def fields(lines: DataFrame) -> DataFrame:
@@ -30,15 +37,16 @@ def records(lines: DataFrame) -> DataFrame:
     g = lambda k: F.get(F.col("f"), F.lit(k))
     out = fields(lines).filter(F.size("f") >= 8)
     names = ["chrom", "pos", "id", "ref", "alt", "qual", "filter"]
+    file = F.col("file") if "file" in lines.columns else F.lit("").alias("file")
     return out.select(
-        "sample", "line_no", *[g(k).alias(n) for k, n in enumerate(names)], vcf.info_map(g(7)).alias("info"),
+        "sample", file, "line_no", *[g(k).alias(n) for k, n in enumerate(names)], vcf.info_map(g(7)).alias("info"),
         vcf.format_map(F.coalesce(g(8), F.lit("")), F.coalesce(g(9), F.lit(""))).alias("fmt"),
     ).withColumn("pos", vcf.to_int(F.col("pos")))
 
 
 def _first_of_mates(rows: DataFrame, only: Column, by: Column) -> DataFrame:
-    """Of the records of one event (where ``only`` holds) the first in file order."""
-    place = F.row_number().over(W.partitionBy("sample", only, by).orderBy("line_no"))
+    """Of the records of one event in a file (where ``only`` holds) the first in file order."""
+    place = F.row_number().over(W.partitionBy("sample", "file", only, by).orderBy("line_no"))
     return rows.withColumn("mate_place", place).filter(~only | (F.col("mate_place") == 1)).drop("mate_place")
 
 
@@ -49,8 +57,13 @@ def _mates() -> Column:
 
 
 def _call(rows: DataFrame, caller: str, ends: dict[str, Column], evidence: dict[str, Column], record_id: Column, sv_type: Column) -> DataFrame:
+    """ends: c1, p1, s1, c2, p2, s2, and ci1 and ci2 (confidence intervals in the order of the record, not of
+    the ends) where the caller has them."""
+    none = F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    ends = {"ci1": none, "ci2": none} | ends
     rows = rows.select("sample", "line_no", record_id.alias("record_id"), sv_type.alias("sv_type"), *[c.alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in evidence.items()])
-    return rows.withColumns(contigs.ordered(*[F.col(n) for n in ("c1", "p1", "s1", "c2", "p2", "s2")])).drop("c1", "p1", "s1", "c2", "p2", "s2").withColumn("caller", F.lit(caller))
+    rows = contigs.with_ends(rows, *[F.col(n) for n in ("c1", "p1", "s1", "c2", "p2", "s2")]).withColumn("caller", F.lit(caller))
+    return rows.withColumns({f"cipos_{s}_{end}": F.col(f"ci{k}.{end}") for k, s in ((1, "a"), (2, "b")) for end in ("lo", "hi")}).drop("c1", "p1", "s1", "c2", "p2", "s2", "ci1", "ci2")
 
 
 def _strip(chrom: Column) -> Column:
@@ -96,10 +109,11 @@ def parsed(lines: DataFrame, caller: str) -> DataFrame:
     rows = rows.withColumn("b", vcf.bnd(F.col("alt")))
     has = F.col("b").isNotNull()
     loose = F.col("filter").isin("PASS", ".")
+    ci = lambda other: {"ci1": vcf.interval(info["CIPOS"]), "ci2": vcf.interval(F.coalesce(F.nullif(info[other], F.lit("")), info["CIPOS"]))}
     plus, minus = F.lit("+"), F.lit("-")
     if caller == "manta":
         rows = rows.filter(~is_bnd | has)
-        ends = _bnd_or(is_bnd, (plus, F.col("chrom"), end, F.when(kind.isin("DEL", "DUP"), "-").otherwise("+")))
+        ends = _bnd_or(is_bnd, (plus, F.col("chrom"), end, F.when(kind.isin("DEL", "DUP"), "-").otherwise("+"))) | ci("CIEND")
         digits = lambda t: F.when(x(t, -1).rlike(r"^\d+$"), n(x(t, -1))).otherwise(0).cast("long")
         proof = _evidence(split_reads=F.coalesce(digits(fmt["SR"]), F.lit(0)), discordant_pairs=F.coalesce(digits(fmt["PR"]), F.lit(0)), assembly_contigs=F.when(info["CONTIG"].isNotNull(), 1).otherwise(0).cast("long"), mapq=n(info["MAPQ"]), vaf=vcf.to_float(info["BND_DEPTH"]), filter_pass=loose)
         return _call(rows, caller, ends, proof, F.col("id"), kind)
@@ -110,7 +124,7 @@ def parsed(lines: DataFrame, caller: str) -> DataFrame:
             split_reads=either("SR") + either("ASSR"), discordant_pairs=either("RP") + either("ASRP"), assembly_contigs=n(info["IC"]) + (n(info["AS"]) > 0).cast("long"), soft_clips=n(info["BSC"]),
             mapq=n(info["MQ"]), vaf=vcf.to_float(F.coalesce(fmt["AF"], info["AF"])),
         )
-        return _call(rows, caller, _bnd_or(F.lit(True), (plus, F.col("chrom"), end, minus)), proof, F.coalesce(F.nullif(info["EVENT"], F.lit("")), F.col("id")), kind)
+        return _call(rows, caller, _bnd_or(F.lit(True), (plus, F.col("chrom"), end, minus)) | ci("CIRPOS"), proof, F.coalesce(F.nullif(info["EVENT"], F.lit("")), F.col("id")), kind)
     if caller == "delly":
         rows = rows.filter(~is_bnd | has)
         first, second = (reduce(lambda c, kv: c.when(info["CT"] == kv[0], kv[1][side]), list(vcf.CT_STRANDS.items())[1:], F.when(info["CT"] == "3to5", vcf.CT_STRANDS["3to5"][side])).otherwise("+-"[side]) for side in (0, 1))
@@ -118,7 +132,7 @@ def parsed(lines: DataFrame, caller: str) -> DataFrame:
         depth = dv + rv + dr + rr
         asm = (info["CONSBP"].isNotNull() | info["CONSENSUS"].isNotNull()).cast("long")
         proof = _evidence(split_reads=F.greatest(n(info["SR"]), rv), discordant_pairs=F.greatest(n(info["PE"]), dv), assembly_contigs=asm, mapq=n(info["MAPQ"]), vaf=F.when(depth > 0, (dv + rv) / depth).otherwise(0.0))
-        return _call(rows, caller, _bnd_or(is_bnd, (first, F.col("chrom"), end, second)), proof, F.col("id"), kind)
+        return _call(rows, caller, _bnd_or(is_bnd, (first, F.col("chrom"), end, second)) | {"ci1": vcf.interval(info["CIPOS"]), "ci2": vcf.interval(info["CIEND"])}, proof, F.col("id"), kind)
     if caller == "svaba":
         how = info["EVDNC"]
         sr, dr = n(x(fmt["SR"], 1)), n(x(fmt["DR"], 1))
@@ -137,16 +151,19 @@ def _factera(lines: DataFrame) -> DataFrame:
     """Tabular: the first line that isn't blank names the columns. lines: Break1, Break2, Break_support1,
     Break_support2, Orientation by those names, or rows of text."""
     rows = fields(lines)
-    head = rows.groupBy("sample").agg(F.min_by("f", "line_no").alias("head"), F.min("line_no").alias("first"))
-    rows = rows.join(head, "sample").filter(F.col("line_no") > F.col("first"))
-    col = lambda name: F.get(F.col("f"), F.array_position("head", F.lit(name)).cast("int") - 1)
-    place = lambda name: (F.substring_index(col(name), ":", 1), F.substring_index(col(name), ":", -1).try_cast("bigint"))
+    of = ["sample", *[c for c in ("file",) if c in lines.columns]]
+    head = rows.groupBy(*of).agg(F.min_by("f", "line_no").alias("head"), F.min("line_no").alias("first"))
+    rows = rows.join(head, of).filter(F.col("line_no") > F.col("first"))
+    names = ("Break1", "Break2", "Break_support1", "Break_support2", "Orientation")
+    rows = rows.select("sample", "line_no", *[F.get(F.col("f"), F.array_position("head", F.lit(n)).cast("int") - 1).alias(n) for n in names])
+    place = lambda name: (F.substring_index(name, ":", 1), F.substring_index(name, ":", -1).try_cast("bigint"))
     (c1, p1), (c2, p2) = place("Break1"), place("Break2")
-    one, two = (vcf.to_int(col(f"Break_support{k}")) for k in (1, 2))
-    turn = col("Orientation")
+    one, two = (vcf.to_int(F.col(f"Break_support{k}")) for k in (1, 2))
+    turn = F.col("Orientation")
     s1, s2 = F.when(turn.isin("NN", "NC"), "+").otherwise("-"), F.when(turn.isin("NN", "CN"), "+").otherwise("-")
     support = F.when((one > 0) & (two > 0), F.least(one, two)).otherwise(F.greatest(one, two))
-    rows = rows.filter(p1.isNotNull() & p2.isNotNull())
+    rows = rows.withColumns({"b1": F.struct(c1.alias("c"), p1.alias("p")), "b2": F.struct(c2.alias("c"), p2.alias("p"))}).filter("b1.p is not null and b2.p is not null")
+    (c1, p1), (c2, p2) = ((F.col(f"b{k}.c"), F.col(f"b{k}.p")) for k in (1, 2))
     yes, zero = F.lit(True), F.lit(0).cast("long")
     proof = {"split_reads": support, "discordant_pairs": zero, "assembly_contigs": F.lit(1).cast("long"), "soft_clips": zero, "mapq": zero, "vaf": F.lit(0.0), "raw_qual": F.lit(0.0), "filter_pass": yes, "precise": yes}
     name = F.concat_ws("_", F.lit("factera"), _strip(c1), p1.cast("string"), _strip(c2), p2.cast("string"))
@@ -154,13 +171,21 @@ def _factera(lines: DataFrame) -> DataFrame:
 
 
 def parsed_all(by_caller: dict[str, DataFrame]) -> DataFrame:
-    """All callers' calls, with call_seq in the order of callers, then of lines."""
-    parts = [parsed(by_caller[c], c).withColumn("caller_ord", F.lit(k)) for k, c in enumerate(CALLERS) if c in by_caller]
+    """All callers' calls. call_seq is unique, in the order of callers, then of samples and files, then of lines:
+    lines (sample, line_no, line, and file where several files are of one sample) are numbered over all files."""
     unknown = set(by_caller) - set(CALLERS)
     if unknown:
         raise ValueError(f"unknown callers: {sorted(unknown)}")
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("call_seq", F.col("caller_ord").cast("long") * (1 << 40) + F.col("line_no")).drop("caller_ord")
+    given = {c: by_caller[c] if "file" in by_caller[c].columns else by_caller[c].withColumn("file", F.lit("")) for c in CALLERS if c in by_caller}
+    files = reduce(DataFrame.union, [d.select(F.lit(CALLERS.index(c)).alias("of_caller"), "sample", "file") for c, d in given.items()]).distinct()
+    files = files.withColumn("file_ord", F.row_number().over(W.orderBy("of_caller", "sample", "file")).cast("long"))  # a row for each file
+    parts = []
+    for c, d in given.items():
+        own = files.filter(F.col("of_caller") == CALLERS.index(c)).select(F.col("sample").alias("of_sample"), F.col("file").alias("of_file"), "file_ord")
+        d = d.join(own, d["sample"].eqNullSafe(own["of_sample"]) & d["file"].eqNullSafe(own["of_file"]))
+        numbered = d.select("sample", "file", (F.shiftleft("file_ord", LINE_BITS) + F.col("line_no")).alias("line_no"), "line")
+        parts.append(parsed(numbered, c))
+    return reduce(DataFrame.unionByName, parts).withColumn("call_seq", F.col("line_no"))
 
 
 def summary(rows: DataFrame) -> DataFrame:

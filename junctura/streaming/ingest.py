@@ -20,7 +20,7 @@ def stream(spark: SparkSession, folder: str, caller: str, loci: DataFrame, partn
     files = files.select(F.input_file_name().alias("file"), "value")
 
     def handle(batch: DataFrame, number: int) -> None:
-        lines = batch.select(F.regexp_extract("file", r"([^/]+?)\.[^/]*$", 1).alias("sample"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+        lines = batch.select("file", F.regexp_extract("file", r"([^/]+?)\.[^/]*$", 1).alias("sample"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
         calls = callers.parsed_all({caller: lines.withColumn("line_no", F.col("line_no").cast("long"))})
         done = vcf_out.complete(pipeline.final(calls, loci, partners, artefacts))
         done.write.mode("overwrite").parquet(f"{out}/batch={number}")
