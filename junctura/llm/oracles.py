@@ -126,9 +126,51 @@ SELECT page_id, r.host, path, rule, coalesce(said, CASE WHEN rejected THEN 'bloc
 FROM r JOIN own ON r.host = own.host AND r.general = own.general JOIN cl ON own.host = cl.host AND own.t = cl.t JOIN ju ON ju.host = cl.host AND ju.class = cl.class
 """
 
+_SHARE = "CAST(1 + (1000000000 * (CAST({c} AS HUGEINT) + 2)) // ({n} + 2 * v) AS BIGINT)"
+
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+e AS (SELECT k, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM e GROUP BY lang, term HAVING count(DISTINCT k) >= 10),
+held AS (SELECT lang, source, term, count(*) AS c FROM e SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+vocab AS (SELECT lang, count(*) AS v, sum(c) AS lang_n FROM kept GROUP BY lang),
+grp AS (SELECT g.lang, g.source, coalesce(any_value(v), 0) AS v, coalesce(any_value(lang_n), 0) AS lang_n, coalesce(sum(c), 0) AS n
+        FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN vocab USING (lang) LEFT JOIN held USING (lang, source) GROUP BY g.lang, g.source),
+cell AS (SELECT grp.lang, grp.source, kept.term, coalesce(held.c, 0) AS c, {_SHARE.format(c="coalesce(held.c, 0)", n="n")} AS p, {_SHARE.format(c="kept.c", n="lang_n")} AS q
+         FROM grp JOIN kept USING (lang) LEFT JOIN held ON held.lang = grp.lang AND held.source = grp.source AND held.term = kept.term),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+         FROM grp x JOIN grp y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN far ON far.lang = x.lang AND far.source = x.source AND far.item = y.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM cell WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM (FROM pair UNION ALL FROM term) QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def _draw(k: int) -> str:
+    return f"CAST(concat('0x', substr(h, {8 * k + 1}, 8)) AS BIGINT) AS h{k + 1}"
+
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS h FROM documents),
+r AS (SELECT *, length(t) AS n, {", ".join(map(_draw, range(4)))} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2,
     "op3_mixing": OP3,
     "op8_ngram_jaccard_join": OP8,
     "op10_url_filters": OP10,
+    "op12_source_divergence": OP12,
+    "op13_fill_in_middle": OP13,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, bpe, fingerprints, host_rules, id_files, language, mixing, near_join, quality, shared, url_templates
+from . import attribution, bpe, divergence, fill_middle, fingerprints, host_rules, id_files, language, mixing, near_join, packing, quality, shared, url_templates
 from .oracles import ORACLES  # noqa: F401
 
 END_ID = 2
@@ -65,10 +65,23 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(shared.table(spark, sf_dir, "pages"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.packed(shared.documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(shared.documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(shared.documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_quality_rules, op3_mixing, op4_language_id, op5_fingerprints, op6_token_counts, op7_bpe,
-        op8_ngram_jaccard_join, op9_id_files, op10_url_filters,
+        op8_ngram_jaccard_join, op9_id_files, op10_url_filters, op11_best_fit_packing, op12_source_divergence, op13_fill_in_middle,
     )
 }
