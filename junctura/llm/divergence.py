@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A term, and the scale of shares.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms (after lower-casing), and the scale of shares.
+BETWEEN = r"[\x00-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
+IN_LONGS = 9_000_000_000
 MIN_DOCS = 10
 TOP_TERMS = 10
 #: Parts of a language's vocabulary in the join with its groups.
@@ -39,17 +40,21 @@ def term_counts(df: DataFrame, text: str = "text", lang: str = "lang", source: s
     """lang, source, term, n (occurrences), docs: one row for each term of a group, and one with a null term for
     each group that has a text without terms."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
-    lower = F.translate(blank(text), string.ascii_uppercase, string.ascii_lowercase)
-    rows = df.select(blank(lang).alias("lang"), blank(source).alias("source"), F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)).alias("terms"))
-    both = F.array(F.struct(F.col("terms").alias("terms"), F.lit(0).alias("once")), F.struct(F.array_distinct("terms").alias("terms"), F.lit(1).alias("once")))
-    rows = rows.select("lang", "source", F.explode(both).alias("of")).select("lang", "source", F.col("of.once").alias("once"), F.explode_outer("of.terms").alias("term"))
-    return rows.groupBy("lang", "source", "term").agg(F.sum(1 - F.col("once")).alias("n"), F.sum("once").alias("docs"))
+    text = blank(text)
+    ascii_only = F.octet_length(text) == F.length(text)  # there lower() changes A to Z only, and is faster
+    lower = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    rows = df.select(blank(lang).alias("lang"), blank(source).alias("source"), F.split(lower, BETWEEN).alias("terms"))
+    rows = rows.select("lang", "source", F.size("terms").alias("size"), F.posexplode(F.concat("terms", F.array_distinct("terms"))).alias("at", "term"))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return rows.groupBy("lang", "source", F.nullif("term", F.lit("")).alias("term")).agg(one(F.col("at") < F.col("size")).alias("n"), one(F.col("at") >= F.col("size")).alias("docs"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + the whole part of SCALE * (count + 2) / (total + 2 * terms)."""
+    """1 + the whole part of SCALE * (count + 2) / (total + 2 * terms), in whole numbers; in decimals where the count is
+    so large that the product isn't a long."""
     exact = lambda c: c.cast("decimal(28,0)")
-    return F.call_function("div", F.lit(SCALE) * exact(count + 2), exact(total + 2 * terms)).cast("long") + 1
+    div = lambda x, y: F.call_function("div", x, y).cast("long")
+    return F.when(count < IN_LONGS, div(F.lit(SCALE) * (count + 2), total + 2 * terms)).otherwise(div(F.lit(SCALE) * exact(count + 2), exact(total + 2 * terms))) + 1
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -63,21 +68,17 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     vocabulary = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= min_docs).drop("docs")
     kept = shared.written(vocabulary, "kept-terms")
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    held = found.join(kept, ["lang", "term"]).select("lang", "source", "term", "n")
+    held = shared.written(found.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"), "held-terms")
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     groups = counts.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(of_lang, "lang", "left")
     groups = shared.written(groups.select("lang", "source", none("total"), none("terms"), none("lang_total")), "groups")
 
-    salted = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    salted = kept.select("lang", "term").withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
     spread = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cells = spread.join(salted, ["lang", "salt"]).join(held, ["lang", "source", "term"], "left")
-    cells = cells.select(
-        "lang", "source", "term", none("n"), share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("terms")).alias("p"),
-        share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"),
-    )
-    cells = shared.written(cells, "cells")
-
+    cells = spread.join(salted, ["lang", "salt"]).join(held.drop("lang_n"), ["lang", "source", "term"], "left")
+    own = lambda n: share(n, F.col("total"), F.col("terms")).alias("p")
+    cells = cells.select("lang", "source", "term", own(F.coalesce("n", F.lit(0))))
     one = cells.select("lang", "term", F.col("source").alias("a"), F.col("p").alias("p_a"))
     two = cells.select("lang", "term", F.col("source").alias("b"), F.col("p").alias("p_b"))
     sums = one.join(two, ["lang", "term"]).filter("a < b").groupBy("lang", "a", "b").agg(F.sum(apart(F.col("p_a"), F.col("p_b"))).alias("value"))
@@ -86,6 +87,8 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     way = lambda x, y: F.struct(F.col(x).alias("source"), F.col(y).alias("item"))
     pairs = sums.union(bare).select("lang", F.explode(F.array(way("a", "b"), way("b", "a"))).alias("way"), "value")
     pairs = pairs.select("lang", "way.source", F.lit("pair").alias("part"), "way.item", "value")
-    terms = cells.filter("n > 0 and p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    shown = held.join(groups, ["lang", "source"])  # cells with occurrences only
+    shown = shown.select("lang", "source", "term", own(F.col("n")), share(F.col("lang_n"), F.col("lang_total"), F.col("terms")).alias("q"))
+    terms = shown.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
     place = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     return pairs.withColumn("rank", place).union(terms.withColumn("rank", place).filter(F.col("rank") <= top))
