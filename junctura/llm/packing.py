@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import bpe, shared
+from . import shared, unit_encoder
 
 MAX_TOKENS = 2048
 PHASES = 6
@@ -49,6 +49,8 @@ SLACK = 0.0005
 #: Step of the prices.
 STEP = 0.05
 RANK_BITS = 44
+#: Bytes of ids after which pieces leave Python.
+HELD_BYTES = 1 << 20
 
 Group = tuple[int, tuple[tuple[int, int], ...]]  # times, (length, how many of it) in their order
 
@@ -213,8 +215,7 @@ def pieces(df: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
     schema = f"part long, place long, doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seen = bpe.load(tokenizer), TaskContext.get().partitionId(), Counter()
-        end = np.array([end_id], "<u4").tobytes()
+        own, part, seen = unit_encoder.load(tokenizer), TaskContext.get().partitionId(), Counter()
         names = [x.split(" ")[0] for x in schema.split(", ")]
 
         def made(rows: list[tuple], packed: list[bytes]) -> pa.RecordBatch:
@@ -228,9 +229,8 @@ def pieces(df: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
 
         for batch in batches:
             rows, packed, held = [], [], 0
-            for owner, raw in zip(batch.column(0).to_pylist(), own.batches(t.as_py() for t in batch.column(1)), strict=True):
-                raw += end
-                total = len(raw) // 4
+            for owner, found in zip(batch.column(0).to_pylist(), own.batches(t.as_py() for t in batch.column(1)), strict=True):
+                raw, total = np.append(found.astype("<u4"), np.uint32(end_id)).tobytes(), len(found) + 1
                 first = (total - 1) % max_tokens + 1
                 for k, stop in enumerate(range(first, total + 1, max_tokens)):
                     start = 0 if k == 0 else stop - max_tokens
@@ -240,7 +240,7 @@ def pieces(df: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, end_id:
                     if ids:
                         packed.append(cut)
                 held += len(raw)
-                if held >= bpe.BATCH_CHARS:
+                if held >= HELD_BYTES:
                     yield made(rows, packed)
                     rows, packed, held = [], [], 0
             yield made(rows, packed)
@@ -258,7 +258,7 @@ def placed(cut: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a part
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     names = [c for c in cut.columns if c not in ("part", "place")]
-    rows = cut.join(base, ["part", "length"]).select(*names, (F.col("base") + F.col("place")).alias("rank"))
+    rows = cut.join(base.hint("merge"), ["part", "length"]).select(*names, (F.col("base") + F.col("place")).alias("rank"))
     schema = rows.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
