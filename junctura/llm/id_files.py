@@ -21,6 +21,7 @@ not read.
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 import re
 import zlib
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .bpe import byte_letters
 
 MAGIC = 0x31_42_56_53_44_49_4B_54
 CHUNKS_KEPT = 250_000
@@ -44,15 +46,17 @@ NOT_WHITE = "\x1c\x1d\x1e\x1f"
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: A mark after such a letter and before white space: it is a pre-token of its own.
 LONE_MARK = re.compile("[.,!?;](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)(?=[\t-\r \x85\xa0]|\\Z)")
-WORDS_AT_ONCE = 2000
+#: Fixed value: a byte that UTF-8 never has.
+END_BYTE = b"\xff"
 #: Longer chunks aren't remembered.
 LONGEST_KEPT = 64
 CHUNKS = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 
 
 class ChunkEncoder:
-    """The tokenizers library over the chunks between white space, which its pre-tokenizer never spans;
-    chunks are remembered in two bounded generations, which changes no result."""
+    """The tokenizers library over the chunks between white space, which its pre-tokenizer never spans, and for plain
+    words tiktoken with the same merges, which is several times faster; chunks are remembered in two bounded
+    generations, which changes no result."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,8 +68,7 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.kind = "<u2" if self.size <= 65536 else "<u4"  # of an id in what is remembered and given out
-        self.ends_word = np.zeros(self.size, bool)
-        self.ends_word[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self._ranked(path)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -75,8 +78,7 @@ class ChunkEncoder:
         made = {c: older[c] for c in chunks if c in older}
         rest = chunks.difference(made)
         plain = [c for c in rest if PLAIN.fullmatch(c)]
-        for at in range(0, len(plain), WORDS_AT_ONCE):
-            made.update(self._plain(plain[at : at + WORDS_AT_ONCE]))
+        made.update(self._plain(plain))
         rest = list(rest.difference(made))
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             made[c] = np.array(e.ids, self.kind).tobytes()
@@ -84,14 +86,36 @@ class ChunkEncoder:
         return made
 
     def _plain(self, words: list[str]) -> dict[str, bytes]:
-        """Words of letters, encoded as one text and parted at the tokens that end a word; none if those
-        aren't as many as the words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
-        if len(ends) != len(words):
+        """Ids of words of letters, by tiktoken; none if it can't stand for this file."""
+        if self.fast is None:
             return {}
-        packed, ends = ids.tobytes(), ends.tolist()
-        return {w: packed[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)}
+        encode, id_of, kind = self.fast.encode_single_piece, self.id_of, self.kind
+        return {w: id_of[encode(w.lower().encode() + END_BYTE)].astype(kind).tobytes() for w in words}
+
+    def _ranked(self, path: str) -> None:
+        """tiktoken with the file's merges. A word ends in a byte that no text holds; joining it to the byte before
+        comes before all merges, so the last letter is the one that ends a word, as in the file. Ranks are told by
+        the order of the merges, ids by a table."""
+        import tiktoken
+
+        self.fast = None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end, vocab, letters = model.get("end_of_word_suffix"), model["vocab"], byte_letters()
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        if end != "</w>" or model.get("continuing_subword_prefix") or not {*letters, *(x + end for x in letters)} <= set(vocab):
+            return
+        back = {letter: byte for byte, letter in enumerate(letters)}
+
+        def raw(token: str) -> bytes:
+            bare = token.removesuffix(end)
+            return bytes(back[x] for x in bare) + END_BYTE * (bare != token)
+
+        names = [*letters, *(x + end for x in letters), *("".join(m) for m in merges)]
+        ranks = {raw(n): k for k, n in enumerate(names)}
+        if len(ranks) == len(names) and all(n in vocab for n in names):
+            self.id_of = np.array([vocab[n] for n in names])
+            self.fast = tiktoken.Encoding("file", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     def _chunks(self, text: str) -> list[str]:
         text = LONE_MARK.sub(" \\g<0>", text)
