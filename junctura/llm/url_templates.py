@@ -22,6 +22,7 @@ import string
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -70,29 +71,41 @@ def shaped(df: DataFrame, page_id: str, url: str, rules: list[tuple[str, str]])
     return df.withColumn("general", F.regexp_replace("path", "[0-9]+", "<n>"))
 
 
-def _segments(text: Column) -> Column:
-    return F.split(text, "/", -1)
+#: Columns that tell a place in the tree: the host's hash, the level, a hash of the segments above, the segment's form.
+PLACE = ["hid", "k", "above", "form"]
 
 
-def general_paths(shapes: DataFrame) -> DataFrame:
-    """host, general, d (segments), tt (the template's segments), n, b, a: one row for each general path,
-    added up where the URLs are read."""
+def _told(*by: Column) -> Column:
+    """128 bits of a segment at its place, as two longs: xor of those tells a whole path or a part of it."""
+    return F.struct(F.xxhash64(F.lit(1), *by).alias("x"), F.xxhash64(F.lit(2), *by).alias("y"))
+
+
+def _xor(c: str, over=None) -> Column:
+    both = [F.bit_xor(f"{c}.{x}") for x in "xy"]
+    return F.struct(*[F.coalesce(b if over is None else b.over(over), F.lit(0).cast("long")).alias(x) for b, x in zip(both, "xy", strict=True)])
+
+
+def general_paths(shapes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths (host, general, pid, hid, d (segments), n, b, a), one row for each general path, added up where the URLs are
+    read, and their segments (pid, k, value, told). A segment's row holds hashes of its path and host, not those
+    themselves, so what is written grows with the length of a URL and not with its square."""
     count = lambda verdict: F.sum(F.when(F.col("hit.verdict") == verdict, 1).otherwise(0))
     paths = shapes.groupBy("host", "general").agg(F.count("*").alias("n"), count("block").alias("b"), count("allow").alias("a"))
-    segments = F.when(F.col("general") != "", _segments(F.expr("substring(general, 2)"))).otherwise(F.array().cast("array<string>"))
-    paths = paths.withColumn("s", segments).withColumn("d", F.size("s"))
-    places = paths.select("host", "d", "n", F.posexplode("s").alias("k", "g")).groupBy("host", "d", "k", "g").agg(F.sum("n").alias("n"))
-    places = places.groupBy("host", "d", "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"))
-    wild = places.filter(2 * F.col("once") > F.col("n") + UNSEEN_SMOOTHING).groupBy("host", "d").agg(F.collect_set("k").alias("wild"))
-    paths = paths.join(wild, ["host", "d"], "left")
-    own = F.transform("s", lambda x, k: F.when(F.array_contains("wild", k), "*").otherwise(x))
-    return paths.select("host", "general", "d", F.array_join(own, "/").alias("tt"), "n", "b", "a")
+    split = F.when(F.col("general") != "", F.split(F.expr("substring(general, 2)"), "/", -1)).otherwise(F.array().cast("array<string>"))
+    paths = paths.select("*", F.md5(F.concat_ws("\n", "host", "general")).alias("pid"), F.md5("host").alias("hid"), F.size(split).alias("d"))
+    paths = shared.written(paths, "paths")
+    segments = paths.select("pid", "hid", "d", "n", F.posexplode(split).alias("k", "g"))
+    places = segments.groupBy("hid", "d", "k", "g").agg(F.sum("n").alias("n"))
+    places = places.groupBy("hid", "d", "k").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once"))
+    wild = places.filter(2 * F.col("once") > F.col("n") + UNSEEN_SMOOTHING).select("hid", "d", "k", F.lit("*").alias("wild"))
+    segments = segments.join(wild, ["hid", "d", "k"], "left").select("pid", "k", F.coalesce("wild", "g").alias("value"))
+    return paths, shared.written(segments.withColumn("told", _told(F.col("k"), F.col("value"))), "segments")
 
 
 def merged_branches(tree: DataFrame) -> DataFrame:
-    """place (host, k, above, form) and value of the branches that are merged. tree: host, d, tt, k, above,
-    form, value, below, n, b, a for each level of each template."""
-    place = ["host", "k", "above", "form"]
+    """PLACE and value of the branches that are merged. tree: PLACE, value, below, n, b, a for each level of each
+    template."""
+    place = PLACE
     shown = tree.groupBy(*place, "value", "below").agg(*[F.sum(c).alias(c) for c in "nba"])
     branch = shown.groupBy(*place, "value").agg(F.sum("n").alias("own_n"), F.sum("b").alias("own_b"), F.sum("a").alias("own_a"))
     family = branch.groupBy(*place).agg(F.sum("own_n").alias("all_n"), F.sum("own_b").alias("all_b"), F.sum("own_a").alias("all_a"), F.count("*").alias("branches")).filter("branches > 1")
@@ -116,28 +129,29 @@ def merged_branches(tree: DataFrame) -> DataFrame:
 
 def templates(shapes: DataFrame) -> DataFrame:
     """host, general, template, rejected: for each host and general path its class of templates, and whether
-    that is rejected. What is shuffled is counts by general path."""
-    paths = shared.written(general_paths(shapes), "paths")
-    own = paths.groupBy("host", "d", "tt").agg(*[F.sum(c).alias(c) for c in "nba"])
-    tree = own.filter("d > 0").withColumn("t", _segments(F.col("tt"))).select("*", F.posexplode("t").alias("k", "value"))
+    that is rejected. What is shuffled is counts by general path, and one small row for each of its segments."""
+    paths, segments = general_paths(shapes)
+    paths = paths.join(segments.groupBy("pid").agg(_xor("told").alias("tid")), "pid", "left")  # no segments: tid is null
+    paths = shared.written(paths.withColumn("tid", F.coalesce("tid", _told(F.lit("")))), "templates")
+    own = paths.groupBy("hid", "d", "tid").agg(*[F.sum(c).alias(c) for c in "nba"], F.min("pid").alias("pid"))
+    tree = own.filter("d > 0").join(segments, "pid")
     kind = F.when(F.col("value") == "*", "*").when(F.contains("value", F.lit("<n>")), "n").when(F.col("value") == "", "").otherwise("w")
-    tree = tree.select(
-        "host", "d", "tt", "k", "value", "n", "b", "a", F.array_join(F.slice("t", F.lit(1), F.col("k")), "/").alias("above"),
-        F.concat(kind, F.lit(":"), F.regexp_extract("value", r"\.[A-Za-z<>]*$", 0)).alias("form"),
-        F.concat((F.col("d") - F.col("k") - 1).cast("string"), F.lit(":"), F.array_join(F.slice("t", F.col("k") + 2, F.col("d")), "/")).alias("below"),
+    down = W.partitionBy("pid").orderBy("k")  # the segments of one path
+    rest = F.struct(*[(F.col(f"tid.{x}").bitwiseXOR(F.col(f"above.{x}"))).bitwiseXOR(F.col(f"told.{x}")).alias(x) for x in "xy"])
+    tree = tree.withColumn("above", _xor("told", down.rowsBetween(W.unboundedPreceding, -1))).select(
+        "pid", "hid", "k", "above", F.concat(kind, F.lit(":"), F.regexp_extract("value", r"\.[A-Za-z<>]*$", 0)).alias("form"), "value", F.struct("d", rest.alias("rest")).alias("below"), "n", "b", "a",
     )
     tree = shared.written(tree, "tree")
-    place = ["host", "k", "above", "form"]
     merged = merged_branches(tree).withColumn("is_merged", F.lit(True))
     name = F.when(F.col("is_merged"), F.concat(F.lit("~"), F.col("form"))).otherwise(F.col("value"))
-    named = tree.join(merged, [*place, "value"], "left").select("host", "d", "tt", F.struct("k", name.alias("name")).alias("part"))
-    named = named.groupBy("host", "d", "tt").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["name"]), "/").alias("class"))  # as many as the template has segments
-    own = shared.written(own.join(named, ["host", "d", "tt"], "left").withColumn("class", F.coalesce("class", "tt")), "classes")
+    named = tree.join(merged, [*PLACE, "value"], "left").select("pid", F.struct("k", name.alias("name")).alias("part"))
+    named = named.groupBy("pid").agg(F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda x: x["name"]), "/").alias("class"))  # as many as the path has segments
+    own = shared.written(own.join(named, "pid", "left").withColumn("class", F.coalesce("class", F.lit(""))), "classes")
     share = (F.sum("b") + 1) / (F.sum("b") + F.sum("a") + 2)
-    judged = own.groupBy("host", "d", "class").agg((share >= MIN_PURITY).alias("rejected"))
-    judged = own.select("host", "d", "tt", "class").join(judged, ["host", "d", "class"])
+    judged = own.groupBy("hid", "d", "class").agg((share >= MIN_PURITY).alias("rejected"))
+    judged = own.select("hid", "d", "tid", "class").join(judged, ["hid", "d", "class"])
     template = F.when(F.col("d") > 0, F.concat(F.lit("/"), F.col("class"))).otherwise("")
-    return paths.select("host", "general", "d", "tt").join(judged, ["host", "d", "tt"]).select("host", "general", template.alias("template"), "rejected")
+    return paths.select("host", "general", "hid", "d", "tid").join(judged, ["hid", "d", "tid"]).select("host", "general", template.alias("template"), "rejected")
 
 
 def judge(df: DataFrame, page_id: str = "page_id", url: str = "url", rules: list[tuple[str, str]] | None = None) -> DataFrame:
