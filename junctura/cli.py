@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from .operators import annotate, qc, reads, truth
 from .plans import pipeline
 from .sinks import vcf_out
-from .sources import callers, tables
+from .sources import cache, callers, tables
+from .sources.steps import scope, written
 
 
 def _calls(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
@@ -45,6 +46,7 @@ def parser() -> argparse.ArgumentParser:
     for verb in ("merge", "run"):
         p = verbs.add_parser(verb, parents=[files, out] + [dims] * (verb == "run"), allow_abbrev=False)
         p.add_argument("--eps", type=int, default=pipeline.EPS)
+        p.add_argument("--algorithm", choices=sorted(pipeline.ALGORITHMS), default="dbscan", help="connected components, or greedily in input order")
     for verb in ("annotate", "qc"):
         verbs.add_parser(verb, parents=[table, dims, out], allow_abbrev=False)
     verbs.add_parser("emit-vcf", parents=[table, out], allow_abbrev=False)
@@ -57,15 +59,54 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--driver-only", action="store_true", help="with --relax: a call of the driver alone counts")
     p.add_argument("--ignore-hedges", action="store_true", help="calls with a doubtful receptor partner aren't false positives")
     p.add_argument("--out", help="a table of samples, tab-separated")
-    p = verbs.add_parser("call", parents=[out], allow_abbrev=False)
+    p = verbs.add_parser("call", parents=[files, out], allow_abbrev=False, help="calls from reads: raw ones, or with --partners and --artefacts final ones, merged with callers' files")
     p.add_argument("--reads", nargs="+", required=True, help="tables of aligned reads (Parquet)")
     p.add_argument("--loci", required=True, help="windows that are scanned")
+    p.add_argument("--partners")
+    p.add_argument("--artefacts")
     p.add_argument("--pad", type=int, default=0)
+    p.add_argument("--min-mapq", type=int, default=20)
+    p.add_argument("--min-reads", type=float, default=3.0, help="weight of split reads, or of pairs, that makes a call")
+    p.add_argument("--eps", type=int, default=pipeline.EPS)
+    p.add_argument("--algorithm", choices=sorted(pipeline.ALGORITHMS), default="dbscan")
+    p.add_argument("--no-adaptive-insert", action="store_true", help="pairs are far apart from 10 kb on, whatever the library's insert sizes")
+    p.add_argument("--stats", help="folder in which the library's figures are kept for the next run over the same reads")
     return top
 
 
+def _distance(spark: SparkSession, args: argparse.Namespace, rows: DataFrame) -> int:
+    """From which distance on a pair is discordant: by the library's insert sizes, kept if a folder is named."""
+    if args.no_adaptive_insert:
+        return 10_000
+    make = lambda: reads.library_stats(rows)
+    stats = cache.cached(spark, args.stats, args.reads, {"of": "library_stats"}, make) if args.stats else make()
+    return stats.first()["discordant_distance"]
+
+
+def _call(spark: SparkSession, args: argparse.Namespace) -> int:
+    """Calls of reads, of windows and artefact stretches; with the dimension tables these and the callers' calls are
+    merged, annotated and checked, and counted on standard output."""
+    rows, whole = spark.read.parquet(*args.reads), bool(args.partners and args.artefacts)
+    artefacts = tables.artefacts(spark, args.artefacts) if args.artefacts else None
+    loci = tables.loci(spark, args.loci)
+    calls = reads.calls_of_reads(rows, loci, artefacts, args.pad, _distance(spark, args, rows), args.min_mapq, args.min_reads)
+    if not whole:
+        calls.write.option("header", True).csv(args.out, sep="\t")
+        return 0
+    by_caller = any(getattr(args, n) for n in callers.CALLERS)
+    calls = pipeline.together(calls, _calls(spark, args)) if by_caller else calls
+    calls = written(calls, "raw-calls")
+    done = pipeline.final(calls, loci, tables.partners(spark, args.partners), artefacts, eps=args.eps, algorithm=args.algorithm)
+    vcf_out.write_tsv(done, args.out)
+    counts = tables.fusion_calls(spark, args.out).groupBy("tier").agg(F.count("*").alias("n"), F.count_if("known_partner").alias("known")).collect()
+    from_callers = {r["caller"]: r["n"] for r in calls.groupBy("caller").agg(F.count("*").alias("n")).collect()}
+    print(json.dumps({"n_breakpoint_calls": from_callers, "n_candidates": sum(r["n"] for r in counts), "tier": {r["tier"]: r["n"] for r in counts}, "known_partner_count": sum(r["known"] for r in counts)}))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
-    """0 if it went well, 1 on empty input, 2 on missing files or wrong arguments."""
+    """0 if it went well, 1 on empty input, 2 on missing files or wrong arguments. Steps that were written between are
+    removed at the end."""
     args = parser().parse_args(argv)
     given = [p for n in (*callers.CALLERS, "calls", "reads") for p in getattr(args, n, None) or []]
     given += [p for n in ("loci", "partners", "artefacts", "truth", "junctions") if (p := getattr(args, n, None))]
@@ -73,6 +114,11 @@ def main(argv: list[str] | None = None) -> int:
         print(f"missing: {', '.join(missing)}", file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("junctura").getOrCreate()
+    with scope(spark):
+        return _run(spark, args)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.verb in ("parse", "merge", "run"):
         if not any(getattr(args, n) for n in callers.CALLERS):
             return 1
@@ -80,14 +126,13 @@ def main(argv: list[str] | None = None) -> int:
         if args.verb == "parse":
             calls.write.option("header", True).csv(args.out, sep="\t")
             return 0
-        done = pipeline.called(calls, args.eps) if args.verb == "merge" else pipeline.final(calls, *_dimensions(spark, args), eps=args.eps)
+        done = (
+            pipeline.called(calls, args.eps, algorithm=args.algorithm) if args.verb == "merge" else pipeline.final(calls, *_dimensions(spark, args), eps=args.eps, algorithm=args.algorithm)
+        )
         vcf_out.write_tsv(done, args.out)
         return 0
     if args.verb == "call":
-        windows = tables.loci(spark, args.loci)
-        calls = reads.as_calls(reads.scanned(spark.read.parquet(*args.reads), windows, pad=args.pad))
-        calls.write.option("header", True).csv(args.out, sep="\t")
-        return 0
+        return _call(spark, args)
     calls = tables.fusion_calls(spark, args.calls).withColumn("cluster_id", F.monotonically_increasing_id())
     if calls.isEmpty():
         return 1

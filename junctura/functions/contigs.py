@@ -18,16 +18,20 @@ def is_decoy(chrom: Column) -> Column:
 
 
 def chrom_key(chrom: Column) -> Column:
-    """Numbered contigs first, two digits wide; the others by name."""
+    """A text that sorts contigs: numbers first, two digits wide, then the others by name."""
     bare = strip_chr(chrom)
-    number = bare.rlike("^[0-9]+$")
-    text = F.when(number, F.when(F.length(bare) < 2, F.concat(F.lit("0"), bare)).otherwise(bare)).otherwise(bare)
-    return F.struct(F.when(number, 0).otherwise(1).alias("kind"), text.alias("name"))
+    number = (bare != "") & (F.translate(bare, "0123456789", "") == "")
+    return F.when(number, F.when(F.length(bare) < 2, F.concat(F.lit("0"), bare)).otherwise(bare)).otherwise(F.concat(F.lit(":"), bare))  # a colon follows the digits
+
+
+def _swapped(chrom1: Column, pos1: Column, chrom2: Column, pos2: Column) -> Column:
+    """Ends on contigs of one name are told apart by position alone, without a key."""
+    return F.when(chrom1 == chrom2, pos1 > pos2).otherwise(F.struct(chrom_key(chrom1), pos1) > F.struct(chrom_key(chrom2), pos2))
 
 
 def ordered(chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2: Column, strand2: Column) -> dict[str, Column]:
     """chrom_a, pos_a, strand_a, chrom_b, pos_b, strand_b: the lesser end first, whole ends swapped."""
-    swap = F.struct(chrom_key(chrom1), pos1) > F.struct(chrom_key(chrom2), pos2)
+    swap = _swapped(chrom1, pos1, chrom2, pos2)
     pick = lambda x, y: F.when(swap, y).otherwise(x)
     return {
         "chrom_a": pick(chrom1, chrom2), "pos_a": pick(pos1, pos2), "strand_a": pick(strand1, strand2),
@@ -36,14 +40,21 @@ def ordered(chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2:
 
 
 def with_ends(df: DataFrame, chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2: Column, strand2: Column) -> DataFrame:
-    """``df`` with the six columns of ``ordered``. The ends are compared once a row: one column holds both in
-    their order, and the six are its fields."""
-    end = lambda c, p, s: F.struct(c.alias("chrom"), p.alias("pos"), s.alias("strand"))
-    one, two = end(chrom1, pos1, strand1), end(chrom2, pos2, strand2)
-    swap = F.struct(chrom_key(chrom1), pos1) > F.struct(chrom_key(chrom2), pos2)
-    both = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
-    df = df.withColumn("ordered_ends", F.when(swap, both(two, one)).otherwise(both(one, two)))
-    return df.withColumns({f"{c}_{s}": F.col(f"ordered_ends.{s}.{c}") for s in "ab" for c in ("chrom", "pos", "strand")}).drop("ordered_ends")
+    """``df`` with the six columns of ``ordered``. The ends are compared once a row: whether they are swapped is a
+    column of its own, which the six read (a struct of both ends would be taken apart again by the optimizer)."""
+    df = df.withColumn("ends_swapped", _swapped(chrom1, pos1, chrom2, pos2))
+    pick = lambda x, y: F.when(F.col("ends_swapped"), y).otherwise(x)
+    return df.withColumns(
+        {"chrom_a": pick(chrom1, chrom2), "pos_a": pick(pos1, pos2), "strand_a": pick(strand1, strand2), "chrom_b": pick(chrom2, chrom1), "pos_b": pick(pos2, pos1), "strand_b": pick(strand2, strand1)}
+    ).drop("ends_swapped")
+
+
+def as_named(df: DataFrame, chrom: str, contigs: DataFrame) -> DataFrame:
+    """``df`` with ``chrom`` as the one column of ``contigs`` names it, with or without chr; rows of contigs that aren't
+    there are left out, and one that is there by both names comes twice. Names are made distinct where they lie."""
+    names = contigs.toDF("contig_name").distinct().withColumn("contig_bare", strip_chr(F.col("contig_name")))
+    out = df.join(names, strip_chr(F.col(chrom)) == F.col("contig_bare"))
+    return out.select(*[F.col("contig_name").alias(c) if c == chrom else F.col(c) for c in df.columns])
 
 
 def sort_rank(chrom: Column) -> Column:

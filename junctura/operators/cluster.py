@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.steps import discard, written
+from . import tiles
 from .components import connected
 
 EPS = 250
@@ -22,110 +24,108 @@ def _keys(strands: bool) -> list[str]:
 def band_edges(calls: DataFrame, eps: int = EPS, strands: bool = True) -> DataFrame:
     """a, b (call_seq, a < b): pairs of one key whose ends are both within ``eps``. Each call lies in one
     bin of pos_a and looks into that and the next, so the join is on equal values and no key is compared
-    whole."""
+    whole. Calls of one bin meet once, by their order, so a pair comes once without another shuffle."""
     keys = _keys(strands)
     side = calls.select(*keys, "call_seq", "pos_a", "pos_b").withColumn("bin", F.floor(F.col("pos_a") / (eps + 1)))
-    left = side.select(*keys, F.col("call_seq").alias("s"), F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"), F.explode(F.array(F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    next_bin = F.explode(F.array(F.struct(F.col("bin").alias("bin"), F.lit(False).alias("next")), F.struct((F.col("bin") + 1).alias("bin"), F.lit(True).alias("next"))))
+    left = side.select(*keys, F.col("call_seq").alias("s"), F.col("pos_a").alias("pa"), F.col("pos_b").alias("pb"), next_bin.alias("of")).select(*keys, "s", "pa", "pb", "of.*")
     near = (F.abs(F.col("pa") - F.col("pos_a")) <= eps) & (F.abs(F.col("pb") - F.col("pos_b")) <= eps)
-    pairs = left.join(side, [*keys, "bin"]).filter(near & (F.col("s") != F.col("call_seq")))
-    return pairs.select(F.least("s", "call_seq").alias("a"), F.greatest("s", "call_seq").alias("b")).distinct()
+    pairs = left.join(side, [*keys, "bin"]).filter(near & (F.col("next") | (F.col("s") < F.col("call_seq"))))
+    return pairs.select(F.least("s", "call_seq").alias("a"), F.greatest("s", "call_seq").alias("b"))
 
 
 def _label(key: np.ndarray, a: np.ndarray, b: np.ndarray, seq: np.ndarray, eps: int) -> np.ndarray:
-    """The least seq of each row's component; rows sorted by key and a."""
-    n = len(key)
-    label, edges = np.arange(n), []
-    for d in range(1, n):
-        near = (key[d:] == key[:-d]) & (a[d:] - a[:-d] <= eps)
-        if not near.any():
-            break
-        i = np.flatnonzero(near & (np.abs(b[d:] - b[:-d]) <= eps))
-        edges.append((i, i + d))
-    x, y = (np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, int) for k in (0, 1))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, seq)
-    return least[label]
-
-
-def clustered(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1) -> DataFrame:
+    """The least seq of each row's component."""
+    return tiles.least_of_components(len(key), *tiles.near_links(key, a, b, eps), seq)
+
+
+def _in_tiles(batches: Iterator[pa.RecordBatch], eps: int) -> Iterator[pa.RecordBatch]:
+    for table, tile in tiles.whole_tiles(batches):
+        found = _label(tile, *(table[c].to_numpy() for c in ("pos_a", "pos_b", "seq")), eps)
+        yield from table.drop_columns(["tile_a", "tile_b"]).append_column("label", pa.array(found, pa.int64())).to_batches()
+
+
+def clustered(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1, points_a_tile: int | None = None) -> DataFrame:
     """``calls`` with cluster_id, the least call_seq of its component.
 
-    One shuffle by key; rows then come by pos_a, and a gap of more than ``eps`` ends an island, so what a
-    task holds is an island, however many calls a key has.
+    Only places go through Python. Each tile is labelled on its own, with the rim it shares with its neighbours
+    (see ``tiles``), so what a task holds is bounded by the tile, however long an island or many a key's calls are. A
+    point of a rim has a label in each tile; star steps join those labels, and only those. A call without a
+    position is a cluster of its own.
     """
-    keys = _keys(strands)
-    key = F.concat_ws("\t", *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])
-    rows = calls.withColumn("cluster_key", key).repartition("cluster_key").sortWithinPartitions("cluster_key", "pos_a", "pos_b", "call_seq")
-
-    def finish(table: pa.Table) -> pa.RecordBatch:
-        table = table.combine_chunks()
-        key = table["cluster_key"].combine_chunks().dictionary_encode()
-        key = key.indices.to_numpy() if isinstance(key, pa.DictionaryArray) else key.chunk(0).indices.to_numpy()
-        found = _label(key, *(table[c].to_numpy() for c in ("pos_a", "pos_b", "call_seq")), eps)
-        table = table.drop_columns(["cluster_key"]).append_column("cluster_id", pa.array(found, pa.int64()))
-        return table.to_batches()[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if kept is None else pa.concat_tables([kept, table])
-            key, a = table["cluster_key"].to_pandas().to_numpy(), table["pos_a"].to_numpy()
-            ends = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] - a[:-1] > eps))
-            cut = int(ends[-1]) + 1 if len(ends) else 0
-            if cut:
-                yield finish(table.slice(0, cut))
-            kept = table.slice(cut)
-        if kept is not None and kept.num_rows:
-            yield finish(kept)
-
-    out = rows.mapInArrow(run, calls.withColumn("cluster_id", F.lit(0).cast("long")).schema)
+    keyed = tiles.keyed(calls, _keys(strands))
+    places = written(tiles.points(keyed), "places")
+    w = tiles.width(places, eps, points_a_tile)
+    rows = tiles.tiled(places, eps, w)
+    schema = rows.drop("tile_a", "tile_b").withColumn("label", F.lit(0).cast("long")).schema
+    labels = written(rows.mapInArrow(lambda batches: _in_tiles(batches, eps), schema), "labels")
+    ties = labels.filter("rim and seq <> label").select(F.col("seq").alias("a"), F.col("label").alias("b"))
+    roots = connected(ties, lambda d: written(d, "ties"), discard).withColumnRenamed("node", "label")
+    found = labels.filter("home").join(roots, "label", "left").select(tiles.KEY, "pos_a", "pos_b", F.coalesce("root", "label").alias("cluster_id"))
+    out = keyed.join(found, [tiles.KEY, "pos_a", "pos_b"], "left").select(*calls.columns, F.coalesce("cluster_id", "call_seq").alias("cluster_id"))
     if min_samples > 1:
         large = out.groupBy("cluster_id").agg(F.count("*").alias("members")).filter(F.col("members") >= min_samples)
         out = out.join(large.select("cluster_id"), "cluster_id", "left_semi")
     return out
 
 
-def clustered_by_stars(calls: DataFrame, write: Callable[[DataFrame], DataFrame], eps: int = EPS, strands: bool = True) -> DataFrame:
-    """The same by star steps over the band join's edges, for keys that hold a large share of all calls."""
-    roots = connected(band_edges(calls, eps, strands), write).select(F.col("node").alias("call_seq"), F.col("root"))
-    return calls.join(roots, "call_seq", "left").withColumn("cluster_id", F.coalesce("root", "call_seq")).drop("root")
+#: What is known of a place in the greedy mode.
+OPEN, SEED, TAKEN = 0, 1, 2
+
+
+def _greedy(tile: np.ndarray, rows: list[list[int]], window: int, owners: bool) -> list[tuple[int, int]]:
+    """state and owner of each row (a, b, seq, state, home; by tile and seq). A seed is at least a window from the
+    seeds before it, so a cell of that width holds one seed at most."""
+    side, out, now = max(window, 1), [], -1
+    seeds: dict[tuple[int, int], tuple[int, int, int]] = {}
+    waiting: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for k, (a, b, seq, state, home) in zip(tile.tolist(), rows, strict=True):
+        if k != now:
+            seeds, waiting, now = {}, {}, k
+        x, y, owner = a // side, b // side, None
+        if state == SEED:
+            seeds[x, y] = a, b, seq
+        elif state == OPEN and home or owners and home:
+            cells = [(x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+            near = [s for c in cells if (s := seeds.get(c)) and abs(s[0] - a) <= window and abs(s[1] - b) <= window]
+            if near:
+                state, owner = TAKEN, min(s[2] for s in near)
+            elif not any(abs(p - a) <= window and abs(q - b) <= window for c in cells for p, q in waiting.get(c, ())):
+                state, seeds[x, y] = SEED, (a, b, seq)
+        if state == OPEN:
+            waiting.setdefault((x, y), []).append((a, b))
+        out.append((state, seq if owner is None else owner))
+    return out
 
 
-def grid_clustered(calls: DataFrame, window: int = EPS) -> DataFrame:
+def grid_clustered(calls: DataFrame, window: int = EPS, points_a_tile: int | None = None) -> DataFrame:
     """Greedy grid clusters: in input order, a call that isn't taken takes all free calls of its key within
-    ``window`` in both ends. Cells of the grid bound what a seed looks at. Not transitive, so a key's
-    calls are handled in order, in one task."""
-    keys = list(KEYS)
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("call_seq")
-        a, b, seq = (table[c].to_numpy() for c in ("pos_a", "pos_b", "call_seq"))
-        cells: dict[tuple[int, int], list[int]] = {}
-        for i, cell in enumerate(zip((a // window).tolist(), (b // window).tolist(), strict=True)):
-            cells.setdefault(cell, []).append(i)
-        owner = np.full(len(a), -1, np.int64)
-        for i in range(len(a)):
-            if owner[i] >= 0:
-                continue
-            x, y = int(a[i] // window), int(b[i] // window)
-            for near in (k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in cells.get((x + dx, y + dy), ())):
-                if owner[near] < 0 and abs(a[near] - a[i]) <= window and abs(b[near] - b[i]) <= window:
-                    owner[near] = seq[i]
-        return table.append_column("cluster_id", pa.array(owner, pa.int64()))
-
-    return calls.groupBy(*keys).applyInArrow(run, calls.withColumn("cluster_id", F.lit(0).cast("long")).schema)
+    ``window`` in both ends, so a call belongs to the first seed near it, and a seed has no earlier seed near.
+
+    The order is kept by rounds over tiles: a task settles, in order, each place whose earlier near places are
+    settled, with the rim around its tile as the round before left it; what waits for a neighbouring tile waits
+    for the next round. The first place that is open is settled in every round, and most are in the first. Calls of
+    one place go where its first call goes.
+    """
+    keyed = tiles.keyed(calls, list(KEYS))
+    state = written(tiles.points(keyed).withColumns({"state": F.lit(OPEN), "owner": F.col("seq")}), "places")
+    w, schema = tiles.width(state, window, points_a_tile), state.schema
+
+    def step(owners: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table, tile in tiles.whole_tiles(batches):
+                rows = list(zip(*(table[c].to_pylist() for c in ("pos_a", "pos_b", "seq", "state", "home")), strict=True))
+                found, owner = zip(*_greedy(tile, rows, window, owners), strict=True)
+                table = table.set_column(table.column_names.index("state"), "state", pa.array(found, pa.int32())).set_column(table.column_names.index("owner"), "owner", pa.array(owner, pa.int64()))
+                yield from table.filter(table["home"]).select(schema.names).to_batches()
+
+        return run
+
+    while not state.filter(F.col("state") == OPEN).isEmpty():
+        before, state = state, written(tiles.tiled(state, window, w, around=True).mapInArrow(step(False), schema), "settled")
+        discard(before)
+    found = tiles.tiled(state, window, w, around=True).mapInArrow(step(True), schema).select(tiles.KEY, "pos_a", "pos_b", F.col("owner").alias("cluster_id"))
+    return keyed.join(found, [tiles.KEY, "pos_a", "pos_b"], "left").select(*calls.columns, F.coalesce("cluster_id", "call_seq").alias("cluster_id"))
 
 
 def clusters(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.contigs import with_ends
+from ..functions import contigs
+from ..sources.steps import numbered, written
 
 #: Bits of a read's flag.
 PAIRED, UNMAPPED, MATE_UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, DUPLICATE, SUPPLEMENTARY = 1, 4, 8, 16, 32, 256, 1024, 2048
@@ -90,14 +91,22 @@ def supplementary(sa: Column) -> Column:
 
 def in_windows(reads: DataFrame, windows: DataFrame, pad: int = 0, rows: int = ROWS_A_LOCUS) -> DataFrame:
     """Reads that overlap each padded window, in order of read_id, ``rows`` of a window at most (counted
-    before any filter); a read in two windows comes twice."""
-    near = windows.select("gene", F.col("chrom").alias("contig"), (F.col("start") - pad).alias("w_start"), (F.col("stop") + pad).alias("w_stop"))
+    before any filter); a read in two windows comes twice.
+
+    Contigs may be named with or without chr on either side: windows take the names that the reads' distinct contigs
+    have. Reads are counted by window first (from four columns); only windows beyond the cap are cut, and those by
+    ranges of read_id with running sums, so no window is one task."""
+    near = contigs.as_named(windows.select("gene", "chrom", (F.col("start") - pad).alias("w_start"), (F.col("stop") + pad).alias("w_stop")), "chrom", reads.select("contig"))
+    near = near.withColumnRenamed("chrom", "contig")
     bins = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BIN), F.floor(F.col(b) / BIN))).alias("bin")
     # A read and a window that overlap meet in the bin where the later of them begins, and count there only.
     hits = reads.select("*", bins("ref_start", "ref_end")).join(near.select("*", bins("w_start", "w_stop")), ["contig", "bin"])
     hits = hits.filter((F.col("ref_start") < F.col("w_stop")) & (F.col("ref_end") > F.col("w_start")) & (F.col("bin") == F.floor(F.greatest("ref_start", "w_start") / BIN))).drop("bin")
-    order = W.partitionBy("gene").orderBy("read_id")
-    return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows).drop("place")
+    full = written(hits.groupBy("gene").agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("gene"), "full-windows")
+    if full.isEmpty():
+        return hits
+    first = numbered(hits.join(full, "gene", "left_semi"), ["gene"], ["read_id"], "place").filter(F.col("place") < rows).drop("place")
+    return hits.join(full, "gene", "left_anti").unionByName(first)
 
 
 def split_supports(reads: DataFrame) -> DataFrame:
@@ -166,49 +175,102 @@ def scanned(reads: DataFrame, windows: DataFrame, min_mapq: int = 20, min_split:
 def artefact_clusters(reads: DataFrame, windows: DataFrame, min_mapq: int = 20, least: int = 5, pad: int = 200, rows: int = 200_000) -> DataFrame:
     """Split clusters of artefact windows: noisy aligned parts and alignments within 1 kb of the window go."""
     near = usable(in_windows(reads, windows, pad, rows), min_mapq).filter(~is_noise(aligned_sequence(F.col("cigar"), F.col("seq"))))
-    s = split_supports(near).join(windows.select("gene", F.col("chrom").alias("w_chrom"), "start", "stop"), "gene")
-    s = s.filter((F.col("chrom_b") != F.col("w_chrom")) | (F.col("pos_b") < F.col("start") - 1000) | (F.col("pos_b") > F.col("stop") + 1000))
+    s = split_supports(near).join(windows.select("gene", contigs.strip_chr(F.col("chrom")).alias("w_chrom"), "start", "stop"), "gene")
+    s = s.filter((contigs.strip_chr(F.col("chrom_b")) != F.col("w_chrom")) | (F.col("pos_b") < F.col("start") - 1000) | (F.col("pos_b") > F.col("stop") + 1000))
     keys = ["sample", "gene", "chrom_a", "chrom_b", "cell", "strand_a", "strand_b"]
     in_order = F.sort_array(F.collect_list(F.struct("read_id", "pos_a")))
-    by = s.groupBy(*keys).agg(F.count("*").alias("n"), F.element_at(in_order, (F.floor(F.count("*") / 2) + 1).cast("int"))["pos_a"].alias("pos_a"), F.min_by("pos_b", "read_id").alias("pos_b"))
+    by = s.groupBy(*keys).agg(F.count("*").alias("n"), F.floor(F.avg("mapq")).cast("long").alias("mapq"), F.element_at(in_order, (F.floor(F.count("*") / 2) + 1).cast("int"))["pos_a"].alias("pos_a"), F.min_by("pos_b", "read_id").alias("pos_b"))
     return by.filter(F.col("n") >= least)
 
 
+#: The stretch that a library is sampled from, on the contigs of these names if they are longer.
+STRETCH, STRETCH_CONTIGS = (30_000_000, 60_000_000), ("chr1", "1")
+
+
+def library_sample(reads: DataFrame, sample_size: int = 100_000, min_mapq: int = 20) -> DataFrame:
+    """Reads of one contig in the order of their places, up to the one that gives the last of ``sample_size`` insert
+    sizes, and of 4 times as many reads and one at most. The contig is the first by ``STRETCH_CONTIGS``, else by name;
+    a long one of those is read in ``STRETCH`` only. Adds insert (null where a read gives none) and is written.
+
+    The order is over as many reads as that bound allows, however large the table is."""
+    named = F.when(F.col("contig") == STRETCH_CONTIGS[0], 0).when(F.col("contig") == STRETCH_CONTIGS[1], 1).otherwise(2)
+    first = reads.groupBy("contig").agg(F.max("ref_end").alias("stop")).orderBy(named, contigs.chrom_key(F.col("contig"))).first()
+    rows = reads if first is None else reads.filter(F.col("contig").eqNullSafe(F.lit(first["contig"])))
+    if first is not None and first["contig"] in STRETCH_CONTIGS and (first["stop"] or 0) > STRETCH[1]:
+        rows = rows.filter((F.col("ref_end") > STRETCH[0]) & (F.col("ref_start") < STRETCH[1]))
+    f, tlen = F.col("flag"), F.abs("tlen")
+    plain = ~bit(f, UNMAPPED) & ~bit(f, SECONDARY) & ~bit(f, DUPLICATE) & ~bit(f, SUPPLEMENTARY)
+    insert = F.when(plain & (F.col("mapq") >= min_mapq) & (tlen > 0) & (tlen < 100_000), tlen)
+    rows = rows.orderBy("ref_start", "read_id").limit(4 * sample_size + 1).withColumns({"plain": plain, "insert": insert})
+    order = W.orderBy("ref_start", "read_id")  # of 4 * sample_size + 1 rows at most
+    rows = rows.withColumns({"place": F.row_number().over(order), "inserts_before": F.count("insert").over(order.rowsBetween(W.unboundedPreceding, -1))})
+    return written(rows.filter(F.col("inserts_before") < sample_size), "library-sample")
+
+
 def library_stats(reads: DataFrame, sample_size: int = 100_000) -> DataFrame:
     """One row: insert sizes (median, MAD, p95, p99), soft clips, mapping quality, shares of kinds of read."""
-    rows = reads.orderBy("read_id").limit(4 * sample_size)
-    f, tlen = F.col("flag"), F.abs("tlen")
-    good = ~bit(f, UNMAPPED) & ~bit(f, SECONDARY) & ~bit(f, DUPLICATE) & ~bit(f, SUPPLEMENTARY) & (tlen > 0) & (tlen < 100_000) & (F.col("mapq") >= 20)
+    rows = library_sample(reads, sample_size)
+    looked_at = F.col("place") <= 4 * sample_size
+    f, used = F.col("flag"), looked_at & F.col("plain")
     p = lambda c, q: F.percentile(c, F.lit(q))
-    insert = F.when(good, tlen)
+    insert, clip, mapq = F.when(looked_at, F.col("insert")), F.when(used, soft_clip_total(F.col("cigar"))), F.when(used, F.col("mapq"))
+    share = lambda c: F.count_if(c) / F.greatest(F.count("*"), F.lit(1))
+    kept = ~bit(f, SUPPLEMENTARY) & ~bit(f, SECONDARY) & ~bit(f, UNMAPPED)
     out = rows.agg(
         F.count("*").alias("n_reads"), F.count(insert).alias("n_inserts"), p(insert, 0.5).alias("insert_median"), p(insert, 0.95).alias("insert_p95"), p(insert, 0.99).alias("insert_p99"),
-        p(soft_clip_total(F.col("cigar")), 0.5).alias("clip_median"), p(soft_clip_total(F.col("cigar")), 0.95).alias("clip_p95"), p("mapq", 0.5).alias("mapq_median"),
-        p("mapq", 0.1).alias("mapq_p10"), F.avg(bit(f, SUPPLEMENTARY).cast("double")).alias("supplementary_share"), F.avg(bit(f, DUPLICATE).cast("double")).alias("duplicate_share"),
+        p(clip, 0.5).alias("clip_median"), p(clip, 0.95).alias("clip_p95"), p(mapq, 0.5).alias("mapq_median"), p(mapq, 0.1).alias("mapq_p10"),
+        share(looked_at & bit(f, SUPPLEMENTARY)).alias("supplementary_share"), share(looked_at & kept & bit(f, DUPLICATE)).alias("duplicate_share"),
     )
-    apart = rows.filter(good).join(out.select("insert_median")).agg(p(F.abs(tlen - F.col("insert_median")), 0.5).alias("insert_mad"))  # one row
+    apart = rows.filter(looked_at).join(F.broadcast(out.select("insert_median"))).agg(p(F.abs(F.col("insert") - F.col("insert_median")), 0.5).alias("insert_mad"))  # one row
     out = out.join(apart)
     return out.withColumn("discordant_distance", F.when(F.col("insert_median") > 0, F.floor(F.col("insert_median") + 5 * F.col("insert_mad"))).otherwise(10_000).cast("long"))
 
 
-def as_calls(found: DataFrame) -> DataFrame:
-    """Clusters of reads (``scanned``) as breakpoint calls, which merge with the callers' calls: one call for
-    the split and the discordant cluster of one window, cell and strands."""
+#: call_seq of calls from reads begins here, above those of any file.
+READS_SEQ = 1 << 62
+ARTEFACT_LEAST = 5
+
+
+def _ended(rows: DataFrame) -> DataFrame:
+    """Ends named 1 and 2, without chr, in their canonical order."""
+    rows = rows.withColumnsRenamed({f"{c}_{s}": f"{c}{k}" for k, s in ((1, "a"), (2, "b")) for c in ("chrom", "pos", "strand")})
+    rows = rows.withColumns({f"chrom{k}": contigs.strip_chr(F.col(f"chrom{k}")) for k in (1, 2)})
+    return contigs.with_ends(rows, *[F.col(f"{c}{k}") for k in (1, 2) for c in ("chrom", "pos", "strand")])
+
+
+def as_calls(found: DataFrame, of_artefacts: DataFrame | None = None) -> DataFrame:
+    """Clusters of reads (``scanned``, and ``artefact_clusters``) as breakpoint calls, which merge with the callers'
+    calls: one call for the split and the discordant cluster of one window, cell and strands, and one for each
+    artefact cluster. call_seq numbers them in the order of their keys, beyond those of files, so it is the same
+    however often it is worked out."""
     keys = ["sample", "gene", "chrom_a", "chrom_b", "cell_b", "strand_a", "strand_b"]
     rows = found.withColumn("cell_b", F.floor(F.col("pos_b") / WINDOW))
     first = F.col("kind") == "split"  # the split cluster names the places, where there is one
     at = lambda c: F.coalesce(F.min(F.when(first, F.col(c))), F.min(c)).alias(c)
     rows = rows.groupBy(*keys).agg(
         at("pos_a"), at("pos_b"), *[F.max(c).alias(c) for c in ("split_reads", "discordant_pairs", "soft_clips", "mapq")], F.bool_or("precise").alias("precise")
-    )
-    ends = with_ends(
-        rows.withColumnsRenamed({f"{c}_{s}": f"{c}{k}" for k, s in ((1, "a"), (2, "b")) for c in ("chrom", "pos", "strand")}), *[F.col(f"{c}{k}") for k in (1, 2) for c in ("chrom", "pos", "strand")]
-    )
-    order = W.partitionBy("sample", "gene").orderBy("chrom1", "chrom2", "cell_b", "strand1", "strand2")
-    name = F.concat_ws("_", F.lit("reads"), "gene", F.row_number().over(order).cast("string"))
+    ).withColumn("caller", F.lit("reads")).withColumn("raw_qual", F.lit(0.0))
+    if of_artefacts is not None:
+        zero = F.lit(0).cast("long")
+        rows = rows.unionByName(of_artefacts.select(
+            "sample", "gene", "chrom_a", "chrom_b", F.col("cell").alias("cell_b"), "strand_a", "strand_b", "pos_a", "pos_b", F.col("n").alias("split_reads"), zero.alias("discordant_pairs"),
+            F.col("n").alias("soft_clips"), "mapq", F.lit(True).alias("precise"), F.lit("reads_artefact").alias("caller"), F.col("n").cast("double").alias("raw_qual"),
+        ))
+    rows = numbered(rows, [], ["caller", *keys], "place")
     zero = F.lit(0).cast("long")
-    return ends.select(
-        "sample", F.lit("reads").alias("caller"), F.lit("BND").alias("sv_type"), *[f"{c}_{s}" for s in "ab" for c in ("chrom", "pos", "strand")], "split_reads", "discordant_pairs",
-        zero.alias("assembly_contigs"), "soft_clips", "mapq", F.lit(0.0).alias("vaf"), F.lit(0.0).alias("raw_qual"), F.lit(True).alias("filter_pass"), "precise", name.alias("record_id"),
-        F.monotonically_increasing_id().alias("call_seq"),
+    return _ended(rows).select(
+        "sample", "caller", F.lit("BND").alias("sv_type"), *[f"{c}_{s}" for s in "ab" for c in ("chrom", "pos", "strand")], "split_reads", "discordant_pairs",
+        zero.alias("assembly_contigs"), "soft_clips", "mapq", F.lit(0.0).alias("vaf"), "raw_qual", F.lit(True).alias("filter_pass"), "precise",
+        F.concat_ws("_", "caller", "gene", F.col("place").cast("string")).alias("record_id"), (F.lit(READS_SEQ) + F.col("place")).alias("call_seq"),
     )
+
+
+def artefact_windows(artefacts: DataFrame) -> DataFrame:
+    """Artefact stretches as windows: gene names them."""
+    return artefacts.select(F.concat_ws("_", F.lit("artefact"), "chrom", F.col("start").cast("string"), F.col("stop").cast("string")).alias("gene"), "chrom", "start", "stop").distinct()
+
+
+def calls_of_reads(reads: DataFrame, windows: DataFrame, artefacts: DataFrame | None = None, pad: int = 0, distance: int = 10_000, min_mapq: int = 20, least: float = 3.0) -> DataFrame:
+    """All calls that the reads give: of the windows, and of the artefact stretches."""
+    odd = None if artefacts is None else artefact_clusters(reads, artefact_windows(artefacts), min_mapq, max(ARTEFACT_LEAST, int(least)))
+    return as_calls(scanned(reads, windows, min_mapq, least, least, distance, pad), odd)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.steps import numbered
 from .cluster import appended
 
 LOW_QUALITY = 0.0
@@ -28,9 +28,8 @@ def tiered(clusters: DataFrame) -> DataFrame:
 
 def with_ids(calls: DataFrame) -> DataFrame:
     """Adds fusion_id: the sample, both ends, and the cluster's place in its sample, by first member."""
-    place = F.row_number().over(W.partitionBy("sample").orderBy("first_seq")) - 1
-    name = F.format_string("%s__%s_%d_%s__%s_%d_%s__%05d", "sample", "chrom_a", "pos_a", "strand_a", "chrom_b", "pos_b", "strand_b", place)
-    return calls.withColumn("fusion_id", name)
+    name = F.format_string("%s__%s_%d_%s__%s_%d_%s__%05d", "sample", "chrom_a", "pos_a", "strand_a", "chrom_b", "pos_b", "strand_b", F.col("place"))
+    return numbered(calls, ["sample"], ["first_seq"], "place").withColumn("fusion_id", name).drop("place")
 
 
 def llr(calls: DataFrame) -> DataFrame:

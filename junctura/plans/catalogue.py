@@ -86,7 +86,8 @@ def breakpoint_order(spark, sf):
 
 @query
 def neighbour_pairs(spark, sf):
-    return cluster.band_edges(calls(spark, sf))
+    ends = calls(spark, sf).select(*cluster.KEYS, "call_seq", "pos_a", "pos_b")
+    return cluster.band_edges(written(ends, "ends"))  # both sides read them
 
 
 @query
@@ -360,9 +361,15 @@ def ring_angles(spark, sf):
     return out.select("chrom", F.round("start_angle", 6).alias("start_angle"), F.round("stop_angle", 6).alias("stop_angle"))
 
 
+def aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """The reads as a table, which they are outside these queries: a filter would else work out the view's columns again
+    for each of its parts."""
+    return written(adapters.view(spark, sf, "reads"), "reads")
+
+
 @query
 def read_filter_weight(spark, sf):
-    out = reads.usable(reads.in_windows(adapters.view(spark, sf, "reads"), adapters.view(spark, sf, "windows")), 10)
+    out = reads.usable(reads.in_windows(aligned(spark, sf), adapters.view(spark, sf, "windows")), 10)
     return out.select("gene", "read_id", F.round(reads.mapq_weight(F.col("mapq")), 6).alias("weight"))
 
 
@@ -386,7 +393,7 @@ def sa_explode(spark, sf):
 
 
 def _near(spark: SparkSession, sf: str) -> DataFrame:
-    return reads.usable(reads.in_windows(adapters.view(spark, sf, "reads"), adapters.view(spark, sf, "windows")), 20)
+    return reads.usable(reads.in_windows(aligned(spark, sf), adapters.view(spark, sf, "windows")), 20)
 
 
 @query
@@ -401,17 +408,25 @@ def discordant_clusters(spark, sf):
 
 @query
 def read_scan(spark, sf):
-    return reads.scanned(adapters.view(spark, sf, "reads"), adapters.view(spark, sf, "windows"))
+    return reads.scanned(aligned(spark, sf), adapters.view(spark, sf, "windows"))
+
+
+@query
+def reads_to_calls(spark, sf):
+    """Calls of windows and of artefact stretches together, as they go into the merge."""
+    r, w = aligned(spark, sf), adapters.view(spark, sf, "windows")
+    out = reads.as_calls(reads.scanned(r, w), reads.artefact_clusters(r, w, least=2))
+    return out.select("call_seq", "record_id", "sample", "caller", "chrom_a", "pos_a", "strand_a", "chrom_b", "pos_b", "strand_b", "split_reads", "discordant_pairs", "soft_clips", "mapq", "precise")
 
 
 @query
 def artefact_sa_clusters(spark, sf):
-    return reads.artefact_clusters(adapters.view(spark, sf, "reads"), adapters.view(spark, sf, "windows"), least=2)
+    return reads.artefact_clusters(aligned(spark, sf), adapters.view(spark, sf, "windows"), least=2).drop("mapq")
 
 
 @query
 def library_stats(spark, sf):
-    out = reads.library_stats(adapters.view(spark, sf, "reads"))
+    out = reads.library_stats(aligned(spark, sf))
     return out.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 

@@ -295,6 +295,11 @@ _RATIO = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS pr
 _RING = ", ".join(f"('{c}', {k}, {n})" for k, (c, n) in enumerate(CONTIG_LENGTHS.items(), 1))
 _LINEAGE = """CASE WHEN upper(trim(cohort)) IN ('PMBL', 'DLBCL', 'FL') THEN 'B' WHEN upper(trim(cohort)) IN ('ATLL', 'PTCL', 'T-CELL NHL') THEN 'T' ELSE 'any' END AS lineage"""
 
+_ARTEFACTS = f"""WITH {CLIPS}, n0 AS (SELECT c2.*, gene, windows.start AS w_start, stop AS w_stop FROM c2 JOIN windows ON contig = chrom AND ref_start < stop + 200 AND ref_end > windows.start - 200),
+      n1 AS (SELECT * FROM n0 WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND mapq >= 20 AND NOT {_noisy("aligned")}),{_supports("n1")}
+      SELECT sample, gene, chrom_a, chrom_b, cell, strand_a, strand_b, {{more}} count(*) AS n, list(pos_a ORDER BY read_id)[count(*) // 2 + 1] AS pos_a, arg_min(pos_b, read_id) AS pos_b
+      FROM sup WHERE chrom_b <> chrom_a OR pos_b < w_start - 1000 OR pos_b > w_stop + 1000 GROUP BY 1, 2, 3, 4, 5, 6, 7 HAVING count(*) >= 2"""
+
 ORACLES: dict[str, str] = {
     "provisional_tier": f"WITH RECURSIVE {CALLED} SELECT cluster_id, fusion_id, tier, array_to_string(qc_flags, ',') AS qc_flags FROM called",
     "breakpoint_order": f"WITH {CALLS} SELECT call_seq, chrom_a, pos_a, strand_a, chrom_b, pos_b, strand_b FROM calls",
@@ -384,7 +389,7 @@ ORACLES: dict[str, str] = {
     "ring_angles": f"""SELECT chrom, round(s, 6) AS start_angle, round(s + length / total * usable, 6) AS stop_angle FROM (SELECT *, (sum(length) OVER (ORDER BY k) - length) / total * usable + (k - 1) * 0.6 AS s
       FROM (SELECT *, CAST(sum(length) OVER () AS DOUBLE) AS total, CAST(360 - count(*) OVER () * 0.6 AS DOUBLE) AS usable FROM (VALUES {_RING}) t(chrom, k, length)))""",
     "read_filter_weight": f"""WITH {NEAR} SELECT gene, read_id, round({_W}, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY read_id) AS place FROM n0)
-      WHERE place <= 500 AND flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND mapq >= 10""",
+      WHERE place <= 5000000 AND flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND mapq >= 10""",
     "clip_side": f"WITH {CLIPS} SELECT read_id, side, clip, aligned, hard, CAST(coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)S', 1), lambda x: CAST(x AS INT))), 0) AS BIGINT) AS soft_total FROM c2",
     "noise_clip": f"WITH {CLIPS} SELECT read_id, noise, {_noisy('seq')} AS whole_noise FROM c2",
     "sa_explode": f"""WITH {READS} SELECT read_id, p[1] AS chrom, CAST(p[2] AS BIGINT) AS pos, p[3] AS strand, p[4] AS cigar FROM (SELECT read_id,
@@ -394,17 +399,30 @@ ORACLES: dict[str, str] = {
     "read_scan": f"""WITH {SCAN}, u AS (SELECT *, 'split' AS kind FROM spl WHERE weight >= 3 UNION ALL SELECT *, 'pair' FROM dcl WHERE weight >= 3), r AS (SELECT *, CAST({_ROUND_EVEN} AS BIGINT) AS w FROM u)
       SELECT sample, gene, kind, chrom_a, pos_a, strand_a, chrom_b, pos_b, strand_b, CASE kind WHEN 'split' THEN w ELSE 0 END AS split_reads, CASE kind WHEN 'split' THEN 0 ELSE w END AS discordant_pairs,
         CASE kind WHEN 'split' THEN w ELSE 0 END AS soft_clips, mapq, kind = 'split' AS precise FROM r""",
-    "artefact_sa_clusters": f"""WITH {CLIPS}, n0 AS (SELECT c2.*, gene, windows.start AS w_start, stop AS w_stop FROM c2 JOIN windows ON contig = chrom AND ref_start < stop + 200 AND ref_end > windows.start - 200),
-      n1 AS (SELECT * FROM n0 WHERE flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND mapq >= 20 AND NOT {_noisy('aligned')}),{_supports('n1')}
-      SELECT sample, gene, chrom_a, chrom_b, cell, strand_a, strand_b, count(*) AS n, list(pos_a ORDER BY read_id)[count(*) // 2 + 1] AS pos_a, arg_min(pos_b, read_id) AS pos_b
-      FROM sup WHERE chrom_b <> chrom_a OR pos_b < w_start - 1000 OR pos_b > w_stop + 1000 GROUP BY 1, 2, 3, 4, 5, 6, 7 HAVING count(*) >= 2""",
-    "library_stats": f"""WITH {CLIPS}, s AS (SELECT *, coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)S', 1), lambda x: CAST(x AS INT))), 0) AS soft,
-        CASE WHEN flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND flag & 2048 = 0 AND abs(tlen) > 0 AND abs(tlen) < 100000 AND mapq >= 20 THEN abs(tlen) END AS ins
-        FROM (SELECT * FROM c2 ORDER BY read_id LIMIT 400000)), m AS (SELECT quantile_cont(ins, 0.5) AS med FROM s),
-      d AS (SELECT quantile_cont(abs(ins - med), 0.5) AS mad FROM s, m)
+    "artefact_sa_clusters": _ARTEFACTS.format(more=""),
+    "reads_to_calls": f"""WITH {SCAN}, u AS (SELECT *, true AS split FROM spl WHERE weight >= 3 UNION ALL SELECT *, false FROM dcl WHERE weight >= 3), r AS (SELECT *, CAST({_ROUND_EVEN} AS BIGINT) AS n FROM u),
+      odd AS ({_ARTEFACTS.format(more="CAST(floor(avg(mapq)) AS BIGINT) AS mapq,")}),
+      c AS (SELECT 'reads' AS caller, sample, gene, chrom_a AS chrom1, chrom_b AS chrom2, pos_b // 500 AS cell, strand_a AS strand1, strand_b AS strand2,
+        coalesce(min(pos_a) FILTER (split), min(pos_a)) AS pos1, coalesce(min(pos_b) FILTER (split), min(pos_b)) AS pos2,
+        coalesce(max(n) FILTER (split), 0) AS split_reads, coalesce(max(n) FILTER (NOT split), 0) AS discordant_pairs, max(mapq) AS mapq, bool_or(split) AS precise FROM r GROUP BY 1, 2, 3, 4, 5, 6, 7, 8
+        UNION ALL SELECT 'reads_artefact', sample, gene, chrom_a, chrom_b, cell, strand_a, strand_b, pos_a, pos_b, n, 0, mapq, true FROM odd),
+      k AS (SELECT *, row_number() OVER (ORDER BY caller, sample, gene, chrom1, chrom2, cell, strand1, strand2) - 1 AS place FROM c)
+      SELECT 4611686018427387904 + place AS call_seq, concat_ws('_', caller, gene, place) AS record_id, sample, caller, {_pick("chrom1", "chrom2")} AS chrom_a, {_pick("pos1", "pos2")} AS pos_a,
+        {_pick("strand1", "strand2")} AS strand_a, {_pick("chrom2", "chrom1")} AS chrom_b, {_pick("pos2", "pos1")} AS pos_b, {_pick("strand2", "strand1")} AS strand_b, split_reads, discordant_pairs,
+        split_reads AS soft_clips, mapq, precise FROM k""",
+    "library_stats": f"""WITH {CLIPS}, k AS (SELECT contig, max(ref_end) AS stop FROM c2 GROUP BY contig
+        ORDER BY CASE contig WHEN 'chr1' THEN 0 WHEN '1' THEN 1 ELSE 2 END, contig LIMIT 1),
+      o AS (SELECT c2.*, row_number() OVER w AS place, flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND flag & 2048 = 0 AS plain FROM c2 JOIN k USING (contig)
+        WHERE contig NOT IN ('chr1', '1') OR stop <= 60000000 OR (ref_end > 30000000 AND ref_start < 60000000) WINDOW w AS (ORDER BY ref_start, read_id) QUALIFY place <= 400001),
+      i AS (SELECT *, CASE WHEN plain AND abs(tlen) > 0 AND abs(tlen) < 100000 AND mapq >= 20 THEN abs(tlen) END AS length_of FROM o),
+      s AS (SELECT *, place <= 400000 AS seen, CASE WHEN place <= 400000 THEN length_of END AS ins,
+        CASE WHEN place <= 400000 AND plain THEN coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)S', 1), lambda x: CAST(x AS INT))), 0) END AS soft,
+        CASE WHEN place <= 400000 AND plain THEN mapq END AS q FROM i QUALIFY count(length_of) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 100000),
+      m AS (SELECT quantile_cont(ins, 0.5) AS med FROM s), d AS (SELECT quantile_cont(abs(ins - med), 0.5) AS mad FROM s, m)
       SELECT count(*) AS n_reads, count(ins) AS n_inserts, round(any_value(med), 6) AS insert_median, round(quantile_cont(ins, 0.95), 6) AS insert_p95, round(quantile_cont(ins, 0.99), 6) AS insert_p99,
-        round(quantile_cont(soft, 0.5), 6) AS clip_median, round(quantile_cont(soft, 0.95), 6) AS clip_p95, round(quantile_cont(mapq, 0.5), 6) AS mapq_median, round(quantile_cont(mapq, 0.1), 6) AS mapq_p10,
-        round(avg(CASE WHEN flag & 2048 <> 0 THEN 1.0 ELSE 0 END), 6) AS supplementary_share, round(avg(CASE WHEN flag & 1024 <> 0 THEN 1.0 ELSE 0 END), 6) AS duplicate_share,
+        round(quantile_cont(soft, 0.5), 6) AS clip_median, round(quantile_cont(soft, 0.95), 6) AS clip_p95, round(quantile_cont(q, 0.5), 6) AS mapq_median, round(quantile_cont(q, 0.1), 6) AS mapq_p10,
+        round(avg(CASE WHEN seen AND flag & 2048 <> 0 THEN 1.0 ELSE 0 END), 6) AS supplementary_share,
+        round(avg(CASE WHEN seen AND flag & 1024 <> 0 AND flag & 2048 = 0 AND flag & 256 = 0 AND flag & 4 = 0 THEN 1.0 ELSE 0 END), 6) AS duplicate_share,
         round(any_value(mad), 6) AS insert_mad, CAST(CASE WHEN any_value(med) > 0 THEN floor(any_value(med) + 5 * any_value(mad)) ELSE 10000 END AS BIGINT) AS discordant_distance FROM s, m, d""",
     "vcf_records": _vcf("SELECT chrom, pos, id, 'N' AS ref, alt, qual, filter, 'GT:SR:PE:AD:DP' AS format, sample_value FROM rec"),
     "vcf_info": _vcf("SELECT id, info FROM rec"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -12,12 +12,24 @@ from ..sources.steps import written
 EPS = cluster.EPS
 
 
-def called(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1, write: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Clusters with provisional tiers. ``write`` chooses star steps, for keys that hold many of all calls."""
-    rows = cluster.clustered_by_stars(calls, write, eps, strands) if write else cluster.clustered(calls, eps, strands, min_samples)
-    return tiers.with_ids(tiers.tiered(cluster.clusters(rows)))
+#: How calls are clustered: connected components, or greedily in input order.
+ALGORITHMS = {"dbscan": cluster.clustered, "bucket": lambda calls, eps, strands, min_samples: cluster.grid_clustered(calls, eps)}
 
 
-def final(calls: DataFrame, loci: DataFrame, partners: DataFrame, artefacts: DataFrame, eps: int = EPS) -> DataFrame:
+def called(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1, algorithm: str = "dbscan") -> DataFrame:
+    """Clusters with provisional tiers."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    return tiers.with_ids(tiers.tiered(cluster.clusters(ALGORITHMS[algorithm](calls, eps, strands, min_samples))))
+
+
+def together(*of_sources: DataFrame) -> DataFrame:
+    """Calls of several sources in one table, with the columns that clusters need. Sources number their calls in ranges
+    of their own (files from 0 on, reads from ``reads.READS_SEQ`` on)."""
+    names = [c for c in of_sources[0].columns if all(c in d.columns for d in of_sources)]
+    return reduce(DataFrame.unionByName, [d.select(*names) for d in of_sources])
+
+
+def final(calls: DataFrame, loci: DataFrame, partners: DataFrame, artefacts: DataFrame, eps: int = EPS, algorithm: str = "dbscan") -> DataFrame:
     """Annotated calls are written once, as the rewrite passes read them twice."""
-    return qc.checked(written(annotate.annotated(called(calls, eps), loci, partners), "annotated"), artefacts, qc.RECEPTOR_LOCI)
+    return qc.checked(written(annotate.annotated(called(calls, eps, algorithm=algorithm), loci, partners), "annotated"), artefacts, qc.RECEPTOR_LOCI)
