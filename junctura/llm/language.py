@@ -2,8 +2,8 @@
 
 Texts are lower-cased. The blended-spectrum presence kernel of two texts is the number of n-grams of one to
 ``ORDER`` code points that both contain, divided by the root of the product of the numbers that each
-contains; n-grams are told apart by hashes of ``BITS`` bits, so no alphabet is preferred and memory doesn't
-grow with the number of scripts. Landmarks (training texts) give the Nyström features
+contains; n-grams are told apart by hashes of 64 bits, so no alphabet is preferred, texts of any length are told
+apart and memory grows with a text's different n-grams only. Landmarks (training texts) give the Nyström features
 k(x, landmarks) K^(-1/2); on those, one ridge regression for each language against the rest is solved in
 closed form: its normal equations are added up where the training texts lie. Scoring is two matrix products
 for a batch of texts. The whole of every text counts.
@@ -29,43 +29,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ORDER = 3
-BITS = 16
 PER_LANGUAGE = 200
 TRAINING_CHARS = 20_000
 LANDMARKS = 256
 RIDGE = 1e-3
 BATCH = 128
+#: Code points of a long text that are hashed at once.
+BLOCK = 1 << 20
 #: Training rows of a task that adds up normal equations.
 ROWS_A_TASK = 500
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 class Kernel:
-    """Presence of n-grams; ``at`` are those that ``texts`` contain."""
+    """Presence of n-grams; ``at`` are those that ``texts`` contain, in order."""
 
     def __init__(self, texts: list[str]) -> None:
-        self.seen = np.zeros(1 << BITS, np.uint8)
-        self.at = np.unique(np.concatenate([np.zeros(0, np.int64), *[self.presence(t)[0] for t in texts]]))
-
-    def grams(self, text: str) -> np.ndarray:
-        """The hash of every n-gram of the text, repeats included."""
-        s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-        out, code = [], s
-        for n in range(ORDER):
-            if n:
-                code = code[:-1] * _ODD[0] + s[n:]
-            mixed = (code ^ (code >> np.uint64(29))) * _ODD[1]
-            out.append(mixed >> np.uint64(64 - BITS))
-        return np.concatenate(out).astype(np.int64)
+        self.at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[self.grams(t) for t in texts]]))
+
+    @staticmethod
+    def grams(text: str) -> np.ndarray:
+        """The hash of every different n-gram of the text, in order. A long text is taken in blocks, so memory grows with
+        what is different in it."""
+        s = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+        found = np.zeros(0, np.uint64)
+        for start in range(0, len(s), BLOCK):
+            code = part = s[start : start + BLOCK + ORDER - 1].astype(np.uint64) + np.uint64(1)
+            out = [found]
+            for n in range(min(ORDER, len(part))):
+                if n:
+                    code = code[:-1] * _ODD[0] + part[n:]
+                mixed = (code ^ (code >> np.uint64(29))) * _ODD[1] + _ODD[n % 2]
+                out.append(mixed ^ (mixed >> np.uint64(32)))
+            found = np.unique(np.concatenate(out))
+        return found
 
     def presence(self, text: str, at: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """(presence of the n-grams ``at``, or the hashes of all that are present; how many are present)."""
-        codes = self.grams(text)
-        self.seen[codes] = 1
-        n = int(np.count_nonzero(self.seen))
-        found = np.flatnonzero(self.seen) if at is None else self.seen[at]
-        self.seen[codes] = 0
-        return found, n
+        found = self.grams(text)
+        if at is None:
+            return found, len(found)
+        row = np.zeros(len(at), np.float32)
+        place = np.searchsorted(at, found)
+        inside = place < len(at)
+        place, held = place[inside], found[inside]
+        row[place[at[place] == held]] = 1
+        return row, len(found)
 
 
 class Landmarks:
