@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from junctura.llm import divergence, fill_middle, id_files, packing, unit_encoder, url_templates
+from junctura.llm import divergence, fill_middle, id_files, language, packing, unit_encoder, url_templates
 from junctura.llm.queries import tokenizer_path
 
 EN = "the quick brown fox jumps over the lazy dog and then they were all of them happy "
@@ -236,3 +236,15 @@ def test_a_url_of_fifty_thousand_segments(spark):
     rows = [(1, f"http://h.org/{path}"), *[(k, f"http://h.org/a/b{k % 7}") for k in range(2, 40)]]
     got = {r["page_id"]: r["template"] for r in url_templates.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert len(got) == 39 and got[1].count("/") == 50_000
+
+
+def test_long_texts_of_other_scripts_are_unlike(monkeypatch):
+    rng = np.random.default_rng(7)
+    one, two = ("".join(map(chr, rng.integers(at, at + 3000, 300_000))) for at in (0x4E00, 0x5E00))
+    kernel = language.Kernel([one])
+    shared, n = kernel.presence(two, kernel.at)
+    assert n > 590_000 and shared.sum() < 10
+    whole = kernel.grams(one)
+    monkeypatch.setattr(language, "BLOCK", 1000)
+    assert (kernel.grams(one[:20_500]) == np.unique([x for x in language.Kernel([one[:20_500]]).at])).all() and len(whole) > 590_000
+    assert len(kernel.grams("abcab")) == len({"a", "b", "c", "ab", "bc", "ca", "abc", "bca", "cab"}) and len(kernel.grams("")) == 0
