@@ -17,21 +17,26 @@ def is_decoy(chrom: Column) -> Column:
     return chrom.rlike(DECOY)
 
 
+def _bare_key(bare: Column) -> Column:
+    number = bare.try_cast("int").isNotNull()
+    return F.when(number & (F.length(bare) < 2), F.concat(F.lit("0"), bare)).when(number, bare).otherwise(F.concat(F.lit(":"), bare))  # a colon follows the digits
+
+
 def chrom_key(chrom: Column) -> Column:
     """A text that sorts contigs: numbers first, two digits wide, then the others by name."""
-    bare = strip_chr(chrom)
-    number = (bare != "") & (F.translate(bare, "0123456789", "") == "")
-    return F.when(number, F.when(F.length(bare) < 2, F.concat(F.lit("0"), bare)).otherwise(bare)).otherwise(F.concat(F.lit(":"), bare))  # a colon follows the digits
+    return _bare_key(strip_chr(chrom))
 
 
-def _swapped(chrom1: Column, pos1: Column, chrom2: Column, pos2: Column) -> Column:
-    """Ends on contigs of one name are told apart by position alone, without a key."""
-    return F.when(chrom1 == chrom2, pos1 > pos2).otherwise(F.struct(chrom_key(chrom1), pos1) > F.struct(chrom_key(chrom2), pos2))
+def _after(key1: Column, pos1: Column, key2: Column, pos2: Column) -> Column:
+    return (key1 > key2) | ((key1 == key2) & (pos1 > pos2))
 
 
 def ordered(chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2: Column, strand2: Column) -> dict[str, Column]:
     """chrom_a, pos_a, strand_a, chrom_b, pos_b, strand_b: the lesser end first, whole ends swapped."""
-    swap = _swapped(chrom1, pos1, chrom2, pos2)
+    return _picked(_after(chrom_key(chrom1), pos1, chrom_key(chrom2), pos2), chrom1, pos1, strand1, chrom2, pos2, strand2)
+
+
+def _picked(swap: Column, chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2: Column, strand2: Column) -> dict[str, Column]:
     pick = lambda x, y: F.when(swap, y).otherwise(x)
     return {
         "chrom_a": pick(chrom1, chrom2), "pos_a": pick(pos1, pos2), "strand_a": pick(strand1, strand2),
@@ -40,13 +45,14 @@ def ordered(chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2:
 
 
 def with_ends(df: DataFrame, chrom1: Column, pos1: Column, strand1: Column, chrom2: Column, pos2: Column, strand2: Column) -> DataFrame:
-    """``df`` with the six columns of ``ordered``. The ends are compared once a row: whether they are swapped is a
-    column of its own, which the six read (a struct of both ends would be taken apart again by the optimizer)."""
-    df = df.withColumn("ends_swapped", _swapped(chrom1, pos1, chrom2, pos2))
-    pick = lambda x, y: F.when(F.col("ends_swapped"), y).otherwise(x)
-    return df.withColumns(
-        {"chrom_a": pick(chrom1, chrom2), "pos_a": pick(pos1, pos2), "strand_a": pick(strand1, strand2), "chrom_b": pick(chrom2, chrom1), "pos_b": pick(pos2, pos1), "strand_b": pick(strand2, strand1)}
-    ).drop("ends_swapped")
+    """``df`` with the six columns of ``ordered``. Bare names, keys and whether ends are swapped are columns one after
+    the other, so each is worked out once a row and the generated code stays short. (A filter on the result takes them
+    apart again: write the ends before they are filtered or joined with themselves.)"""
+    df = df.withColumns({"bare_1": strip_chr(chrom1), "bare_2": strip_chr(chrom2)})
+    df = df.withColumns({f"key_{k}": _bare_key(F.col(f"bare_{k}")) for k in (1, 2)})
+    df = df.withColumn("ends_swapped", _after(F.col("key_1"), pos1, F.col("key_2"), pos2))
+    df = df.withColumns(_picked(F.col("ends_swapped"), chrom1, pos1, strand1, chrom2, pos2, strand2))
+    return df.drop("bare_1", "bare_2", "key_1", "key_2", "ends_swapped")
 
 
 def as_named(df: DataFrame, chrom: str, contigs: DataFrame) -> DataFrame:

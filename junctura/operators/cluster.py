@@ -54,7 +54,8 @@ def clustered(calls: DataFrame, eps: int = EPS, strands: bool = True, min_sample
     position is a cluster of its own.
     """
     keyed = tiles.keyed(calls, _keys(strands))
-    places = written(tiles.points(keyed), "places")
+    ends = written(keyed.select(tiles.KEY, "pos_a", "pos_b", "call_seq"), "ends")
+    places = written(tiles.points(ends), "places")
     w = tiles.width(places, eps, points_a_tile)
     rows = tiles.tiled(places, eps, w)
     schema = rows.drop("tile_a", "tile_b").withColumn("label", F.lit(0).cast("long")).schema
@@ -108,7 +109,8 @@ def grid_clustered(calls: DataFrame, window: int = EPS, points_a_tile: int | Non
     one place go where its first call goes.
     """
     keyed = tiles.keyed(calls, list(KEYS))
-    state = written(tiles.points(keyed).withColumns({"state": F.lit(OPEN), "owner": F.col("seq")}), "places")
+    ends = written(keyed.select(tiles.KEY, "pos_a", "pos_b", "call_seq"), "ends")
+    state = written(tiles.points(ends).withColumns({"state": F.lit(OPEN), "owner": F.col("seq")}), "places")
     w, schema = tiles.width(state, window, points_a_tile), state.schema
 
     def step(owners: bool):
