@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.steps import numbered
+
 SOMATIC = ("IG_driver_canonical", "driver_driver")
 REVIEW = ("IG_driver_novel", "driver_intergenic")
 RECOMBINED = ("IG_intra", "IG_IG")
@@ -110,6 +112,12 @@ def by_weight(*first: str) -> list[Column]:
     return [*map(F.col, first), F.col("tier"), F.desc(F.col("split_reads") + F.col("discordant_pairs")), F.col("first_seq")]
 
 
+def in_order(calls: DataFrame) -> DataFrame:
+    """``calls`` with place, from 0 in each sample: by tier, then by split reads and callers, most first."""
+    keyed = calls.withColumns({"fewer_reads": -F.col("split_reads"), "fewer_callers": -F.col("n_callers")})
+    return numbered(keyed, ["sample"], ["tier", "fewer_reads", "fewer_callers", "fusion_id"], "place").drop("fewer_reads", "fewer_callers")
+
+
 def novel_top(calls: DataFrame, top: int = 60) -> DataFrame:
     """T1 and T2 calls of classes to be reviewed, by weight."""
     return calls.filter(F.col("event_class").isin(*REVIEW) & _top()).orderBy(*by_weight()).limit(top)
@@ -125,6 +133,18 @@ def receptor_counts(calls: DataFrame) -> DataFrame:
     return calls.filter("event_class = 'IG_intra'").groupBy(F.when(F.col("gene_a") != "", F.col("gene_a")).otherwise(F.col("gene_b")).alias("gene")).agg(F.count("*").alias("n"))
 
 
+def all_tables(calls: DataFrame, loci: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a report, by name. ``calls`` are read by each: write them before. Calls from a file lack
+    first_seq; they are numbered by their ids."""
+    if "first_seq" not in calls.columns:
+        calls = numbered(calls, [], ["sample", "fusion_id"], "first_seq")
+    return {
+        "calls": in_order(calls.filter("tier <> 'T3'")), "samples": per_sample(calls), "figures": kpis(calls), "callers": caller_tiers(calls), "histograms": histograms(calls),
+        "evidence": evidence_histogram(calls), "loci": locus_summary(calls, loci), "novel": novel_top(calls), "recurrence": recurrence_top(calls), "physiological": physiological_top(calls),
+        "between_receptors": between_receptors(calls), "within_receptors": receptor_counts(calls), "caller_overlap": caller_jaccard(calls),
+    }
+
+
 def best_per_pair(calls: DataFrame) -> DataFrame:
     """One call for each pair of genes, in whatever order they stand: the first by weight."""
     x, y = F.least("gene_a", "gene_b"), F.greatest("gene_a", "gene_b")
@@ -132,7 +152,7 @@ def best_per_pair(calls: DataFrame) -> DataFrame:
     return calls.groupBy(x.alias("gene_1"), y.alias("gene_2")).agg(best.alias("best")).select("gene_1", "gene_2", "best.fusion_id", "best.tier")
 
 
-#: How far an arc's control point lies from the centre, as a share of the sum of its ends.
+#: Fixed value: how far an arc's control point lies from the centre, as a share of the sum of its ends.
 ARC_PULL = 0.15
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import contigs, vcf
@@ -255,6 +256,12 @@ def novel_top(spark, sf):
     return reports.novel_top(final(spark, sf)).select("fusion_id", "tier", "event_class")
 
 
+@query
+def call_order(spark, sf):
+    """The table of a sample's calls of the upper tiers, by tier, split reads and callers."""
+    return reports.in_order(held(final(spark, sf)).filter("tier <> 'T3'")).select("sample", "fusion_id", "tier", "place")
+
+
 @query
 def between_receptors(spark, sf):
     return reports.between_receptors(final(spark, sf)).select("fusion_id", "gene_a", "gene_b")
@@ -356,8 +363,10 @@ def unreachable_pairs(spark, sf):
 
 @query
 def ring_angles(spark, sf):
-    rows = [(c, k, n) for k, (c, n) in enumerate(reports.CONTIG_LENGTHS.items(), 1)]
-    out = reports.ring_sectors(spark.createDataFrame(rows, "chrom string, ord long, length long"))
+    """Sectors of the contigs, as long as their farthest end of a call."""
+    ends = calls(spark, sf).select(F.explode(F.array(*[F.struct(F.col(f"chrom_{s}").alias("chrom"), F.col(f"pos_{s}").alias("pos")) for s in "ab"])).alias("end"))
+    lengths = ends.groupBy("end.chrom").agg(F.max("end.pos").alias("length"))  # a row for each contig
+    out = reports.ring_sectors(lengths.withColumn("ord", F.row_number().over(W.orderBy(contigs.chrom_key(F.col("chrom")))).cast("long")))
     return out.select("chrom", F.round("start_angle", 6).alias("start_angle"), F.round("stop_angle", 6).alias("stop_angle"))
 
 

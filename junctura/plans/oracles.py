@@ -4,7 +4,6 @@ build on each other, and a SELECT for each query."""
 from __future__ import annotations
 
 from ..operators.qc import SHORT_RANGE_EXEMPT
-from ..operators.reports import CONTIG_LENGTHS
 from ..sources.adapters import for_duckdb
 
 _SWAP = "(CAST(chrom1 AS INT), pos1) > (CAST(chrom2 AS INT), pos2)"
@@ -292,7 +291,6 @@ def _vcf(select: str) -> str:
 
 _RATIO = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
   round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f1"""
-_RING = ", ".join(f"('{c}', {k}, {n})" for k, (c, n) in enumerate(CONTIG_LENGTHS.items(), 1))
 _LINEAGE = """CASE WHEN upper(trim(cohort)) IN ('PMBL', 'DLBCL', 'FL') THEN 'B' WHEN upper(trim(cohort)) IN ('ATLL', 'PTCL', 'T-CELL NHL') THEN 'T' ELSE 'any' END AS lineage"""
 
 _ARTEFACTS = f"""WITH {CLIPS}, n0 AS (SELECT c2.*, gene, windows.start AS w_start, stop AS w_stop FROM c2 JOIN windows ON contig = chrom AND ref_start < stop + 200 AND ref_end > windows.start - 200),
@@ -386,8 +384,11 @@ ORACLES: dict[str, str] = {
     "metadata_join": _fin(f"SELECT sample, count(*) AS n, any_value(cell_line) AS cell_line, any_value(lineage) AS lineage FROM fin LEFT JOIN (SELECT *, {_LINEAGE} FROM ({for_duckdb('metadata')})) ON sample_id = sample GROUP BY sample"),
     "cohort_lineage": f"SELECT sample_id, {_LINEAGE} FROM ({for_duckdb('metadata')})",
     "unreachable_pairs": f"WITH l AS ({for_duckdb('loci')}) SELECT ord, partner_a, partner_b FROM ({for_duckdb('partners')}) WHERE partner_a NOT IN (SELECT gene FROM l) OR partner_b NOT IN (SELECT gene FROM l)",
-    "ring_angles": f"""SELECT chrom, round(s, 6) AS start_angle, round(s + length / total * usable, 6) AS stop_angle FROM (SELECT *, (sum(length) OVER (ORDER BY k) - length) / total * usable + (k - 1) * 0.6 AS s
-      FROM (SELECT *, CAST(sum(length) OVER () AS DOUBLE) AS total, CAST(360 - count(*) OVER () * 0.6 AS DOUBLE) AS usable FROM (VALUES {_RING}) t(chrom, k, length)))""",
+    "ring_angles": f"""WITH {CALLS}, t AS (SELECT chrom, max(pos) AS length, row_number() OVER (ORDER BY CAST(chrom AS INT)) AS k
+        FROM (SELECT chrom_a AS chrom, pos_a AS pos FROM calls UNION ALL SELECT chrom_b, pos_b FROM calls) GROUP BY chrom)
+      SELECT chrom, round(s, 6) AS start_angle, round(s + length / total * usable, 6) AS stop_angle FROM (SELECT *, (sum(length) OVER (ORDER BY k) - length) / total * usable + (k - 1) * 0.6 AS s
+      FROM (SELECT *, CAST(sum(length) OVER () AS DOUBLE) AS total, CAST(360 - count(*) OVER () * 0.6 AS DOUBLE) AS usable FROM t))""",
+    "call_order": _fin("SELECT sample, fusion_id, tier, row_number() OVER (PARTITION BY sample ORDER BY tier, split_reads DESC, n_callers DESC, fusion_id) - 1 AS place FROM fin WHERE tier <> 'T3'"),
     "read_filter_weight": f"""WITH {NEAR} SELECT gene, read_id, round({_W}, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY read_id) AS place FROM n0)
       WHERE place <= 5000000 AND flag & 4 = 0 AND flag & 256 = 0 AND flag & 1024 = 0 AND mapq >= 10""",
     "clip_side": f"WITH {CLIPS} SELECT read_id, side, clip, aligned, hard, CAST(coalesce(list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)S', 1), lambda x: CAST(x AS INT))), 0) AS BIGINT) AS soft_total FROM c2",

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.contigs import sort_rank
 from ..functions.vcf import alt_of, percent
+from ..sources.steps import folder_for, numbered, scope
 
 #: Columns of a call in their written order, by kind.
 COLUMNS = {
@@ -44,8 +50,9 @@ def _info(c: dict[str, Column], mate: Column, swap: bool) -> Column:
     )
 
 
-def records(calls: DataFrame) -> DataFrame:
-    """Variant records: two mates for a breakend, one record for an event within a contig."""
+def records(calls: DataFrame, mates: bool = True) -> DataFrame:
+    """Variant records: two mates for a breakend (or, without ``mates``, its first end alone, by the call's own id), one
+    record for an event within a contig."""
     calls = complete(calls)
     c = {n: F.col(n) for n in COLUMNS} | {"sv_type": F.when(F.col("sv_type") == "", "BND").otherwise(F.col("sv_type"))}
     shown = lambda x: F.when(x.startswith("chr"), x).otherwise(F.concat(F.lit("chr"), x))
@@ -64,11 +71,12 @@ def records(calls: DataFrame) -> DataFrame:
     record = lambda chrom, pos, name, alt, info: F.struct(chrom.alias("chrom"), pos.alias("pos"), name.alias("id"), alt.alias("alt"), info.alias("info"))
     one, two = F.concat("fusion_id", F.lit(".1")), F.concat("fusion_id", F.lit(".2"))
     whole = F.array(record(ca, pa, F.col("fusion_id"), F.concat(F.lit("<"), c["sv_type"], F.lit(">")), _info(c, F.lit(""), False)))
-    mates = F.array(
+    alone = F.array(record(ca, pa, F.col("fusion_id"), alt_of(sa, sb, cb, pb), _info(c, F.lit(""), False)))
+    both = F.array(
         record(ca, pa, one, alt_of(sa, sb, cb, pb), _info(c, two, False)), record(cb, pb, two, alt_of(mate_a, mate_b, ca, pa), _info(c, one, True))
     )
     is_mate = (c["sv_type"] == "BND") | (c["chrom_a"] != c["chrom_b"])
-    out = calls.select(F.explode(F.when(is_mate, mates).otherwise(whole)).alias("r"), quality.alias("qual"), F.when(flags == "", "PASS").otherwise(flags).alias("filter"), sample.alias("sample_value"))
+    out = calls.select(F.explode(F.when(is_mate, both if mates else alone).otherwise(whole)).alias("r"), quality.alias("qual"), F.when(flags == "", "PASS").otherwise(flags).alias("filter"), sample.alias("sample_value"))
     return out.select("r.chrom", "r.pos", "r.id", F.lit("N").alias("ref"), "r.alt", "qual", "filter", "r.info", F.lit("GT:SR:PE:AD:DP").alias("format"), "sample_value")
 
 
@@ -93,6 +101,7 @@ INFO_KEYS = {
     "FF_VAF": ("1", "Float", "Share of the variant"), "FF_PRECISE": ("1", "Integer", "1 if the ends are exact"), "FF_ANY_PASS": ("1", "Integer", "1 if a caller passed it"),
     "FF_QC_FLAGS": ("1", "String", "Flags of the rewrite passes"), "FF_FUSION_ID": ("1", "String", "Id of the call"),
 }
+COPIED_AT_ONCE = 1 << 20
 ALLELES = {"DEL": "Deletion", "DUP": "Duplication", "INV": "Inversion", "INS": "Insertion", "BND": "Breakend"}
 
 
@@ -106,14 +115,41 @@ def header(sample: str, contigs: list[str]) -> list[str]:
     return [*lines, '##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Depth">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", sample])]
 
 
-def write_vcf(calls: DataFrame, folder: str, sample: str = "SAMPLE", compression: str = "gzip") -> None:
+def write_vcf(calls: DataFrame, folder: str, sample: str = "SAMPLE", compression: str = "gzip", mates: bool = True) -> None:
     """Part files in order of position; the first one holds the header."""
-    rows = records(calls)
+    rows = records(calls, mates)
     contigs = [r["chrom"] for r in in_file_order(rows.groupBy("chrom").agg(F.min("pos").alias("pos"), F.min("id").alias("id"))).select("chrom").collect()]
     top = calls.sparkSession.createDataFrame([(x,) for x in header(sample, contigs)], "value string").coalesce(1)
     top.union(body(rows)).write.option("compression", compression).text(folder)
 
 
+def write_one_vcf(calls: DataFrame, path: str, sample: str = "SAMPLE", mates: bool = True) -> None:
+    """One sorted file: gzip where its name ends in .gz, else text. Parts are sorted, formatted and compressed by tasks
+    (gzip members may follow each other in a file); what is left for one task is to copy their finished bytes, a block at
+    a time, under another name that is then changed."""
+    spark = calls.sparkSession
+    with scope(spark):
+        parts = folder_for(spark, "vcf-parts")
+        write_vcf(calls, parts, sample, "gzip" if path.endswith(".gz") else "none", mates)
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyarrow import fs
+
+            at = lambda p: fs.FileSystem.from_uri(p if "://" in p else "file://" + os.path.abspath(p))
+            (source, root), (target, to) = at(parts), at(path)
+            names = sorted(f.path for f in source.get_file_info(fs.FileSelector(root)) if f.base_name.startswith("part-"))
+            rough = f"{to}.{uuid.uuid4().hex}.rough"
+            with target.open_output_stream(rough, compression=None) as out:
+                for name in names:
+                    with source.open_input_stream(name, compression=None) as part:
+                        while block := part.read(COPIED_AT_ONCE):
+                            out.write(block)
+            target.move(rough, to)
+            yield from batches
+
+        spark.range(1, numPartitions=1).mapInArrow(joined, "id long").collect()
+
+
 def _written(name: str, kind: str) -> Column:
     c = F.col(name)
     if kind == "array<string>":
@@ -148,9 +184,19 @@ def write_tsv(calls: DataFrame, folder: str) -> None:
     rows.select(*[_written(n, k).alias(n) for n, k in COLUMNS.items()]).write.option("header", True).option("quote", "").csv(folder, sep="\t", emptyValue="")
 
 
-def write_json(calls: DataFrame, folder: str) -> None:
-    """One object a line."""
-    to_json(calls).write.text(folder)
+def write_json(calls: DataFrame, folder: str, array: bool = False) -> None:
+    """One object a line; as an ``array``, the parts, one after the other, are one JSON array in the order of ids."""
+    if not array:
+        to_json(calls).write.text(folder)
+        return
+    with scope(calls.sparkSession):
+        rows = numbered(complete(calls), [], ["sample", "fusion_id"], "place")
+        rows = rows.select("place", F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"}).alias("value"))
+        last = rows.agg(F.max("place").alias("last")).first()["last"]
+        if last is None:
+            rows = calls.sparkSession.createDataFrame([(0, "")], "place long, value string")
+        value = F.concat(F.when(F.col("place") == 0, "[").otherwise(""), "value", F.when(F.col("place") == (last or 0), "]").otherwise(","))
+        rows.orderBy("place").select(value.alias("value")).write.text(folder)
 
 
 def to_json(calls: DataFrame) -> DataFrame:

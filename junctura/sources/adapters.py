@@ -28,6 +28,7 @@ SELECT ((((l_orderkey * 8 + l_linenumber) * 100003 + l_partkey) * 10007 + l_supp
 FROM {lineitem}
 """
 
+#: R loci are receptors; those whose calls have both ends on one contig, near each other, hold both (calls within one locus).
 #: Some loci lie away from every call (50, 20 or 40 kb), so that there are calls without a gene at an end.
 LOCI = """
 SELECT concat('G', CAST(p_partkey % 400 AS STRING)) AS gene, CAST(p_partkey % 400 % 22 + 1 AS STRING) AS chrom,
@@ -46,6 +47,12 @@ SELECT concat('X', CAST(p_partkey % 400 AS STRING)), CAST(p_partkey % 400 % 22 +
        10000000 + p_partkey % 400 * 100000 - 2000 - CASE WHEN p_partkey % 400 % 5 = 0 THEN 0 ELSE 40000 END,
        10000000 + p_partkey % 400 * 100000 - 1000 - CASE WHEN p_partkey % 400 % 5 = 0 THEN 0 ELSE 40000 END, 'driver', p_partkey * 3 + 2
 FROM {part}
+UNION ALL
+SELECT concat('R', CAST(p_partkey % 400 AS STRING)), CAST(p_partkey % 400 % 22 + 1 AS STRING),
+       CASE WHEN p_partkey % 400 % 11 = 7 AND abs(p_partkey % 400 * 50000 - 10000000) <= 400000 THEN least(10000000 + p_partkey % 400 * 100000, 20000000 + p_partkey % 400 * 50000) ELSE 1000000 + p_partkey % 400 * 1000 END,
+       CASE WHEN p_partkey % 400 % 11 = 7 AND abs(p_partkey % 400 * 50000 - 10000000) <= 400000 THEN greatest(10000000 + p_partkey % 400 * 100000, 20000000 + p_partkey % 400 * 50000) + 1500 ELSE 1000500 + p_partkey % 400 * 1000 END,
+       'IG_locus', p_partkey + 3000000000
+FROM {part}
 """
 
 PARTNERS = """

@@ -61,11 +61,17 @@ def discard(df: DataFrame) -> None:
             _kept.discard(known)
 
 
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new folder's name for a step, which ``scope`` removes."""
+    path = f"{shared_folder(spark)}/junctura/{name}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
+    _kept.add(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it again: its plan ends there, and a lost executor costs its own tasks only."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/junctura/{name}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
-    _kept.add(path)
+    path = folder_for(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -75,7 +81,9 @@ def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataF
     apart). Ranges of group and order are written with their number; a running sum over ranges and a window in each
     range give the place, so a group that holds most rows is many tasks."""
     part = F.spark_partition_id().alias("range_no")
-    placed = written(df.repartitionByRange(*[F.col(c) for c in (*by, *order)]).select("*", part), "ranges")
+    rows = written(df, "rows")  # ranges are found in a reading of their own
+    placed = written(rows.repartitionByRange(*[F.col(c) for c in (*by, *order)]).select("*", part), "ranges")
+    discard(rows)
     counts = placed.groupBy(*by, "range_no").agg(F.count("*").alias("range_n"))
     earlier = W.partitionBy(*by).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     counts = counts.select(*[F.col(c).alias(f"range_{k}") for k, c in enumerate(by)], F.col("range_no").alias("range_at"), F.coalesce(F.sum("range_n").over(earlier), F.lit(0)).alias("range_before"))

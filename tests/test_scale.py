@@ -254,3 +254,37 @@ def test_tiers_of_either_algorithm(spark):
     with pytest.raises(ValueError):
         pipeline.called(df, algorithm="other")
     assert vcf_out.COLUMNS
+
+
+def test_files_and_tables_of_the_command_line(spark, tmp_path):
+    import gzip
+
+    for name, text in DIMENSIONS.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "more_loci.tsv").write_text("gene\tchrom\tstart\tend\tstrand\trole\tnotes\nX\t5\t69000\t71000\t+\tdriver\t\n")
+    (tmp_path / "more_partners.tsv").write_text("partner_a\tpartner_b\tcytoband\tdisease\tsource\tnotes\nX\tW\t\tZ\tadded\t\n")
+    (tmp_path / "a.vcf").write_text(VCF)
+    at = lambda n: str(tmp_path / n)
+    dims = [f"--{n}={at(n + '.tsv')}" for n in ("loci", "partners", "artefacts")]
+    run = ["run", "--delly", at("a.vcf"), "--sample", "S", *dims]
+    assert cli.main([*run, "--extra-loci", at("more_loci.tsv"), "--extra-partners", at("more_partners.tsv"), "--out", at("out"), "--json", at("json")]) == 0
+    calls = tables.fusion_calls(spark, at("out")).collect()
+    assert {(r["gene_a"], r["gene_b"], r["known_partner_source"]) for r in calls} == {("W", "X", "canonical"), ("", "", "")}  # the first of equal pairs
+    array = json.loads("".join(p.read_text() for p in sorted((tmp_path / "json").glob("part-*"))))
+    assert [x["fusion_id"] for x in array] == sorted(r["fusion_id"] for r in calls)
+    vcf_out.write_json(tables.fusion_calls(spark, at("out")).limit(0), at("none"), array=True)
+    assert json.loads("".join(p.read_text() for p in sorted((tmp_path / "none").glob("part-*")))) == []
+
+    for name, read in (("a.vcf.gz", lambda p: gzip.open(p, "rt").read()), ("b.vcf", lambda p: open(p).read())):
+        assert cli.main(["emit-vcf", "--calls", at("out"), "--out", at(name), "--one-file", "--sample", "T"]) == 0
+        lines = read(at(name)).splitlines()
+        head, rows = [x for x in lines if x.startswith("#")], [x.split("\t") for x in lines if not x.startswith("#")]
+        assert lines[: len(head)] == head and head[-1].endswith("\tT") and [(r[0], int(r[1])) for r in rows] == sorted((r[0], int(r[1])) for r in rows) and len(rows) == 2 * len(calls)
+        assert not [p for p in tmp_path.iterdir() if p.name.endswith("rough")]
+    assert cli.main(["emit-vcf", "--calls", at("out"), "--out", at("c.vcf"), "--one-file", "--no-mates"]) == 0
+    rows = [x.split("\t") for x in open(at("c.vcf")).read().splitlines() if not x.startswith("#")]
+    assert sorted(r[2] for r in rows) == sorted(r["fusion_id"] for r in calls) and not any("MATEID" in r[7] for r in rows)
+
+    assert cli.main(["report", "--calls", at("out"), "--loci", at("loci.tsv"), "--out", at("report")]) == 0
+    assert spark.read.json(at("report/samples")).count() == 1 and spark.read.json(at("report/calls")).count() == sum(r["tier"] != "T3" for r in calls)
+    assert len([p for p in (tmp_path / "report").iterdir() if p.is_dir()]) == 13
