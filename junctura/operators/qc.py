@@ -36,25 +36,28 @@ def artefact_mask(calls: DataFrame, intervals: DataFrame) -> DataFrame:
     return rewritten(with_hits(calls, intervals, "masked"), F.col("masked"), "builtin_artefact_locus", F.lit("T3")).drop("masked")
 
 
-def hot_cells(calls: DataFrame, window: int = 500, min_partners: int = 10, min_chroms: int = 3) -> DataFrame:
-    """chrom, cell: cells whose partners lie in many cells on several contigs."""
+def hot_cells(calls: DataFrame, window: int = 500, min_partners: int = 10, min_chroms: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """chrom, cell (and ``by``): cells whose partners lie in many cells on several contigs."""
     a = F.struct(F.col("chrom_a").alias("chrom"), F.floor(F.col("pos_a") / window).alias("cell"))
     b = F.struct(F.col("chrom_b").alias("chrom"), F.floor(F.col("pos_b") / window).alias("cell"))
-    both = calls.select(F.explode(F.array(F.struct(a.alias("at"), b.alias("to")), F.struct(b.alias("at"), a.alias("to")))).alias("p")).select("p.at", "p.to")
-    by = both.distinct().groupBy("at.chrom", "at.cell").agg(F.count("*").alias("partners"), F.countDistinct("to.chrom").alias("chroms"))
-    return by.filter((F.col("partners") >= min_partners) & (F.col("chroms") >= min_chroms)).select("chrom", "cell")
+    both = calls.select(*by, F.explode(F.array(F.struct(a.alias("at"), b.alias("to")), F.struct(b.alias("at"), a.alias("to")))).alias("p")).select(*by, "p.at", "p.to")
+    by = both.distinct().groupBy(*by, "at.chrom", "at.cell").agg(F.count("*").alias("partners"), F.countDistinct("to.chrom").alias("chroms"))
+    return by.filter((F.col("partners") >= min_partners) & (F.col("chroms") >= min_chroms)).select(*by, "chrom", "cell")
 
 
-def recurrent(calls: DataFrame, window: int = 500, min_partners: int = 10, min_chroms: int = 3, lower: bool = False) -> DataFrame:
-    """Reads ``calls`` twice (for the hot cells, and to flag), so they should be written."""
-    hot = hot_cells(calls, window, min_partners, min_chroms).withColumn("hot", F.lit(True))
+def recurrent(calls: DataFrame, window: int = 500, min_partners: int = 10, min_chroms: int = 3, lower: bool = False, by_sample: bool = False) -> DataFrame:
+    """Reads ``calls`` twice (for the hot cells, and to flag), so they should be written. Cells are hot by all calls, or each
+    sample on its own."""
+    by = ("sample",) if by_sample else ()
+    hot = hot_cells(calls, window, min_partners, min_chroms, by).withColumn("hot", F.lit(True))
     out = calls
     for s in "ab":
-        side = hot.select(F.col("chrom").alias(f"hc_{s}"), F.col("cell").alias(f"hp_{s}"), F.col("hot").alias(f"hot_{s}"))
-        out = out.join(side, (out[f"chrom_{s}"] == side[f"hc_{s}"]) & (F.floor(out[f"pos_{s}"] / window) == side[f"hp_{s}"]), "left")
+        side = hot.select(F.col("chrom").alias(f"hc_{s}"), F.col("cell").alias(f"hp_{s}"), F.col("hot").alias(f"hot_{s}"), *[F.col(c).alias(f"hs_{s}") for c in by])
+        same = (out[f"chrom_{s}"] == side[f"hc_{s}"]) & (F.floor(out[f"pos_{s}"] / window) == side[f"hp_{s}"])
+        out = out.join(side, same & out["sample"].eqNullSafe(side[f"hs_{s}"]) if by_sample else same, "left")
     hit = F.coalesce("hot_a", "hot_b", F.lit(False))
     tier = F.when(F.col("tier") == "T1", "T2").when(F.col("tier") == "T2", "T3").otherwise(F.col("tier")) if lower else None
-    return rewritten(out, hit, "recurrent_artefact", tier).drop("hc_a", "hp_a", "hot_a", "hc_b", "hp_b", "hot_b")
+    return rewritten(out, hit, "recurrent_artefact", tier).drop("hc_a", "hp_a", "hot_a", "hc_b", "hp_b", "hot_b", "hs_a", "hs_b")
 
 
 def short_range(calls: DataFrame, span: int = 200) -> DataFrame:
@@ -114,16 +117,16 @@ def gate_actionable(calls: DataFrame) -> DataFrame:
     return rewritten(calls, (F.col("tier") == "T1") & ~pair & (F.col("n_callers") < 2), "t1_capped_unresolved", F.lit("T2"))
 
 
-def passes(intervals: DataFrame, receptors: tuple[str, ...] | None = None) -> list:
+def passes(intervals: DataFrame, receptors: tuple[str, ...] | None = None, by_sample: bool = False) -> list:
     """The passes in their order."""
     return [
-        lambda d: artefact_mask(d, intervals), recurrent, short_range, masked_breakends, promote_known, lambda d: classified(d, receptors),
+        lambda d: artefact_mask(d, intervals), lambda d: recurrent(d, by_sample=by_sample), short_range, masked_breakends, promote_known, lambda d: classified(d, receptors),
         demote_nonclinical, decoy, demote_physiological, demote_without_pairs, gate_actionable,
     ]
 
 
-def checked(calls: DataFrame, intervals: DataFrame, receptors: tuple[str, ...] | None = None) -> DataFrame:
-    return reduce(lambda d, f: f(d), passes(intervals, receptors), calls)
+def checked(calls: DataFrame, intervals: DataFrame, receptors: tuple[str, ...] | None = None, by_sample: bool = False) -> DataFrame:
+    return reduce(lambda d, f: f(d), passes(intervals, receptors, by_sample), calls)
 
 
 def rescue_partners(*_: object, **__: object) -> None:

@@ -30,6 +30,6 @@ def together(*of_sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [d.select(*names) for d in of_sources])
 
 
-def final(calls: DataFrame, loci: DataFrame, partners: DataFrame, artefacts: DataFrame, eps: int = EPS, algorithm: str = "dbscan") -> DataFrame:
+def final(calls: DataFrame, loci: DataFrame, partners: DataFrame, artefacts: DataFrame, eps: int = EPS, algorithm: str = "dbscan", by_sample: bool = False) -> DataFrame:
     """Annotated calls are written once, as the rewrite passes read them twice."""
-    return qc.checked(written(annotate.annotated(called(calls, eps, algorithm=algorithm), loci, partners), "annotated"), artefacts, qc.RECEPTOR_LOCI)
+    return qc.checked(written(annotate.annotated(called(calls, eps, algorithm=algorithm), loci, partners), "annotated"), artefacts, qc.RECEPTOR_LOCI, by_sample)

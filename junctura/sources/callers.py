@@ -170,15 +170,15 @@ def _factera(lines: DataFrame) -> DataFrame:
     return _call(rows, "factera", {"c1": _strip(c1), "p1": p1, "s1": s1, "c2": _strip(c2), "p2": p2, "s2": s2}, proof, name, F.lit("BND"))
 
 
-def parsed_all(by_caller: dict[str, DataFrame]) -> DataFrame:
+def parsed_all(by_caller: dict[str, DataFrame], files_before: int = 0) -> DataFrame:
     """All callers' calls. call_seq is unique, in the order of callers, then of samples and files, then of lines:
-    lines (sample, line_no, line, and file where several files are of one sample) are numbered over all files."""
+    lines (sample, line_no, line, and file where several files are of one sample) are numbered over all files, after ``files_before`` others."""
     unknown = set(by_caller) - set(CALLERS)
     if unknown:
         raise ValueError(f"unknown callers: {sorted(unknown)}")
     given = {c: by_caller[c] if "file" in by_caller[c].columns else by_caller[c].withColumn("file", F.lit("")) for c in CALLERS if c in by_caller}
     files = reduce(DataFrame.union, [d.select(F.lit(CALLERS.index(c)).alias("of_caller"), "sample", "file") for c, d in given.items()]).distinct()
-    files = files.withColumn("file_ord", F.row_number().over(W.orderBy("of_caller", "sample", "file")).cast("long"))  # a row for each file
+    files = files.withColumn("file_ord", files_before + F.row_number().over(W.orderBy("of_caller", "sample", "file")).cast("long"))  # a row for each file
     parts = []
     for c, d in given.items():
         own = files.filter(F.col("of_caller") == CALLERS.index(c)).select(F.col("sample").alias("of_sample"), F.col("file").alias("of_file"), "file_ord")

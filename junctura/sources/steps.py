@@ -77,18 +77,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``, each row's place from 0 in its group ``by``, in ``order`` (which tells all rows of a group
-    apart). Ranges of group and order are written with their number; a running sum over ranges and a window in each
-    range give the place, so a group that holds most rows is many tasks."""
+    """``df`` with ``name``, each row's place from 0 in its group ``by``, in ``order`` (rows that are equal there come in any
+    order, once and for all). Rows are written with a number of their own; of these only the keys are dealt into ranges of
+    group and order, and a running sum over ranges and a window in each range give the place, so a group that holds
+    most rows is many tasks and whole rows move once."""
+    rows = written(df.withColumn("row_no", F.monotonically_increasing_id()), "rows")
     part = F.spark_partition_id().alias("range_no")
-    rows = written(df, "rows")  # ranges are found in a reading of their own
-    placed = written(rows.repartitionByRange(*[F.col(c) for c in (*by, *order)]).select("*", part), "ranges")
-    discard(rows)
-    counts = placed.groupBy(*by, "range_no").agg(F.count("*").alias("range_n"))
+    keys = written(rows.select(*by, *order, "row_no").repartitionByRange(*[F.col(c) for c in (*by, *order, "row_no")]).select("*", part), "ranges")
+    counts = keys.groupBy(*by, "range_no").agg(F.count("*").alias("range_n"))
     earlier = W.partitionBy(*by).orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
     counts = counts.select(*[F.col(c).alias(f"range_{k}") for k, c in enumerate(by)], F.col("range_no").alias("range_at"), F.coalesce(F.sum("range_n").over(earlier), F.lit(0)).alias("range_before"))
     same = F.col("range_no") == F.col("range_at")
     for k, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"range_{k}"))
-    inside = F.row_number().over(W.partitionBy(*by, "range_no").orderBy(*order)) - 1
-    return placed.withColumn(name, inside).join(counts, same).select(*df.columns, (F.col("range_before") + F.col(name)).alias(name))
+    inside = F.row_number().over(W.partitionBy(*by, "range_no").orderBy(*order, "row_no")) - 1
+    places = keys.withColumn("range_place", inside).join(counts, same).select("row_no", (F.col("range_before") + F.col("range_place")).alias(name))
+    return rows.join(places, "row_no").select(*df.columns, name)

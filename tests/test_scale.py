@@ -288,3 +288,24 @@ def test_files_and_tables_of_the_command_line(spark, tmp_path):
     assert cli.main(["report", "--calls", at("out"), "--loci", at("loci.tsv"), "--out", at("report")]) == 0
     assert spark.read.json(at("report/samples")).count() == 1 and spark.read.json(at("report/calls")).count() == sum(r["tier"] != "T3" for r in calls)
     assert len([p for p in (tmp_path / "report").iterdir() if p.is_dir()]) == 13
+
+
+def test_batches_of_a_sample_give_what_one_batch_gives(spark, tmp_path):
+    from junctura.streaming import ingest
+
+    for name, text in DIMENSIONS.items():
+        (tmp_path / name).write_text(text)
+    line = lambda k, p, q: f"1\t{p}\td{k}\tN\tN]5:{q}]\t30\tPASS\tSVTYPE=BND;PE=9;SR=9\tGT:DR:DV:RR:RV\t0/1:1:9:1:9\n"
+    for name, rows in {"S.1": [(1, 1550, 70_000), (2, 90_000, 5)], "S.2": [(3, 1600, 70_100)], "T.1": [(4, 1500, 70_050)]}.items():
+        (tmp_path / f"{name}.vcf").write_text("##fileformat=VCFv4.2\n" + "".join(line(*r) for r in rows))
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    dims = [getattr(tables, n)(spark, str(tmp_path / f"{n}.tsv")) for n in ("loci", "partners", "artefacts")]
+    put = lambda paths, number, to: ingest.absorb(spark, paths, number, "delly", *dims, str(tmp_path / to), str(tmp_path / f"{to}-state"))
+    seen = lambda to: sorted(map(str, spark.read.parquet(str(tmp_path / to)).drop("sample_key").collect()))
+    put(at("S.1.vcf", "S.2.vcf", "T.1.vcf"), 0, "once")
+    put(at("S.1.vcf"), 0, "twice")
+    put(at("S.2.vcf", "T.1.vcf"), 1, "twice")
+    assert seen("once") == seen("twice") and len(seen("once")) == 3  # the files' near calls are one
+    put(at("S.2.vcf", "T.1.vcf"), 1, "twice")
+    assert seen("once") == seen("twice")
+    assert ingest.recurrence(spark, str(tmp_path / "twice")).count() == 1
