@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 #: Remembered in each of two generations; the older one goes when the newer is full.
 UNITS_KEPT = 250_000
 PAIR_SLOTS = 1 << 20
+#: Bits of a token in the table of pairs.
+PAIR_BITS = 17
 LONG_PIECE = 64
 BATCH_CHARS = 1 << 20
 #: The white space of Unicode, and the pattern that splits text before merges.
@@ -55,6 +57,8 @@ class ByteBpe:
         letters = byte_letters()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         names = [*letters, *(a + b for a, b in merges)]
+        if len(names) > 1 << PAIR_BITS:
+            raise ValueError(f"the table of pairs tells {1 << PAIR_BITS} tokens apart; the file has {len(names)}")
         self.rank = {}
         for k, name in enumerate(names):
             self.rank.setdefault(name, k)
@@ -95,7 +99,7 @@ class ByteBpe:
     def may_stand(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """For each pair of tokens, whether merging both tokens' bytes leaves the border between them.
         The table holds the pairs met so far; a pair may push out another, which is then worked out anew."""
-        key = left << 17 | right
+        key = left << PAIR_BITS | right
         slot = (key * 0x9E3779B1 >> 12) & (PAIR_SLOTS - 1)
         ok = self.pair_ok[slot]
         for k in np.flatnonzero(self.pair_key[slot] != key):

@@ -248,3 +248,23 @@ def test_long_texts_of_other_scripts_are_unlike(monkeypatch):
     monkeypatch.setattr(language, "BLOCK", 1000)
     assert (kernel.grams(one[:20_500]) == np.unique([x for x in language.Kernel([one[:20_500]]).at])).all() and len(whole) > 590_000
     assert len(kernel.grams("abcab")) == len({"a", "b", "c", "ab", "bc", "ca", "abc", "bca", "cab"}) and len(kernel.grams("")) == 0
+
+
+def test_token_counts_of_null_repeated_and_long_rows(spark, library):
+    from junctura.llm import attribution
+
+    rows = [(None, EN + "\n" + EN), (None, EN + "\n" + EN), (4, "a\nb\n\nb"), (4, "a\nb\n\nb"), (5, LONG.replace("Number7 ", "\n")), (6, None), (None, ""), (7, "wörd\n" * 3000)]
+    got = Counter((r["doc_id"], r["section"], r["start"], r["stop"], r["n_tokens"]) for r in attribution.by_section(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path("byte_bpe_50k.json")).collect())
+    want = Counter()
+    for i, text in rows:
+        text = text or ""
+        edges = [0, *[k + 1 for k, ch in enumerate(text) if ch == "\n"], len(text)]
+        edges = np.array(edges[:-1] if len(edges) > 2 and edges[-1] == edges[-2] else edges)
+        count = Counter()
+        for a, b in library.encode(text, add_special_tokens=False).offsets:
+            b = max(b, a + 1)
+            low, high = (int(np.searchsorted(edges[1:-1], x, "right")) for x in (a, b - 1))
+            count[max(range(low, high + 1), key=lambda k: (min(b, edges[k + 1]) - max(a, edges[k]), -k))] += 1  # noqa: B023
+        for k in range(len(edges) - 1):
+            want[(i, k, int(edges[k]), int(edges[k + 1]), count[k])] += 1
+    assert got == want
