@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import statistics
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -309,3 +310,10 @@ def test_batches_of_a_sample_give_what_one_batch_gives(spark, tmp_path):
     put(at("S.2.vcf", "T.1.vcf"), 1, "twice")
     assert seen("once") == seen("twice")
     assert ingest.recurrence(spark, str(tmp_path / "twice")).count() == 1
+
+
+def test_a_weight_half_way_is_rounded_to_even_in_any_order(spark):
+    n, q = 45, 21  # the sum of 21 / 30 as floats stays below 31.5
+    rows = [(k, "S", "1", 1000, 1100, q, 1, "70M30S", "ACGTT" * 20, 300, "1", 1200, "5,70000,+,60S40M,60,1;") for k in range(n)]
+    got = reads.scanned(spark.createDataFrame(rows, READ), windows(spark)).filter("kind = 'split' and gene = 'w1'").collect()
+    assert [r["split_reads"] for r in got] == [round(Fraction(n * q, 30))]
