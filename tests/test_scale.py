@@ -317,3 +317,11 @@ def test_a_weight_half_way_is_rounded_to_even_in_any_order(spark):
     rows = [(k, "S", "1", 1000, 1100, q, 1, "70M30S", "ACGTT" * 20, 300, "1", 1200, "5,70000,+,60S40M,60,1;") for k in range(n)]
     got = reads.scanned(spark.createDataFrame(rows, READ), windows(spark)).filter("kind = 'split' and gene = 'w1'").collect()
     assert [r["split_reads"] for r in got] == [round(Fraction(n * q, 30))]
+
+
+def test_artefact_windows_are_read_whole(spark):
+    """More reads than a cap of 200,000, of which only the last ones give a cluster."""
+    good = [(200_000 + k, "S", "1", 1000, 1100, 60, 1, "70M30S", "ACGTT" * 20, 300, "1", 1200, "5,70000,+,60S40M,60,1;") for k in range(2)]
+    unmapped = spark.range(200_000).selectExpr("id", "'S'", "'1'", "1000L", "1100L", "60", "4", "'100M'", "''", "0L", "'1'", "1200L", "''").toDF(*[c.split()[0] for c in READ.split(", ")])
+    got = reads.artefact_clusters(unmapped.union(spark.createDataFrame(good, READ)), windows(spark), least=2).collect()
+    assert [(r["gene"], r["n"]) for r in got] == [("w1", 2)]
