@@ -16,11 +16,17 @@ EPS = cluster.EPS
 ALGORITHMS = {"dbscan": cluster.clustered, "bucket": lambda calls, eps, strands, min_samples: cluster.grid_clustered(calls, eps)}
 
 
-def called(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1, algorithm: str = "dbscan") -> DataFrame:
-    """Clusters with provisional tiers."""
+def found(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1, algorithm: str = "dbscan") -> DataFrame:
+    """Clusters, written."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm: {algorithm}")
-    return tiers.with_ids(tiers.tiered(cluster.clusters(ALGORITHMS[algorithm](calls, eps, strands, min_samples))))
+    return written(cluster.clusters(ALGORITHMS[algorithm](calls, eps, strands, min_samples)), "clusters")
+
+
+def called(calls: DataFrame, eps: int = EPS, strands: bool = True, min_samples: int = 1, algorithm: str = "dbscan") -> DataFrame:
+    """Clusters with provisional tiers."""
+    whole = found(calls, eps, strands, min_samples, algorithm)
+    return cluster.with_members(tiers.with_ids(tiers.tiered(whole.drop("member_record_ids"))), whole)
 
 
 def together(*of_sources: DataFrame) -> DataFrame:
@@ -31,5 +37,7 @@ def together(*of_sources: DataFrame) -> DataFrame:
 
 
 def final(calls: DataFrame, loci: DataFrame, partners: DataFrame, artefacts: DataFrame, eps: int = EPS, algorithm: str = "dbscan", by_sample: bool = False) -> DataFrame:
-    """Annotated calls are written once, as the rewrite passes read them twice."""
-    return qc.checked(written(annotate.annotated(called(calls, eps, algorithm=algorithm), loci, partners), "annotated"), artefacts, qc.RECEPTOR_LOCI, by_sample)
+    """Annotated calls are written once, as the rewrite passes read them twice; members' lists stay with the clusters."""
+    whole = found(calls, eps, algorithm=algorithm)
+    out = written(annotate.annotated(tiers.with_ids(tiers.tiered(whole.drop("member_record_ids"))), loci, partners), "annotated")
+    return cluster.with_members(qc.checked(out, artefacts, qc.RECEPTOR_LOCI, by_sample), whole)

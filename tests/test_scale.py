@@ -325,3 +325,20 @@ def test_artefact_windows_are_read_whole(spark):
     unmapped = spark.range(200_000).selectExpr("id", "'S'", "'1'", "1000L", "1100L", "60", "4", "'100M'", "''", "0L", "'1'", "1200L", "''").toDF(*[c.split()[0] for c in READ.split(", ")])
     got = reads.artefact_clusters(unmapped.union(spark.createDataFrame(good, READ)), windows(spark), least=2).collect()
     assert [(r["gene"], r["n"]) for r in got] == [("w1", 2)]
+
+
+def test_lists_of_members_stay_with_the_clusters(spark, monkeypatch):
+    """Only the step of the clusters holds the lists, and the final calls have them all the same."""
+    held = {}
+    keep = lambda df, name: held.setdefault(name, []).append(df.columns) or real(df, name)
+    real = steps.written
+    for module in (cluster, pipeline, steps):
+        monkeypatch.setattr(module, "written", keep)
+    row = lambda k: (k, "S", "manta", "BND", "1", 1000 + k, "+", "2", 5000 + k, "-", 5, 5, 0, 0, True, True, 0.1, 1.0, f"r{k}")
+    calls = spark.createDataFrame([row(k) for k in range(3)], "call_seq long, sample string, caller string, sv_type string, chrom_a string, pos_a long, strand_a string, chrom_b string, pos_b long, strand_b string, split_reads long, discordant_pairs long, assembly_contigs long, soft_clips long, filter_pass boolean, precise boolean, vaf double, raw_qual double, record_id string")
+    loci = spark.createDataFrame([], "gene string, chrom string, start long, stop long, role string, ord long")
+    partners = spark.createDataFrame([], "partner_a string, partner_b string, source string, disease string, ord long")
+    out = pipeline.final(calls, loci, partners, spark.createDataFrame([], "chrom string, start long, stop long"))
+    assert [r["member_record_ids"] for r in out.collect()] == [["r0", "r1", "r2"]]
+    assert {name for name, of in held.items() if any("member_record_ids" in c for c in of)} == {"clusters"}
+    assert "member_record_ids" not in cluster.clusters(calls.drop("record_id").withColumn("cluster_id", F.lit(0))).columns
