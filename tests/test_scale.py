@@ -342,3 +342,21 @@ def test_lists_of_members_stay_with_the_clusters(spark, monkeypatch):
     assert [r["member_record_ids"] for r in out.collect()] == [["r0", "r1", "r2"]]
     assert {name for name, of in held.items() if any("member_record_ids" in c for c in of)} == {"clusters"}
     assert "member_record_ids" not in cluster.clusters(calls.drop("record_id").withColumn("cluster_id", F.lit(0))).columns
+
+
+def test_later_greedy_rounds_read_open_tiles_only(spark, monkeypatch):
+    """Of 300 places in tiles of their own, three lie in a row across a tile's edge: only their tiles have another round."""
+    rows, real = [], steps.written
+
+    def keep(df, name):
+        out = real(df, name)
+        rows.append(out.count() if name == "settled" else 0)
+        return out
+
+    monkeypatch.setattr(cluster, "written", keep)
+    monkeypatch.setattr(tiles, "WIDTHS", (100,))
+    near = [(0, 1005), (1, 995), (2, 985)]
+    calls = spark.createDataFrame([(k, "S", "1", "2", "+", "+", p, 50) for k, p in [*near, *((k, 2050 + 100 * k) for k in range(3, 300))]], POINT)
+    got = {r["call_seq"]: r["cluster_id"] for r in cluster.grid_clustered(calls, 12).collect()}
+    assert got == {k: 0 if k < 2 else k for k in range(300)}
+    assert len([n for n in rows if n]) > 1 and sum(rows) < 320
