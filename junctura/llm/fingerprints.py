@@ -18,6 +18,8 @@ only document is its own next; an empty table gives an empty one; further column
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -25,80 +27,122 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
 SAMPLES = 128
-TERMS_KEPT = 60_000
+TERMS_KEPT = 120_000
+TERMS_LEFT = 40_000
+WHOLE_KEPT = 20_000
+#: Words whose numbers are drawn at once.
+AT_ONCE = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+#: What Python's split() also cuts at, beside the six characters of the words' definition.
+_OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= _MIX[1]
+    x ^= x >> np.uint64(27)
+    x *= _MIX[2]
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Sampler:
-    """Keeps the random numbers of words met; what is kept is bounded and changes no result."""
+    """Keeps the random numbers of words met; what is kept is bounded and changes no result. Of each word there is what
+    it needs where its weight is 1 (``once``), and r, c and b of those that were met with more. Where it is full, the
+    ``TERMS_LEFT`` words that were met most often stay."""
 
     def __init__(self, samples: int = SAMPLES) -> None:
         self.k = samples
         self.place: dict[str, int] = {}
-        self.hash = np.empty(TERMS_KEPT, np.uint64)
-        self.r, self.c, self.b, self.once = (np.empty((TERMS_KEPT, samples), np.float32) for _ in range(4))
+        self.hash, self.uses = np.empty(TERMS_KEPT, np.uint64), np.zeros(TERMS_KEPT, np.int64)
+        self.once = np.empty((TERMS_KEPT, samples), np.float32)
+        self.whole_at, self.wholes = np.full(TERMS_KEPT, -1), 0
+        self.whole = np.empty((WHOLE_KEPT, 3, samples), np.float32)
         self.seeds = _mixed(np.arange(1, 3 * samples + 1, dtype=np.uint64) * _MIX[0])
 
-    def _add(self, new: list[str]) -> None:
-        import xxhash
+    def _drawn(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, c, b of words by their hashes: from the low and the high half of each number, one after the other, in (0, 1)."""
+        k = self.k
+        drawn = _mixed(h[:, None] ^ self.seeds[None, :]).view("<u4").astype(np.float32)
+        drawn += np.float32(0.5)
+        drawn *= np.float32(2**-32)
+        logs = np.log(drawn[:, : 4 * k])
+        np.negative(logs, out=logs)
+        gamma = logs[:, ::2] + logs[:, 1::2]
+        return gamma[:, :k], np.log(gamma[:, k:]), np.minimum(drawn[:, 4 * k :: 2], np.float32(0.9999999))
 
+    def _add(self, new: list[str]) -> None:
         at = len(self.place)
         h = np.array([xxhash.xxh3_64_intdigest(w) for w in new], np.uint64)
-        for i in range(0, len(new), 4096):
-            part = h[i : i + 4096]
-            bits = _mixed(part[:, None] ^ self.seeds[None, :])
-            low = ((bits & np.uint64(0xFFFFFFFF)).astype(np.float32) + np.float32(0.5)) / np.float32(2**32)
-            high = ((bits >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) / np.float32(2**32)
-            k, to = self.k, slice(at + i, at + i + len(part))
-            self.r[to] = -np.log(low[:, :k]) - np.log(high[:, :k])
-            self.c[to] = np.log(-np.log(low[:, k : 2 * k]) - np.log(high[:, k : 2 * k]))
-            self.b[to] = np.minimum(low[:, 2 * k :], np.float32(0.9999999))
-            self.once[to] = self.c[to] + self.r[to] * self.b[to] - self.r[to]
-        self.hash[at : at + len(new)] = h
+        for i in range(0, len(new), AT_ONCE):
+            r, c, b = self._drawn(h[i : i + AT_ONCE])
+            self.once[at + i : at + i + len(r)] = c + r * b - r
+        to = slice(at, at + len(new))
+        self.hash[to], self.uses[to], self.whole_at[to] = h, 0, -1
         self.place.update(zip(new, range(at, at + len(new)), strict=True))
 
+    def _wholes(self, at: np.ndarray) -> np.ndarray:
+        """r, c, b of the words at these places, kept for the next time."""
+        missing = at[self.whole_at[at] < 0]
+        if len(missing):
+            if self.wholes + len(missing) > WHOLE_KEPT:
+                self.whole_at[:], self.wholes, missing = -1, 0, at
+            if len(missing) > WHOLE_KEPT:
+                return np.concatenate([np.stack(self._drawn(self.hash[at[i : i + AT_ONCE]]), 1) for i in range(0, len(at), AT_ONCE)])
+            for i in range(0, len(missing), AT_ONCE):
+                some = missing[i : i + AT_ONCE]
+                to = np.arange(self.wholes, self.wholes + len(some))
+                self.whole[to[0] : to[-1] + 1] = np.stack(self._drawn(self.hash[some]), 1)
+                self.whole_at[some], self.wholes = to, self.wholes + len(some)
+        return self.whole[self.whole_at[at]]
+
+    def _forget(self, left: int) -> None:
+        """Keeps the ``left`` words that were met most often; uses are halved, so what was met long ago goes."""
+        names, n = list(self.place), len(self.place)
+        stay = np.sort(np.argpartition(-self.uses[:n], left)[:left]) if 0 < left < n else np.arange(min(left, n))
+        for of in (self.hash, self.uses, self.once, self.whole_at):
+            of[: len(stay)] = of[stay]
+        self.uses[: len(stay)] //= 2
+        self.place = {names[i]: k for k, i in enumerate(stay.tolist())}
+
     def signature(self, text: str) -> np.ndarray:
         """One 32-bit number a slot, from the slot's word and t."""
-        words = _words(text)
-        if not words:
+        count = Counter(_words(text))
+        if not count:
             return np.zeros(self.k, "<u4")
-        place = self.place
-        try:
-            at = [place[w] for w in words]
-        except KeyError:
-            new = list({w for w in words if w not in place})
-            if len(place) + len(new) > TERMS_KEPT:
-                place.clear()
-                new = list(set(words))
-            if len(new) > TERMS_KEPT:
-                return self._large(words)
-            self._add(new)
-            at = [place[w] for w in words]
-        at, weight = np.unique(np.array(at), return_counts=True)
-        return self._least(at, weight)[1]
+        if len(count) > TERMS_KEPT:
+            return self._large(count)
+        at = np.array([self.place.get(w, -1) for w in count])
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            names = list(count)
+            if len(self.place) + len(new) > TERMS_KEPT:
+                self._forget(min(TERMS_LEFT, TERMS_KEPT - len(count)))
+                at = np.array([self.place.get(w, -1) for w in names])
+                new = np.flatnonzero(at < 0)
+            at[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self._add([names[i] for i in new.tolist()])
+        self.uses[at] += 1
+        return self._least(at, np.fromiter(count.values(), np.int64, len(count)))[1]
 
     def _least(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = self.once[at]
         many = np.flatnonzero(weight > 1)
         t = np.zeros((len(many), self.k), np.float32)
         if len(many):
-            m = at[many]
-            r, b = self.r[m], self.b[m]
+            whole = self._wholes(at[many])
+            r, c, b = whole[:, 0], whole[:, 1], whole[:, 2]
             t = np.floor(np.log(weight[many].astype(np.float32))[:, None] / r + b)
-            a[many] = self.c[m] - r * (t - b) - r
+            a[many] = c - r * (t - b) - r
         best = a.argmin(0)
         slots = np.arange(self.k)
         row = np.full(len(at), -1)
@@ -108,11 +152,8 @@ class Sampler:
         mark = _mixed(self.hash[at[best]] + steps * _MIX[0] + np.arange(1, self.k + 1, dtype=np.uint64))
         return a[best, slots], (mark >> np.uint64(32)).astype("<u4") | np.uint32(1)
 
-    def _large(self, words: list[str]) -> np.ndarray:
+    def _large(self, count: Counter[str]) -> np.ndarray:
         """More different words than are kept: in blocks, keeping each slot's least."""
-        count: dict[str, int] = {}
-        for w in words:
-            count[w] = count.get(w, 0) + 1
         names, least, out = list(count), None, None
         for i in range(0, len(names), TERMS_KEPT):
             self.place.clear()
@@ -124,12 +165,8 @@ class Sampler:
 
 
 def _words(text: str) -> list[str]:
-    """Python's split() for what it and the words' definition cut alike, else by the definition."""
-    import re
-
-    if text.isascii() and not any(x in text for x in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return re.findall(r"[^\x20\x09-\x0D]+", text)
+    """Python's split() where it and the words' definition cut alike, else by the definition."""
+    return text.split() if _OTHER_SPACES.search(text) is None else _WORD.findall(text)
 
 
 @lru_cache(maxsize=2)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from junctura.llm import divergence, fill_middle, id_files, language, packing, unit_encoder, url_templates
+from junctura.llm import divergence, fill_middle, fingerprints, id_files, language, packing, unit_encoder, url_templates
 from junctura.llm.queries import tokenizer_path
 
 EN = "the quick brown fox jumps over the lazy dog and then they were all of them happy "
@@ -268,3 +268,20 @@ def test_token_counts_of_null_repeated_and_long_rows(spark, library):
         for k in range(len(edges) - 1):
             want[(i, k, int(edges[k]), int(edges[k + 1]), count[k])] += 1
     assert got == want
+
+
+def test_frequent_words_stay_when_a_sampler_is_full(monkeypatch):
+    """What is kept changes no fingerprint, and words of every text are drawn once, however many rare ones pass."""
+    rng = np.random.default_rng(3)
+    often = [f"often{i}" for i in range(50)]
+    texts = [" ".join(rng.permutation([*often, *often[:20], *(f"rare{k}_{i}" for i in range(40)), *(["twice"] * (k % 4))])) for k in range(60)]
+    texts.insert(30, " ".join(f"one{i % 700}" for i in range(900)))  # more words than are kept
+    whole = fingerprints.Sampler(64)
+    expected = [whole.signature(t).tobytes() for t in texts]
+    for name, value in (("TERMS_KEPT", 300), ("TERMS_LEFT", 100), ("WHOLE_KEPT", 30)):
+        monkeypatch.setattr(fingerprints, name, value, raising=False)
+    drawn, own = [], fingerprints.Sampler(64)
+    add = own._add
+    monkeypatch.setattr(own, "_add", lambda new: (drawn.extend(new), add(new))[1])
+    assert [own.signature(t).tobytes() for t in texts] == expected
+    assert sum(w.startswith("often") for w in drawn) <= 2 * len(often)  # the long text in the middle takes their places once
