@@ -360,3 +360,20 @@ def test_later_greedy_rounds_read_open_tiles_only(spark, monkeypatch):
     got = {r["call_seq"]: r["cluster_id"] for r in cluster.grid_clustered(calls, 12).collect()}
     assert got == {k: 0 if k < 2 else k for k in range(300)}
     assert len([n for n in rows if n]) > 1 and sum(rows) < 320
+
+
+def test_calls_find_their_cluster_by_cell(spark, monkeypatch):
+    """Calls of one cell are one row of what calls are joined with, and are no row of a shuffle there."""
+    kept, write = {}, steps.written
+    monkeypatch.setattr(cluster, "written", lambda d, name: kept.setdefault(name, write(d, name)))
+    n, far = 3000, 251 * 4
+    place = F.when(F.col("id") < n, F.col("id") % 251).otherwise(far + F.col("id") % 7)
+    calls = spark.range(n + 50).select(
+        F.col("id").alias("call_seq"), F.lit("S").alias("sample"), F.lit("1").alias("chrom_a"), F.lit("2").alias("chrom_b"), F.lit("+").alias("strand_a"), F.lit("-").alias("strand_b"),
+        F.when(F.col("id") != n + 49, place).alias("pos_a"), (place + F.col("id") % 13).alias("pos_b"),
+    )
+    out = cluster.clustered(calls)
+    got = {r["cluster_id"]: r["n"] for r in out.groupBy("cluster_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: n, n: 49, n + 49: 1}
+    assert kept["places"].count() > 1000 and kept["cells"].count() <= 3
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
