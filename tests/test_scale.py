@@ -377,3 +377,44 @@ def test_calls_find_their_cluster_by_cell(spark, monkeypatch):
     assert got == {0: n, n: 49, n + 49: 1}
     assert kept["places"].count() > 1000 and kept["cells"].count() <= 3
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiles_hold_a_row_for_each_cell(spark, monkeypatch):
+    """What tiles label grows with the cells, not with the places of calls."""
+    kept, write = {}, steps.written
+    monkeypatch.setattr(cluster, "written", lambda d, name: kept.setdefault(name, write(d, name)))
+    rows = [(k, "S", "1", "2", "+", "-", k % 499, (k * 7) % 499) for k in range(2000)]
+    got = cluster.clustered(spark.createDataFrame(rows, POINT)).select("cluster_id").distinct().collect()
+    assert [r[0] for r in got] == [0]
+    assert kept["places"].count() > 400 and kept["labels"].count() <= 9
+
+
+@pytest.mark.parametrize("most", [10**6, 1])
+def test_cells_that_touch_at_a_corner(spark, monkeypatch, most):
+    """Cells (13 wide) whose boxes don't tell: both a near and a far pair, up and down, within a tile and across tiles."""
+    kept, write = {}, steps.written
+    monkeypatch.setattr(cluster, "written", lambda d, name: kept.setdefault(name, write(d, name)))
+    rng, rows = np.random.default_rng(8), []
+    for key in range(120):
+        x, y = (int(v) for v in rng.integers(-3, 9, 2) * 13)
+        rise = 13 if key % 2 else -13
+        for k in range(2, 6):
+            for a, b in ((x, y), (x + 13, y + rise)):
+                rows.append((len(rows) * 31 % 4999, "S", str(key), "2", "+", "-", a + int(rng.integers(0, 13)), b + int(rng.integers(0, 13))))
+            if k > 2 + key % 3:
+                break
+    got = {r["call_seq"]: r["cluster_id"] for r in cluster.clustered(spark.createDataFrame(rows, POINT), eps=12, points_a_tile=most).collect()}
+    want = {}
+    for key in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == key]
+        label = {r[0]: r[0] for r in own}
+        for _ in own:
+            for p in own:
+                for q in own:
+                    if near(p, q, 12):
+                        label[p[0]] = min(label[p[0]], label[q[0]])
+        want |= label
+    assert got == want
+    doubt = kept["corners"].select("cluster_key", "tile_a", "tile_b").distinct().count()
+    together = sum(len({want[r[0]] for r in rows if r[2] == str(key)}) == 1 for key in range(120))
+    assert doubt > 20 and 10 < together < 110
