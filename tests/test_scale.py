@@ -418,3 +418,16 @@ def test_cells_that_touch_at_a_corner(spark, monkeypatch, most):
     doubt = kept["corners"].select("cluster_key", "tile_a", "tile_b").distinct().count()
     together = sum(len({want[r[0]] for r in rows if r[2] == str(key)}) == 1 for key in range(120))
     assert doubt > 20 and 10 < together < 110
+
+
+@pytest.mark.parametrize("eps", [0, 1, 12])
+def test_pairs_meet_by_cells_of_both_ends(spark, eps):
+    """Calls that share one end only aren't compared; each pair comes once, wherever cells are cut; an end or a key that
+    isn't known is near nothing."""
+    rows = [(*r[:6], None if r[6] is None else r[6] - 60, r[7] - 60) for r in scattered(200, 40 + 12 * eps, 6)]
+    rows += [(3000 + k, "S", "1", "2", "+", "-", 7, 1000 * k) for k in range(40)]
+    pairs = cluster.band_edges(spark.createDataFrame(rows, POINT), eps)
+    got = sorted((r["a"], r["b"]) for r in pairs.collect())
+    assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and None not in x[:6] and near(x, y, eps))
+    join = next(line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
+    assert "cell_a" in join and "cell_b" in join
