@@ -431,3 +431,13 @@ def test_pairs_meet_by_cells_of_both_ends(spark, eps):
     assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and None not in x[:6] and near(x, y, eps))
     join = next(line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line)
     assert "cell_a" in join and "cell_b" in join
+
+
+def test_a_scan_reads_windows_whole(spark, monkeypatch):
+    """However many reads a window holds, none is left out: the cluster is that of the last ones."""
+    monkeypatch.setattr(reads, "ROWS_A_LOCUS", 20)
+    monkeypatch.setattr(reads.in_windows, "__defaults__", tuple(20 if v == 5_000_000 else v for v in reads.in_windows.__defaults__))
+    rows = [(k, "S", "1", 1000, 1100, 60, 1, "70M30S" if k >= 40 else "100M", "ACGTT" * 20, 300, "1", 1200, "5,70000,+,60S40M,60,1;" if k >= 40 else "") for k in range(44)]
+    got = reads.scanned(spark.createDataFrame(rows, READ), windows(spark)).filter("gene = 'w1'").collect()
+    assert [(r["kind"], r["split_reads"]) for r in got] == [("split", 4)]
+    assert [r["split_reads"] for r in reads.calls_of_reads(spark.createDataFrame(rows, READ), windows(spark)).filter("caller = 'reads' and record_id like 'reads_w1%'").collect()] == [4]
