@@ -441,3 +441,15 @@ def test_a_scan_reads_windows_whole(spark, monkeypatch):
     got = reads.scanned(spark.createDataFrame(rows, READ), windows(spark)).filter("gene = 'w1'").collect()
     assert [(r["kind"], r["split_reads"]) for r in got] == [("split", 4)]
     assert [r["split_reads"] for r in reads.calls_of_reads(spark.createDataFrame(rows, READ), windows(spark)).filter("caller = 'reads' and record_id like 'reads_w1%'").collect()] == [4]
+
+
+def test_what_a_read_tells_is_worked_out_once(spark, monkeypatch):
+    """Texts of reads are looked into before the step that both kinds of cluster read, and clusters hold a row for each place."""
+    kept, write = {}, steps.written
+    monkeypatch.setattr(reads, "written", lambda d, name: kept.setdefault(name, []).append(write(d, name)) or kept[name][-1])
+    rows = [(k, "S", "1", 1000 + k % 3, 1100 + k % 3, 60, 1, "70M30S" if k % 2 else "100M", "ACGTT" * 20, 300, "7", 1200 + k % 2, "5,70000,+,60S40M,60,1;" if k % 2 else "") for k in range(40)]
+    out = reads.scanned(spark.createDataFrame(rows, READ), windows(spark)).filter("gene = 'w1'")
+    assert [tuple(r) for r in out.select("kind", "pos_a", "pos_b", "split_reads", "discordant_pairs").orderBy("kind").collect()] == [("pair", 1101, 1200, 0, 20), ("split", 1101, 70000, 20, 0)]
+    (once,) = kept["told"]
+    assert not {"seq", "cigar", "sa"} & set(once.columns) and once.filter("gene = 'w1'").count() == 40
+    assert "seq#" not in out._jdf.queryExecution().optimizedPlan().toString()
