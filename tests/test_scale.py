@@ -453,3 +453,49 @@ def test_what_a_read_tells_is_worked_out_once(spark, monkeypatch):
     (once,) = kept["told"]
     assert not {"seq", "cigar", "sa"} & set(once.columns) and once.filter("gene = 'w1'").count() == 40
     assert "seq#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def lines_at(spark, at, first, step, n=400):
+    """Lines of orders from ``first`` on, and their packed numbers."""
+    rng = np.random.default_rng(11)
+    cols = [first + step * rng.permutation(n), 400 * rng.integers(0, 18_000, n) + rng.integers(0, 2, n), rng.integers(0, 360_000, n), rng.integers(1, 8, n), rng.integers(1, 51, n)]
+    keys = [tuple(int(v) for v in r) for r in zip(*cols)]
+    rows = [(*k[:4], float(k[4]), 1000.0 + k[0] % 90, 0.05, "RAN"[k[0] % 3], "OF"[k[0] % 2]) for k in keys]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{at}/lineitem.parquet")
+    return sorted((((o * 8 + k) * 100003 + p) * 10007 + s) * 64 + q for o, p, s, k, q in keys)
+
+
+def test_calls_of_late_orders_have_numbers_in_order(spark, tmp_path):
+    """Packed numbers longer than a long: call_seq keeps their order and remainders, record_id their digits."""
+    packed = lines_at(spark, tmp_path, 53_999_000, 2)
+    assert packed[-1] > 1 << 63
+    got = catalogue.calls(spark, str(tmp_path)).select("call_seq", "record_id").orderBy("call_seq").collect()
+    assert [r["record_id"] for r in got] == [f"r{v}" for v in packed] and len(set(packed)) == len(packed)
+    assert all((r["call_seq"] - v) % (11 * 13 * 61 * 400 * 63) == 0 for r, v in zip(got, packed, strict=True))
+
+
+@pytest.mark.parametrize("first", [9_500_000, 17_000_000])
+def test_calls_keep_their_packed_numbers_as_far_as_these_are_longs(spark, tmp_path, first):
+    """Also where twice the number, which tells lines of callers' files, is no long."""
+    packed = lines_at(spark, tmp_path, first, 2)
+    assert 1 << 62 < packed[-1] < 1 << 63
+    assert [r["call_seq"] for r in catalogue.calls(spark, str(tmp_path)).orderBy("call_seq").collect()] == packed
+    calls = catalogue.calls(spark, str(tmp_path)).filter("caller = 'svaba'")
+    got = [r["record_id"] for r in catalogue.QUERIES["caller_svaba"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(r["record_id"] + ":1" * (r["sv_type"] == "BND") for r in calls.collect()) and got
+
+
+@pytest.mark.parametrize("name", ["caller_gridss", "caller_svaba", "neighbour_pairs", "grid_clusters"])
+def test_queries_of_late_orders_are_those_of_the_sql_in_wider_numbers(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    packed = lines_at(spark, tmp_path, 53_999_000, 2)
+    got = catalogue.QUERIES[name](spark, str(tmp_path))
+    if name == "grid_clusters":
+        assert got.agg(F.sum("members")).first()[0] == len(packed)
+        return
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * REPLACE (CAST(l_orderkey AS HUGEINT) AS l_orderkey) FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(tuple(map(str, r)) for r in con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalogue.ORACLES[name]})").fetchall())
+    told = {r["call_seq"]: r["record_id"][1:] for r in catalogue.calls(spark, str(tmp_path)).select("call_seq", "record_id").collect()}
+    assert sorted(tuple(str(told[v]) if c in ("a", "b") else str(v) for c, v in zip(got.columns, r)) for r in got.collect()) == want and want
